@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weir.llm import secrets, sentencepieces, token_files
+from weir.llm import quality, secrets, sentencepieces, token_files, toxicity
 from weir.llm.common import load
 
 
@@ -26,8 +26,18 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_of(load(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.train(docs, load(spark, sf_dir, "labels")))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return toxicity.classify(docs, toxicity.train(docs, load(spark, sf_dir, "labels")))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_sentencepiece, op3_token_files, op4_secret_scans)}
+    return {f.__name__: f for f in (op2_sentencepiece, op3_token_files, op4_secret_scans, op5_quality_classifier, op7_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
