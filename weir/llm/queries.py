@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weir.llm import quality, secrets, sentencepieces, token_files, toxicity
+from weir.llm import mixing, quality, rules, secrets, sentencepieces, token_files, toxicity
 from weir.llm.common import load
 
 
@@ -36,9 +36,17 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, toxicity.train(docs, load(spark, sf_dir, "labels")))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(load(spark, sf_dir, "documents"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sorted_mix(mixing.mixed(load(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_sentencepiece, op3_token_files, op4_secret_scans, op5_quality_classifier, op7_toxicity)}
+    return {f.__name__: f for f in (op2_sentencepiece, op3_token_files, op4_secret_scans, op5_quality_classifier, op7_toxicity, op6_quality_rules, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_mixing": mixing.ORACLE}
