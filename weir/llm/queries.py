@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weir.llm import mixing, quality, rules, secrets, sentencepieces, token_files, toxicity
+from weir.llm import mixing, nearest, quality, rules, secrets, sentencepieces, token_files, toxicity
 from weir.llm.common import load
 
 
@@ -44,8 +44,13 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sorted_mix(mixing.mixed(load(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    indexed = nearest.index(load(spark, sf_dir, "embeddings"))
+    return nearest.nearest(indexed, indexed.where("vec_id % 20 = 0").select("vec_id", "vector"), 20)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_sentencepiece, op3_token_files, op4_secret_scans, op5_quality_classifier, op7_toxicity, op6_quality_rules, op9_mixing)}
+    return {f.__name__: f for f in (op2_sentencepiece, op3_token_files, op4_secret_scans, op5_quality_classifier, op7_toxicity, op6_quality_rules, op9_mixing, op10_nearest_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
