@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weir.llm import mixing, nearest, quality, rules, secrets, sentencepieces, token_files, toxicity
+from weir.llm import jaccard, mixing, nearest, quality, rules, secrets, sentencepieces, token_files, toxicity
 from weir.llm.common import load
 
 
@@ -14,6 +14,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(load(spark, sf_dir, "documents"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_decode(load(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
@@ -50,7 +54,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_sentencepiece, op3_token_files, op4_secret_scans, op5_quality_classifier, op7_toxicity, op6_quality_rules, op9_mixing, op10_nearest_neighbours)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_sentencepiece, op3_token_files, op4_secret_scans, op5_quality_classifier, op7_toxicity, op6_quality_rules, op9_mixing, op10_nearest_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
