@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weir.llm import jaccard, mixing, nearest, quality, rules, secrets, sentencepieces, token_files, toxicity
+from weir.llm import jaccard, lines, mixing, nearest, quality, rules, secrets, sentencepieces, token_files, toxicity
 from weir.llm.common import load
 
 
@@ -44,6 +44,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(load(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.deduped(load(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sorted_mix(mixing.mixed(load(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -54,7 +58,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_sentencepiece, op3_token_files, op4_secret_scans, op5_quality_classifier, op7_toxicity, op6_quality_rules, op9_mixing, op10_nearest_neighbours)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_sentencepiece, op3_token_files, op4_secret_scans, op5_quality_classifier, op7_toxicity, op6_quality_rules, op8_line_dedup, op9_mixing, op10_nearest_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
