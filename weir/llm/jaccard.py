@@ -274,7 +274,15 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the least of its component; of rows that repeat such an id one stays."""
-    keep = components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("k_id")).distinct()
-    kept = docs.join(small(keep, 4_000_000), docs["doc_id"].cast("long") == F.col("k_id")).select(*(docs[c] for c in docs.columns))
-    return kept.dropDuplicates(["doc_id"])
+    """The rows of docs whose doc_id is the least of its component; of rows that repeat such an id one stays. Rows without an id stay.
+
+    The texts don't move unless there are more such ids than a broadcast may hold, or ids that repeat.
+    """
+    found = Scratch(docs.sparkSession).table(components(docs))
+    keep = small(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("k_id")).agg((F.count("*") > 1).alias("k_many")))
+    own = docs["doc_id"].cast("long")
+    columns = [docs[c] for c in docs.columns]
+    out = docs.join(keep.where("not k_many"), own == F.col("k_id")).select(*columns)
+    for rest in (docs.where(own.isNull()), docs.join(keep.where("k_many"), own == F.col("k_id")).select(*columns).dropDuplicates(["doc_id"])):
+        out = out if rest.select("doc_id").isEmpty() else out.union(rest)
+    return out
