@@ -87,8 +87,9 @@ class Scratch:
         return out
 
     def drop(self, df: DataFrame) -> None:
-        """Deletes a table that no later step reads."""
+        """Deletes a table that no later step reads; the shuffles of finished steps go with the next collection, which is asked for."""
         jvm = self.spark.sparkContext._jvm
+        jvm.System.gc()
         path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

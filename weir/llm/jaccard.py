@@ -8,7 +8,8 @@ segment isn't empty, and each set is indexed by a signature of each of its other
 more empty segments gets two units for each segment of two shingles or more: its signature and those of its one-deletion
 neighbourhood, and where even that falls short of h + 1 units, also its empty segments.
 
-Sets with a signature in common are linked into candidate groups. A group is verified in blocks of bounded size, pairs of
+Of sets with a signature in common, those stay together whose sizes and parity bits allow it; what they connect is a candidate
+group. A group is verified in blocks of bounded size, pairs of
 blocks whose sizes can't match are left out, and a task gets the shingle sets of one pair of blocks. It counts exact
 intersections and gives back a spanning forest of the links it finds, so the rows grow with the sets and not with their pairs.
 """
@@ -31,17 +32,35 @@ from weir.llm.common import Scratch, connected, hashes, lower_ascii, mix, partit
 WIDTH, LEAST, BLOCK = 5, 80, 256
 
 
-def shingles(tokens: list[str]) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles; a shorter text is one shingle, an empty one has none."""
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    h = hashes(tokens)
-    width = min(WIDTH, len(h))
-    out = np.full(len(h) - width + 1, len(tokens) if len(tokens) < WIDTH else WIDTH, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(width):
-            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - width + 1 + k])
-    return np.unique(out)
+#: Odd multipliers of a shingle's words by place.
+PLACES = mix(np.arange(1, WIDTH + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return x[new]
+
+
+def many_shingles(texts: list[str | None]) -> list[np.ndarray]:
+    """Per text the sorted distinct 64-bit hashes of its shingles; a shorter text is one shingle, an empty one has none."""
+    tokens = [words(lower_ascii(t)) if t else [] for t in texts]
+    sizes = np.array([len(x) for x in tokens])
+    ends = np.cumsum(sizes)
+    h = hashes([w for x in tokens for w in x])
+    full = max(0, len(h) - WIDTH + 1)
+    rolled = np.full(full, WIDTH, np.uint64)
+    for k in range(WIDTH):
+        rolled += h[k : full + k] * PLACES[k]
+    rolled = mix(rolled)
+    out = []
+    for n, end in zip(sizes.tolist(), ends.tolist(), strict=True):
+        if n >= WIDTH:
+            out.append(_distinct(rolled[end - n : end - WIDTH + 1]))
+        else:
+            out.append(mix((h[end - n : end] * PLACES[:n]).sum(keepdims=True, dtype=np.uint64) + np.uint64(n)) if n else np.zeros(0, np.uint64))
+    return out
 
 
 def difference(small_size: int, large_size: int) -> int:
@@ -91,13 +110,12 @@ def signatures(s: np.ndarray) -> np.ndarray:
         m, h = scheme(*all_bands[k])
         if h == 0:
             continue  # only equal sets are similar, and those are one
-        mixed = mix(s ^ np.uint64(k * 0x632BE59BD9B4E019 & (1 << 64) - 1))
-        at = ((mixed >> np.uint64(32)) % np.uint64(m)).astype(np.int64)
-        order = np.argsort(at, kind="stable")
-        at, mixed = at[order], mixed[order]
-        starts = np.flatnonzero(np.diff(at, prepend=-1))
+        # The upper half of a shingle's hash deals it to a segment, so sorted hashes lie segment by segment.
+        mixed = np.sort(mix(s ^ np.uint64(k * 0x632BE59BD9B4E019 & (1 << 64) - 1)))
+        at = (mixed >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)
+        starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         segment = at[starts]
-        base = mix(np.uint64(k << 32) + segment.astype(np.uint64))
+        base = mix(np.uint64(k << 32) + segment)
         with np.errstate(over="ignore"):
             total = np.add.reduceat(mixed, starts)
             out.append(mix(total + base))
@@ -107,9 +125,9 @@ def signatures(s: np.ndarray) -> np.ndarray:
                 rich = sizes[of] > 1
                 out.append(mix(total[of][rich] - mixed[rich] + base[of][rich]))
                 if int((sizes > 1).sum() * 2 + (sizes == 1).sum()) < h + 1:
-                    empty = np.setdiff1d(np.arange(m), segment)
+                    empty = np.setdiff1d(np.arange(m), segment.astype(np.int64))
                     out.append(mix(mix(np.uint64(k << 32) + empty.astype(np.uint64))))
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+    return _distinct(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
 def fingerprint(s: np.ndarray) -> int:
@@ -120,37 +138,48 @@ def fingerprint(s: np.ndarray) -> int:
         return int(mix(np.array([mix(s).sum() * np.uint64(0x9E3779B97F4A7C15) + np.uint64(len(s))], np.uint64))[0] >> np.uint64(1)) | 1
 
 
-SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("name", T.LongType()), T.StructField("entries", T.ArrayType(T.LongType()))])
+def parities(s: np.ndarray) -> bytes:
+    """Whether each of a row of cells gets an odd number of the set's hashes: twice as many cells as shingles, at least 512.
+
+    Differing bits can't outnumber differing shingles. Cells are a power of two, so that a longer row folds to a shorter one.
+    """
+    cells = 1 << max(9, (2 * len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s % np.uint64(cells)).astype(np.int64), minlength=cells) & 1, bitorder="little").tobytes()
+
+
+SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("name", T.LongType()), T.StructField("bits", T.BinaryType()), T.StructField("entries", T.ArrayType(T.LongType()))])
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """Per document its set's size and name; the entries come with the first document of a task that has the set."""
+    """Per document its set's size and name; bits and entries come with the first document of a task that has the set."""
 
     def run(batches) -> Iterator[dict]:
         seen: set[int] = set()
         for b in batches:
-            sizes, names, entries = [], [], []
-            for text in b.column("text").to_pylist():
-                s = shingles(words(lower_ascii(text)) if text else [])
+            sizes, names, bits, entries = [], [], [], []
+            for s in many_shingles(b.column("text").to_pylist()):
                 name = fingerprint(s)
-                new = name not in seen
+                new = name not in seen and len(s) > 0
                 seen.add(name)
                 sizes.append(len(s)), names.append(name)
-                entries.append(signatures(s).view(np.int64) if new and len(s) else None)
-            yield {"doc_id": b.column("doc_id"), "n_shingles": sizes, "name": names, "entries": entries}
+                bits.append(parities(s) if new else None)
+                entries.append(signatures(s).view(np.int64) if new else None)
+            yield {"doc_id": b.column("doc_id"), "n_shingles": sizes, "name": names, "bits": bits, "entries": entries}
 
     return per_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, SETS)
 
 
 PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+#: Names that share an entry and are paired at once; more of them are compared where their bits are at hand.
+FEW = 8
 
 
-def _neighbours(entries: DataFrame) -> DataFrame:
-    """(a, b) for names next to each other among those that share an entry (sig, name): a chain through each group.
+def _sharing(entries: DataFrame) -> DataFrame:
+    """Names that share an entry (sig, name): all pairs (a, b) of up to FEW, and rows (a, sig as b, many) of each of more.
 
-    A partition's entries are two plain arrays; a set's copies in one task have sent them once, so no group is larger than the
-    different sets in it and the tasks together.
+    A partition's entries are two plain arrays. A set's copies in one task have sent its entries once.
     """
+    schema = T.StructType([*PAIR.fields, T.StructField("many", T.BooleanType())])
 
     def run(batches):
         got = [(b.column("sig").to_numpy(), b.column("name").to_numpy()) for b in batches]
@@ -158,14 +187,81 @@ def _neighbours(entries: DataFrame) -> DataFrame:
             return
         sig, name = (np.concatenate(x) for x in zip(*got, strict=True))
         del got
+        order = np.argsort(sig, kind="stable")
+        sig, name = sig[order], name[order]
+        same = sig[1:] == sig[:-1]
+        shared = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
+        sig, name = sig[shared], name[shared]
         order = np.lexsort((name, sig))
         sig, name = sig[order], name[order]
-        at = np.flatnonzero((sig[1:] == sig[:-1]) & (name[1:] != name[:-1]))
-        pairs = np.unique(np.stack([name[at], name[at + 1]], 1), axis=0)
-        for i in range(0, len(pairs), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[i : i + 100_000, c])) for c in (0, 1)], names=["a", "b"])
-
-    return entries.repartition(partitions(entries.sparkSession), "sig").mapInArrow(run, PAIR).distinct()
+        if not len(sig):
+            return
+        new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (name[1:] != name[:-1])])
+        sig, name = sig[new], name[new]
+        head = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        size = np.diff(np.append(head, len(sig)))
+        of = np.repeat(size, size)
+        few, found = of <= FEW, []
+        for k in range(1, FEW):
+            at = np.flatnonzero((sig[k:] == sig[:-k]) & few[k:])
+            found.append(np.stack([name[at], name[at + k]], 1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        for rows, many in ((pairs, False), (np.stack([name[~few], sig[~few]], 1), True)):
+            for i in range(0, len(rows), 100_000):
+                part = rows[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(part[:, c])) for c in (0, 1)), pa.array([many] * len(part))], names=["a", "b", "many"])
+
+    return entries.repartition(partitions(entries.sparkSession), "sig").mapInArrow(run, schema)
+
+
+def _possible(n: np.ndarray, m: np.ndarray, bits: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Whether sets of sizes n and m with those parities may be similar."""
+    differ = np.bitwise_count(bits ^ more).sum(-1, dtype=np.int64)
+    return (np.minimum(n, m) * 100 >= np.maximum(n, m) * LEAST) & (differ <= (n + m) * (100 - LEAST) // (100 + LEAST))
+
+
+def _fold(bits: bytes, size: int) -> np.ndarray:
+    """A row of parities folded to `size` bytes."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint64).reshape(-1, size // 8), axis=0)
+
+
+def _candidates(shared: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (a, b) that connect all that may be similar: size and parities have left them. known: name, n and bits."""
+    pairs = shared.where("not many").select("a", "b").distinct()
+    pairs = pairs.join(known.select(F.col("name").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("x")), "a")
+    pairs = pairs.join(known.select(F.col("name").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("y")), "b")
+
+    def check(batches) -> Iterator[dict]:
+        for t in batches:
+            n, m = t.column("n1").to_numpy(), t.column("n2").to_numpy()
+            x, y = t.column("x").to_pylist(), t.column("y").to_pylist()
+            size = np.array([min(len(p), len(q)) for p, q in zip(x, y, strict=True)])
+            ok = np.zeros(len(n), bool)
+            for cells in np.unique(size).tolist():
+                at = np.flatnonzero(size == cells)
+                ok[at] = _possible(n[at], m[at], np.stack([_fold(x[i], cells) for i in at]), np.stack([_fold(y[i], cells) for i in at]))
+            yield {"a": t.column("a").filter(pa.array(ok)), "b": t.column("b").filter(pa.array(ok))}
+
+    few = per_text(pairs, check, PAIR, rows=2048)
+    many = shared.where("many").select(F.col("a").alias("name"), F.col("b").alias("sig")).join(known, "name")
+
+    def forest(key: tuple, t: pa.Table) -> pa.Table:
+        """A spanning forest of the possible pairs of a signature's sets; each set meets those that it isn't yet connected with."""
+        del key
+        name, n, rows = t.column("name").to_numpy(), t.column("n").to_numpy(), t.column("bits").to_pylist()
+        cells = min(map(len, rows))
+        bits = np.stack([_fold(r, cells) for r in rows])
+        label = np.arange(len(name))
+        out = []
+        for i in range(len(name)):
+            others = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+            for j in others[_possible(n[i], n[others], bits[i], bits[others])].tolist():
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    out.append((name[i], name[j]))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return few.union(many.groupBy("sig").applyInArrow(forest, PAIR)).distinct()
 
 
 def links(names: list[int], sets: list[np.ndarray], left: np.ndarray) -> list[tuple[int, int]]:
@@ -212,8 +308,10 @@ def links(names: list[int], sets: list[np.ndarray], left: np.ndarray) -> list[tu
 def _verified(groups: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) inside the candidate groups (name, component, n, doc_id); doc_id is one document that has the set."""
     order = Window.partitionBy("component", "slice").orderBy("n", "name")
-    # Blocks follow size: slices of a group by the size's band, then rows in order; a slice has blocks of its own.
-    ranked = groups.withColumn("slice", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.05))).cast("int"))
+    # A group of up to BLOCK sets is one block. Blocks of a larger one follow size: slices of sizes, then rows in order.
+    rows = groups.groupBy("component").agg((F.count("*") > BLOCK).alias("large"))
+    slice_ = F.when(F.col("large"), F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.05))).cast("int")).otherwise(0)
+    ranked = groups.join(rows, "component").withColumn("slice", slice_).drop("large")
     ranked = ranked.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int"))
     ranked = Scratch(docs.sparkSession).table(ranked)
     blocks = ranked.groupBy("component", "slice", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("rows"))
@@ -232,7 +330,7 @@ def _verified(groups: DataFrame, docs: DataFrame) -> DataFrame:
 
     def make(batches) -> Iterator[dict]:
         for b in batches:
-            sets = [shingles(words(lower_ascii(x)) if x else []) for x in b.column("text").to_pylist()]
+            sets = many_shingles(b.column("text").to_pylist())
             same = [i for i, (s, n) in enumerate(zip(sets, b.column("name").to_pylist(), strict=True)) if fingerprint(s) == n]
             yield {"name": b.column("name").take(pa.array(same, pa.int64())), "set": [sets[i].tobytes() for i in same]}
 
@@ -260,13 +358,14 @@ def components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     known = scratch.table(_sets(docs))
-    entries = known.where("entries is not null").select("name", F.explode("entries").alias("sig"))
-    near = scratch.table(_neighbours(entries))
-    members = known.select("doc_id", "n_shingles", "name")
-    names = members.where("name <> 0").groupBy("name").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"))
+    shared = scratch.table(_sharing(known.where("entries is not null").select("name", F.explode("entries").alias("sig"))))
+    members = scratch.table(known.select("doc_id", "n_shingles", "name"))
+    names = scratch.table(known.where("name <> 0").groupBy("name").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"), F.first("bits", ignorenulls=True).alias("bits")))
+    scratch.drop(known)
+    near = scratch.table(_candidates(shared, names.select("name", "n", "bits")))
+    scratch.drop(shared)
     groups = connected(near).withColumnRenamed("node", "name").join(names.where("least is not null").select("name", "n", F.col("least").alias("doc_id")), "name")
     found = scratch.table(_verified(groups, docs))
-    scratch.drop(near)
     classes = names.join(connected(found).withColumnRenamed("node", "name"), "name", "left").select("name", "least", F.coalesce("component", "name").alias("class"))
     least = classes.groupBy("class").agg(F.min("least").alias("component_id"))
     of = classes.join(least, "class").select("name", "component_id")
