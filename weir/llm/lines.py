@@ -6,9 +6,9 @@ sizes, what the positions of the shared word leave to share, and a bitmap of wor
 the words that differ. What is left is verified on the words themselves. A line goes if an earlier line, in the order of
 doc_id and place, is similar to it.
 
-Equal sets are one, so copies make no pairs. A set first meets the eight sets before it and the first two among those that share
-a word; only sets that have found no earlier match then meet all the others. So a group of near copies costs a few pairs each,
-and the result is still exact.
+Equal sets are one, so copies make no pairs. Of the earlier sets that pass the filters a set is verified against the first few
+of each shared word; only where those are none of them similar and there are more, all of them are. So a group of near copies
+costs a few pairs each, and the result is still exact.
 """
 
 from __future__ import annotations
@@ -25,33 +25,19 @@ from pyspark.sql import types as T
 
 from weir.llm.common import Scratch, WordCache, hashes, lower_ascii, mix, partitions, per_text, small, words
 
-#: Hundredths of similarity; words that a line needs to take part; frequent words whose order is known; sets met at first.
-LEAST, LEAST_WORDS, RANKED, LAGS, FIRST = 80, 5, 65_535, 8, 2
-LOW48 = np.uint64((1 << 48) - 1)
+#: Hundredths of similarity; words that a line needs to take part; frequent words whose order is known; partners of a set for each word at first.
+LEAST, LEAST_WORDS, RANKED, FIRST = 80, 5, 16_383, 6
+#: Lines that are sorted at a time, and a key's bits for the word itself, under 14 for its rank and 10 for the line.
+CHUNK, WORD_BITS = 1024, 40
+ONLY_WORD = np.uint64((1 << WORD_BITS) - 1)
 
 
 def frequent(docs: DataFrame) -> list[str]:
-    """The RANKED most frequent words, least frequent first; counts are over all documents, made in each task first."""
-    schema = T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
-
-    def run(batches) -> Iterator[dict]:
-        count: Counter = Counter()
-
-        def out() -> Iterator[dict]:
-            got = list(count.items())
-            count.clear()
-            for i in range(0, len(got), 50_000):
-                yield dict(zip(("word", "n"), map(list, zip(*got[i : i + 50_000], strict=True)), strict=True))
-
-        for b in batches:
-            for text in b.column("text").to_pylist():
-                count.update(words(lower_ascii(text)) if text else ())
-            if len(count) > 400_000:
-                yield from out()
-        yield from out()
-
-    counts = per_text(docs.select("text"), run, schema).where("length(word) <= 100").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
-    return [r["word"] for r in counts.orderBy(F.col("n").desc(), "word").limit(RANKED).collect()][::-1]
+    """The RANKED most frequent words of up to 100 characters, least frequent first; counts are over all documents."""
+    lower = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    counts = docs.select(F.explode(F.split(lower, r"[\x20\x09-\x0D]+")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    counts = counts.where("n > 1 and length(word) between 1 and 100").orderBy(F.col("n").desc(), "word").limit(RANKED)
+    return [r["word"] for r in counts.collect()][::-1]
 
 
 def _of_lines(texts: list[str | None]) -> tuple[list[int], list[int], list[str], list[int]]:
@@ -69,13 +55,19 @@ def _of_lines(texts: list[str | None]) -> tuple[list[int], list[int], list[str],
 
 
 def _ordered_sets(keys: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """The lines' distinct keys, each line's in ascending order, and their numbers."""
-    line = np.repeat(np.arange(len(sizes)), sizes)
-    order = np.lexsort((keys, line))
-    keys, line = keys[order], line[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (line[1:] != line[:-1])
-    return keys[new], np.bincount(line[new], minlength=len(sizes))
+    """The lines' distinct keys, each line's in ascending order, and their numbers. A key has room above it for a line's number in its chunk."""
+    out, counts = [], []
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    for i in range(0, len(sizes), CHUNK):
+        own = np.array(sizes[i : i + CHUNK])
+        line = np.repeat(np.arange(len(own), dtype=np.uint64) << np.uint64(54), own)
+        part = np.sort(keys[ends[i] : ends[i + len(own)]] | line)
+        new = np.ones(len(part), bool)
+        new[1:] = part[1:] != part[:-1]
+        part = part[new]
+        counts.append(np.bincount((part >> np.uint64(54)).astype(np.int64), minlength=len(own)))
+        out.append(part & np.uint64((1 << 54) - 1))
+    return np.concatenate(out), np.concatenate(counts)
 
 
 LINE = T.StructType([
@@ -87,15 +79,16 @@ LINE = T.StructType([
 def _sets(docs: DataFrame, ranked: list[str]) -> DataFrame:
     """docs' keys with each line's set: name, size, bitmap, and its prefix where the task meets the set for the first time.
 
-    A word's key is its rank, 0 for those past the RANKED, over 48 bits of its hash, so that keys ascend from rare to frequent.
+    A word's key is its rank, 0 for those past the RANKED, over 40 bits of its hash, so that keys ascend from rare to frequent;
+    two words of a line are taken for one with a chance of a billionth. Verification is on 64 bits.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(ranked)  # at most RANKED words of 100 characters
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("version", T.LongType()), T.StructField("lines", T.ArrayType(LINE))])
 
     def run(batches) -> Iterator[dict]:
-        rank = {w: (i + 1) << 48 for i, w in enumerate(shared.value)}
-        cache = WordCache(lambda w: rank.get(w, 0) | (xxhash.xxh3_64_intdigest(w) & 0xFFFFFFFFFFFF), 400_000)
+        rank = {w: (i + 1) << WORD_BITS for i, w in enumerate(shared.value)}
+        cache = WordCache(lambda w: rank.get(w, 0) | (xxhash.xxh3_64_intdigest(w) & (1 << WORD_BITS) - 1), 400_000)
         seen: set[int] = set()
         for b in batches:
             owner, number, tokens, sizes = _of_lines(b.column("text").to_pylist())
@@ -105,7 +98,7 @@ def _sets(docs: DataFrame, ranked: list[str]) -> DataFrame:
                 continue
             keys, n = _ordered_sets(np.fromiter(map(cache.__getitem__, tokens), np.uint64, len(tokens)), sizes)
             first = np.cumsum(n) - n
-            mixed = mix(keys & LOW48)
+            mixed = mix(keys & ONLY_WORD)
             with np.errstate(over="ignore"):
                 name = (mix(np.add.reduceat(mixed, first) * np.uint64(0x9E3779B97F4A7C15) + n.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
             bit = np.uint64(1) << (mixed & np.uint64(63))
@@ -115,7 +108,7 @@ def _sets(docs: DataFrame, ranked: list[str]) -> DataFrame:
             new = np.array([x not in seen and not seen.add(x) for x in name.tolist()], bool)
             length = np.where(new, n - (n * LEAST + 99) // 100 + 1, 0)
             place = np.arange(len(keys)) - np.repeat(first, n)
-            tokens32 = (mix(keys) >> np.uint64(33)).astype(np.int32)[place < np.repeat(length, n)]
+            tokens32 = (mixed >> np.uint64(33)).astype(np.int32)[place < np.repeat(length, n)]
             prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(tokens32))
             lines = pa.StructArray.from_arrays([pa.array(np.array(number, np.int32)), pa.array(name), pa.array(n.astype(np.int32)), pa.array(low), pa.array(high), prefix], LINE.names)
             yield {"doc_id": b.column("doc_id"), "version": b.column("version"), "lines": pa.ListArray.from_arrays(pa.array(starts, pa.int32()), lines)}
@@ -123,80 +116,58 @@ def _sets(docs: DataFrame, ranked: list[str]) -> DataFrame:
     return per_text(docs, run, schema)
 
 
-ENTRY = T.StructType([T.StructField(n, k) for n, k in (("token", T.IntegerType()), ("name", T.LongType()), ("n", T.IntegerType()), ("pos", T.IntegerType()), ("doc_id", T.LongType()), ("version", T.LongType()), ("line", T.IntegerType()), ("low", T.LongType()), ("high", T.LongType()), ("open", T.BooleanType()), ("other", T.LongType()))])
+ENTRY = ("token", "name", "shape", "doc_id", "low", "high")
+PAIR = T.StructType([T.StructField("name", T.LongType()), T.StructField("other", T.LongType()), T.StructField("more", T.BooleanType())])
 
 
-def _met(e: dict[str, np.ndarray], at: np.ndarray, earlier: np.ndarray) -> np.ndarray:
+def _met(e: dict[str, np.ndarray], at: np.ndarray, earlier: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the entries `at` and `earlier` the pairs that pass the filters."""
     n, m = e["n"][at], e["n"][earlier]
     need = (LEAST * (n + m) + 99 + LEAST) // (100 + LEAST)
-    ok = e["name"][at] != e["name"][earlier]
-    ok &= (np.minimum(n, m) * 100 >= np.maximum(n, m) * LEAST) & (np.minimum(n - e["pos"][at], m - e["pos"][earlier]) >= need)
-    at, earlier, n, m = at[ok], earlier[ok], n[ok], m[ok]
-    differ = sum(np.bitwise_count((e[c][at] ^ e[c][earlier]).view(np.uint64)).astype(np.int64) for c in ("low", "high"))
-    ok = differ <= (n + m) * (100 - LEAST) // (100 + LEAST)
-    names = np.stack([e["name"][at[ok]], e["name"][earlier[ok]]], 1)
-    names.sort(axis=1)
-    return np.unique(names, axis=0)
+    ok = np.flatnonzero((n - e["pos"][at] >= need) & (m - e["pos"][earlier] >= need) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * LEAST))
+    at, earlier, most = at[ok], earlier[ok], (n[ok] + m[ok]) * (100 - LEAST) // (100 + LEAST)
+    differ = np.bitwise_count(e["low"][at] ^ e["low"][earlier]).astype(np.int32) + np.bitwise_count(e["high"][at] ^ e["high"][earlier])
+    ok = np.flatnonzero((differ <= most) & (e["name"][at] != e["name"][earlier]))
+    return at[ok], earlier[ok]
 
 
-def _pairs(entries: DataFrame, everything: bool) -> DataFrame:
-    """Candidate pairs among entries that share a token, as rows (name, other).
+def _pairs(entries: DataFrame, first: int | None) -> DataFrame:
+    """Candidate pairs (name, other): for each entry those of its token with a smaller doc_id, or the same one and before it.
 
-    At first an entry meets the LAGS before it and the FIRST of its token; entries of tokens that have more come back as rows
-    without `other`. With `everything`, each entry marked open meets all before it.
+    With `first`, the first so many, and a row with more and without other where there are more of them. An entry's shape is
+    its size and position. Entries meet about four million at a time.
     """
-    columns = [c for c in ENTRY.names if c != "other"]
-
-    def pack(pairs: np.ndarray) -> pa.RecordBatch:
-        nulls = {c: pa.nulls(len(pairs), t) for c, t in kinds.items()}
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])) if c == "name" else pa.array(np.ascontiguousarray(pairs[:, 1])) if c == "other" else nulls[c] for c in ENTRY.names], names=ENTRY.names)
-
-    kinds = dict(zip(ENTRY.names, (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()), strict=True))
 
     def run(batches):
-        table = pa.Table.from_batches([b for b in batches if b.num_rows] or [pa.RecordBatch.from_arrays([pa.array([], kinds[c]) for c in columns], names=columns)])
-        if not table.num_rows:
+        got = [b for b in batches if b.num_rows]
+        if not got:
             return
-        docs = table.column("doc_id").fill_null(-(1 << 63)).to_numpy()
-        e = {c: table.column(c).to_numpy().astype(np.int64) for c in ("token", "name", "n", "pos", "version", "line", "low", "high")}
-        order = np.lexsort((e["line"], e["version"], docs, e["token"]))
-        e = {c: v[order] for c, v in e.items()}
-        docs = docs[order]
+        table = pa.Table.from_batches(got)
+        e = {c: table.column(c).fill_null(-(1 << 62) if c == "doc_id" else 0).to_numpy() for c in ENTRY}
+        order = np.lexsort((e["doc_id"], e["token"]))
+        e = {c: v[order] for c, v in e.items() if c != "doc_id"}
+        e |= {"n": (e["shape"] >> 32).astype(np.int32), "pos": (e.pop("shape") & 0xFFFFFFFF).astype(np.int32), "low": e["low"].view(np.uint64), "high": e["high"].view(np.uint64)}
         token = e["token"]
-        head = np.flatnonzero(np.diff(token, prepend=token[0] - 1))
-        size = np.diff(np.append(head, len(token)))
-        start = np.repeat(head, size)
+        head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        start = np.repeat(head, np.diff(np.append(head, len(token))))
         place = np.arange(len(token)) - start
-        if everything:
-            live = np.flatnonzero(table.column("open").to_numpy(zero_copy_only=False).astype(bool)[order] & (place > LAGS))
-            # Blocks of entries against all before them, about 4 million meetings at a time.
-            ends = np.cumsum(place[live])
-            for lo, hi in _cuts(ends, 4_000_000):
-                own = live[lo:hi]
-                at = np.repeat(own, place[own])
-                back = np.arange(len(at)) - np.repeat(np.cumsum(place[own]) - place[own], place[own])
-                if len(got := _met(e, at, start[at] + back)):
-                    yield pack(got)
-            return
-        found = [np.zeros((0, 2), np.int64)]
-        for k in range(1, LAGS + 1):
-            at = np.flatnonzero(place >= k)
-            found.append(_met(e, at, at - k))
-        for k in range(FIRST):
-            at = np.flatnonzero(place > LAGS + k)
-            found.append(_met(e, at, start[at] + k))
-        if len(got := np.unique(np.concatenate(found), axis=0)):
-            yield pack(got)
-        many = np.flatnonzero(np.repeat(size, size) > LAGS + 1)
-        for i in range(0, len(many), 50_000):
-            part = many[i : i + 50_000]
-            cols = {c: pa.array(e[c][part].astype(np.int32 if kinds[c] == pa.int32() else np.int64)) for c in e}
-            cols |= {"doc_id": pa.array(docs[part]), "open": pa.nulls(len(part), pa.bool_()), "other": pa.nulls(len(part), pa.int64())}
-            yield pa.RecordBatch.from_arrays([cols[c] for c in ENTRY.names], names=ENTRY.names)
-
-    dealt = entries.select(*columns).repartition(partitions(entries.sparkSession), "token")
-    return dealt.mapInArrow(run, ENTRY)
+        live = np.flatnonzero(place)
+        for lo, hi in _cuts(np.cumsum(place[live]), 4_000_000):
+            own = live[lo:hi]
+            at = np.repeat(own, place[own])
+            back = np.arange(len(at)) - np.repeat(np.cumsum(place[own]) - place[own], place[own])
+            at, earlier = _met(e, at, start[at] + back)
+            if not len(at):
+                continue
+            new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            size = np.diff(np.append(new, len(at)))
+            keep = np.arange(len(at)) - np.repeat(new, size) < (first or len(at))
+            more = at[new[size > (first or len(at))]]
+            names = np.concatenate([e["name"][at[keep]], e["name"][more]])
+            other = pa.array(np.concatenate([e["name"][earlier[keep]], e["name"][more]]), mask=np.arange(len(names)) >= keep.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(names), other, pa.array(np.arange(len(names)) >= keep.sum())], names=PAIR.names)
+
+    return entries.select(*ENTRY).repartition(partitions(entries.sparkSession), "token").mapInArrow(run, PAIR)
 
 
 def _cuts(ends: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
@@ -269,18 +240,18 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     lines = sets.select("doc_id", "version", F.explode("lines").alias("x"))
     occurs = lines.select("doc_id", "version", F.col("x.line").alias("line"), F.col("x.name").alias("name"))
     firsts = occurs.groupBy("name").agg(F.min(F.struct("doc_id", "version", "line")).alias("first"), F.max(F.struct("doc_id", "version", "line")).alias("last"))
-    entries = lines.select("doc_id", "version", "x.*").select("*", F.posexplode("prefix").alias("pos", "token")).withColumn("open", F.lit(True))
-    met = scratch.table(_pairs(entries, False))
-    # Of pairs that several tokens give, and of sets in several tasks, one row is enough from here on.
-    near = met.where("other is not null").select("name", "other").distinct()
-    matched = scratch.table(_verified(near, firsts, keyed))
-    done = scratch.table(_later(matched, firsts))
-    left = met.where("other is null").drop("open", "other").join(done.withColumn("done", F.lit(True)), "name", "left")
-    rest = _pairs(left.withColumn("open", F.col("done").isNull()), True).select("name", "other").distinct()
-    rest = scratch.table(rest)
-    late = done
-    if not rest.isEmpty():
-        late = done.union(_later(_verified(rest.join(near, ["name", "other"], "left_anti"), firsts, keyed), firsts)).distinct()
+    entries = lines.select("doc_id", "x.*").select("doc_id", "name", "n", "low", "high", F.posexplode("prefix").alias("pos", "token")).withColumn("shape", F.expr("shiftleft(bigint(n), 32) + pos"))
+    met = scratch.table(_pairs(entries, FIRST))
+    # A pair comes from several words, in either order where sets repeat in tasks; one row is enough from here on.
+    near = met.where("not more").select(F.least("name", "other").alias("name"), F.greatest("name", "other").alias("other")).distinct()
+    late = scratch.table(_later(_verified(near, firsts, keyed), firsts))
+    open_ = scratch.table(met.where("more").select("name").distinct().join(late, "name", "left_anti"))
+    if not open_.isEmpty():
+        # What the sets that are still open share a word with, then all their pairs; other sets' pairs are left out again.
+        tokens = small(entries.join(small(open_), "name", "left_semi").select("token").distinct())
+        rest = _pairs(entries.join(tokens, "token", "left_semi"), None).join(small(open_), "name", "left_semi")
+        rest = scratch.table(rest.select(F.least("name", "other").alias("name"), F.greatest("name", "other").alias("other")).distinct().join(near, ["name", "other"], "left_anti"))
+        late = late.union(_later(_verified(rest, firsts, keyed), firsts)).distinct()
     marked = firsts.join(late.withColumn("gone", F.lit(True)), "name", "left").where("gone or first <> last").select("name", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
     out = occurs.join(marked, "name").where(F.col("gone") | (F.struct("doc_id", "version", "line") != F.col("first")))
     return scratch.table(out.select("doc_id", "version", "line").distinct().groupBy("doc_id", "version").agg(F.array_sort(F.collect_list("line")).alias("removed")))
