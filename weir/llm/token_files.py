@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from weir.llm.common import Scratch, WordCache, mix, partitions, per_text
+from weir.llm.common import Scratch, WordCache, lower_ascii, mix, partitions, per_text
 
 MAGIC, HEAD = b"WEIRIDS1", struct.Struct("<8sIIIIQI")
 LEVELS, GOLDEN = 32, 0x9E3779B97F4A7C15
@@ -130,23 +130,17 @@ class Encoder:
         self.parts = WordCache(self._part, 400_000)
 
     def _part(self, part: str) -> bytes:
+        # The pattern parts letters from a comma or full stop, so a word's forms with one share the word's ids.
+        if part[-1:] in (",", ".") and part[:-1].isascii() and part[:-1].isalpha():
+            return self.parts[part[:-1]] + self.parts[part[-1]]
         return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
 
-    def fill(self, parts: list[str]) -> None:
-        """Encodes new parts in one call."""
-        new = [p for p in dict.fromkeys(parts) if p not in self.parts]
-        if len(self.parts) + len(new) >= self.parts.limit:
-            self.parts.clear()
-            new = list(dict.fromkeys(parts))
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.parts[p] = np.array(e.ids, f"<u{self.width}").tobytes()
-
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        parts = text.replace("\n", " ").split(" ")
-        self.fill(parts)
-        return b"".join(map(self.parts.__getitem__, parts))
+        # Letters are made small anyway, but the strings of special tokens are found before that.
+        own = text if "<|" in text else lower_ascii(text)
+        return b"".join(map(self.parts.__getitem__, own.replace("\n", " ").split(" ")))
 
 
 _ENCODERS: dict[str, Encoder] = {}
