@@ -32,7 +32,7 @@ EDGE = re.compile(r"^\W+|\W+$")
 
 
 def token(word: str) -> str:
-    return EDGE.sub("", word).lower()
+    return word.lower() if word.isalnum() else EDGE.sub("", word).lower()
 
 
 def terms(word: str) -> tuple[str, ...]:
@@ -141,11 +141,11 @@ def _counts(df: DataFrame, keep: set[str] | None) -> DataFrame:
     schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("label", T.IntegerType()), T.StructField("rows", T.LongType())])
 
     def run(batches) -> Iterator[dict]:
-        cache = WordCache(terms if keep is None else lambda w: tuple(t for t in terms(w) if t in keep), 200_000)
+        cache = WordCache(terms if keep is None else lambda w: tuple(t for t in terms(w) if t in keep), 200_000 if keep is None else 400_000)
         rows: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for b in batches:
             for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
-                rows[label].update({t for w in set(words(text)) for t in cache[w]})
+                rows[label].update(set().union(*filter(None, map(cache.__getitem__, set(words(text))))))
                 rows[label][""] += 1
         got = [(w, k, n) for k in rows for w, n in rows[k].items()]
         for i in range(0, len(got), 50_000):
