@@ -134,8 +134,8 @@ def _met(e: dict[str, np.ndarray], at: np.ndarray, earlier: np.ndarray) -> tuple
 def _pairs(entries: DataFrame, first: int | None) -> DataFrame:
     """Candidate pairs (name, other): for each entry those of its token with a smaller doc_id, or the same one and before it.
 
-    With `first`, the first so many, and a row with more and without other where there are more of them. An entry's shape is
-    its size and position. Entries meet about four million at a time.
+    With `first`, the first so many, and a row with more and without other where there are more of them; else all, for the
+    entries marked open. An entry's shape is its size and position. Entries meet about four million at a time.
     """
 
     def run(batches):
@@ -151,7 +151,7 @@ def _pairs(entries: DataFrame, first: int | None) -> DataFrame:
         head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         start = np.repeat(head, np.diff(np.append(head, len(token))))
         place = np.arange(len(token)) - start
-        live = np.flatnonzero(place)
+        live = np.flatnonzero(place if first else place * table.column("open").to_numpy()[order])
         for lo, hi in _cuts(np.cumsum(place[live]), 4_000_000):
             own = live[lo:hi]
             at = np.repeat(own, place[own])
@@ -167,7 +167,7 @@ def _pairs(entries: DataFrame, first: int | None) -> DataFrame:
             other = pa.array(np.concatenate([e["name"][earlier[keep]], e["name"][more]]), mask=np.arange(len(names)) >= keep.sum())
             yield pa.RecordBatch.from_arrays([pa.array(names), other, pa.array(np.arange(len(names)) >= keep.sum())], names=PAIR.names)
 
-    return entries.select(*ENTRY).repartition(partitions(entries.sparkSession), "token").mapInArrow(run, PAIR)
+    return entries.select(*ENTRY, *([] if first else ["open"])).repartition(partitions(entries.sparkSession), "token").mapInArrow(run, PAIR)
 
 
 def _cuts(ends: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
@@ -247,9 +247,10 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     late = scratch.table(_later(_verified(near, firsts, keyed), firsts))
     open_ = scratch.table(met.where("more").select("name").distinct().join(late, "name", "left_anti"))
     if not open_.isEmpty():
-        # What the sets that are still open share a word with, then all their pairs; other sets' pairs are left out again.
+        # What the sets that are still open share a word with, then all their pairs with earlier sets.
         tokens = small(entries.join(small(open_), "name", "left_semi").select("token").distinct())
-        rest = _pairs(entries.join(tokens, "token", "left_semi"), None).join(small(open_), "name", "left_semi")
+        marked = entries.join(tokens, "token", "left_semi").join(small(open_.withColumn("open", F.lit(1))), "name", "left")
+        rest = _pairs(marked.withColumn("open", F.coalesce("open", F.lit(0))), None)
         rest = scratch.table(rest.select(F.least("name", "other").alias("name"), F.greatest("name", "other").alias("other")).distinct().join(near, ["name", "other"], "left_anti"))
         late = late.union(_later(_verified(rest, firsts, keyed), firsts)).distinct()
     marked = firsts.join(late.withColumn("gone", F.lit(True)), "name", "left").where("gone or first <> last").select("name", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
