@@ -13,7 +13,6 @@ costs a few pairs each, and the result is still exact.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,43 +22,99 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weir.llm.common import Scratch, WordCache, hashes, lower_ascii, mix, partitions, per_text, small, words
+from weir.llm.common import Scratch, hashes, lower_ascii, mix, partitions, per_text, small, words
 
-#: Hundredths of similarity; words that a line needs to take part; frequent words whose order is known; partners of a set for each word at first.
-LEAST, LEAST_WORDS, RANKED, FIRST = 80, 5, 16_383, 6
-#: Lines that are sorted at a time, and a key's bits for the word itself, under 14 for its rank and 10 for the line.
-CHUNK, WORD_BITS = 1024, 40
+#: Hundredths of similarity; words that a line needs to take part; partners of a set for each word at first.
+LEAST, LEAST_WORDS, FIRST = 80, 5, 6
+#: Buckets that words are counted in, as a power of two; classes of an octave of counts.
+BUCKET_BITS, OCTAVE = 17, 5
+#: Lines that are sorted at a time, and a key's bits for the word itself, under 8 for its class and 10 for the line.
+CHUNK, WORD_BITS = 1024, 46
 ONLY_WORD = np.uint64((1 << WORD_BITS) - 1)
+#: Sets of so many words have a bitmap of 512 bits for the second pass, where the one of 128 bits is too full to tell much.
+WIDE_WORDS, WIDE = 48, 8
+#: A word's hash is the sum of one random number for each of its bytes and their places, up to so many places.
+PLACES = 256
+SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+LOWER = np.arange(256, dtype=np.uint8) + np.uint8(32) * np.isin(np.arange(256), np.arange(65, 91)).astype(np.uint8)
+
+
+def _byte_table() -> np.ndarray:
+    """Random numbers by place and byte, with zeros for spaces."""
+    table = mix(np.arange(1, PLACES * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(PLACES, 256)
+    table[:, SPACE] = 0
+    return table.ravel()
+
+
+BYTES = _byte_table()
+
+
+def _word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All lower-cased words of the texts: their hashes, their lines counted over all texts, and of each line its text and number in it."""
+    texts = texts.fill_null("").cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    ends = offsets[1:] - offsets[0]
+    begins = offsets[:-1] - offsets[0]
+    raw = LOWER[raw]
+    held = begins[begins < ends]
+    solid = ~SPACE[raw]
+    begun = solid.copy()
+    begun[1:] &= ~solid[:-1]
+    begun[held] = solid[held]
+    start = np.flatnonzero(begun)
+    after = np.flatnonzero(raw == 10) + 1
+    # A line begins with each text that isn't empty and after each line feed, even where a text ends with one.
+    owner = np.concatenate([np.flatnonzero(begins < ends), np.searchsorted(ends, after - 1, "right")])
+    at = np.concatenate([held, after])
+    order = np.lexsort((at, owner))
+    owner, at = owner[order], at[order]
+    number = np.arange(len(at)) - np.searchsorted(owner, owner)
+    # Where a text ends with a line feed its last line has no words, and the next text's first line begins at the same place.
+    line = np.searchsorted(at, start, "right") - 1
+    if not len(start):
+        return np.zeros(0, np.uint64), line, owner, number
+    span = np.diff(np.append(start, len(raw)))
+    found = np.empty(len(start), np.uint64)
+    for lo, hi in _cuts(start + span - start[0], 1 << 18):
+        own = raw[start[lo] : start[hi - 1] + span[hi - 1]]
+        place = np.arange(len(own), dtype=np.int32) - np.repeat((start[lo:hi] - start[lo]).astype(np.int32), span[lo:hi])
+        np.minimum(place, PLACES - 1, out=place)
+        place <<= 8
+        place |= own
+        found[lo:hi] = np.add.reduceat(BYTES[place], start[lo:hi] - start[lo])
+    for i in np.flatnonzero(span >= PLACES).tolist():  # a long word, or many spaces after a short one
+        word = raw[start[i] : start[i] + span[i]]
+        word = word[: int(np.argmax(SPACE[word])) if SPACE[word].any() else len(word)]
+        if len(word) >= PLACES:
+            found[i] = xxhash.xxh3_64_intdigest(word.tobytes())
+    return mix(found), line, owner, number
+
+
+def rarity(docs: DataFrame) -> np.ndarray:
+    """The class of each bucket of words: a fifth of the binary order of its count over all documents, so in proportion to the words' own counts or above them."""
+    schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("n", T.LongType())])
 
+    def run(batches) -> Iterator[dict]:
+        counts = np.zeros(1 << BUCKET_BITS, np.int64)
+        for b in batches:
+            found = _word_hashes(b.column("text"))[0]
+            counts += np.bincount((found >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts))
+        at = np.flatnonzero(counts)
+        yield {"bucket": at.astype(np.int32), "n": counts[at]}
 
-def frequent(docs: DataFrame) -> list[str]:
-    """The RANKED most frequent words of up to 100 characters, least frequent first; counts are over all documents."""
-    lower = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    counts = docs.select(F.explode(F.split(lower, r"[\x20\x09-\x0D]+")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    counts = counts.where("n > 1 and length(word) between 1 and 100").orderBy(F.col("n").desc(), "word").limit(RANKED)
-    return [r["word"] for r in counts.collect()][::-1]
-
-
-def _of_lines(texts: list[str | None]) -> tuple[list[int], list[int], list[str], list[int]]:
-    """Of all lines that take part: text, number of the line, words, number of words."""
-    owner, number, tokens, sizes = [], [], [], []
-    for k, text in enumerate(texts):
-        if not text:
-            continue
-        for i, line in enumerate(lower_ascii(text).split("\n")):
-            own = words(line)
-            if len(own) >= LEAST_WORDS:
-                owner.append(k), number.append(i), sizes.append(len(own))
-                tokens += own
-    return owner, number, tokens, sizes
+    rows = per_text(docs.select("text"), run, schema, rows=64).groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # a row for each bucket at most
+    out = np.zeros(1 << BUCKET_BITS, np.uint8)
+    out[rows["bucket"].to_numpy()] = np.minimum(255, np.log2(rows["n"].to_numpy()) * OCTAVE)
+    return out
 
 
-def _ordered_sets(keys: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def _ordered_sets(keys: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The lines' distinct keys, each line's in ascending order, and their numbers. A key has room above it for a line's number in its chunk."""
     out, counts = [], []
     ends = np.concatenate([[0], np.cumsum(sizes)])
     for i in range(0, len(sizes), CHUNK):
-        own = np.array(sizes[i : i + CHUNK])
+        own = sizes[i : i + CHUNK]
         line = np.repeat(np.arange(len(own), dtype=np.uint64) << np.uint64(54), own)
         part = np.sort(keys[ends[i] : ends[i + len(own)]] | line)
         new = np.ones(len(part), bool)
@@ -72,48 +127,53 @@ def _ordered_sets(keys: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.nd
 
 LINE = T.StructType([
     T.StructField("line", T.IntegerType()), T.StructField("name", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("low", T.LongType()),
-    T.StructField("high", T.LongType()), T.StructField("prefix", T.ArrayType(T.IntegerType())),
+    T.StructField("high", T.LongType()), T.StructField("wide", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.IntegerType())),
 ])
 
 
-def _sets(docs: DataFrame, ranked: list[str]) -> DataFrame:
-    """docs' keys with each line's set: name, size, bitmap, and its prefix where the task meets the set for the first time.
+def _sets(docs: DataFrame, classes: np.ndarray) -> DataFrame:
+    """docs' keys with each line's set: name, size, bitmap, and its prefix and wide bitmap where the task meets the set for the first time.
 
-    A word's key is its rank, 0 for those past the RANKED, over 40 bits of its hash, so that keys ascend from rare to frequent;
-    two words of a line are taken for one with a chance of a billionth. Verification is on 64 bits.
+    A word's key is its bucket's class over 46 bits of its hash, so that keys ascend from rare to frequent; two words of a line
+    are taken for one with a chance of a billionth. Verification is on 64 bits.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(ranked)  # at most RANKED words of 100 characters
+    shared = spark.sparkContext.broadcast(classes)  # a byte for each bucket
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("version", T.LongType()), T.StructField("lines", T.ArrayType(LINE))])
 
     def run(batches) -> Iterator[dict]:
-        rank = {w: (i + 1) << WORD_BITS for i, w in enumerate(shared.value)}
-        cache = WordCache(lambda w: rank.get(w, 0) | (xxhash.xxh3_64_intdigest(w) & (1 << WORD_BITS) - 1), 400_000)
+        high_bits = shared.value.astype(np.uint64) << np.uint64(WORD_BITS)
         seen: set[int] = set()
         for b in batches:
-            owner, number, tokens, sizes = _of_lines(b.column("text").to_pylist())
-            starts = np.searchsorted(np.array(owner, np.int64), np.arange(b.num_rows + 1))
-            if not sizes:
+            found, line, owner, number = _word_hashes(b.column("text"))
+            sizes = np.bincount(line, minlength=len(owner))
+            part = sizes >= LEAST_WORDS
+            if not part.any():
                 yield {"doc_id": b.column("doc_id"), "version": b.column("version"), "lines": [[]] * b.num_rows}
                 continue
-            keys, n = _ordered_sets(np.fromiter(map(cache.__getitem__, tokens), np.uint64, len(tokens)), sizes)
+            found = found[part[line]]
+            owner, number, sizes = owner[part], number[part], sizes[part]
+            starts = np.searchsorted(owner, np.arange(b.num_rows + 1))
+            keys, n = _ordered_sets(high_bits[(found >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)] | found & ONLY_WORD, sizes)
             first = np.cumsum(n) - n
             mixed = mix(keys & ONLY_WORD)
             with np.errstate(over="ignore"):
                 name = (mix(np.add.reduceat(mixed, first) * np.uint64(0x9E3779B97F4A7C15) + n.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
             bit = np.uint64(1) << (mixed & np.uint64(63))
-            upper = (mixed >> np.uint64(6)) & np.uint64(1) == 1
-            low = np.bitwise_xor.reduceat(np.where(upper, np.uint64(0), bit), first).view(np.int64)
-            high = np.bitwise_xor.reduceat(np.where(upper, bit, np.uint64(0)), first).view(np.int64)
+            which = (mixed >> np.uint64(6)).astype(np.uint8) & np.uint8(WIDE - 1)
+            wide = np.stack([np.bitwise_xor.reduceat(np.where(which == w, bit, np.uint64(0)), first) for w in range(WIDE)], axis=1)
+            low, high = (np.bitwise_xor.reduce(wide[:, w::2], axis=1).view(np.int64) for w in (0, 1))
             new = np.array([x not in seen and not seen.add(x) for x in name.tolist()], bool)
+            kept = new & (n >= WIDE_WORDS)
+            maps = pa.Array.from_buffers(pa.binary(), len(n), [pa.py_buffer(np.packbits(kept, bitorder="little")), pa.py_buffer(np.concatenate([[0], np.cumsum(kept) * WIDE * 8]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(wide[kept]))])
             length = np.where(new, n - (n * LEAST + 99) // 100 + 1, 0)
             place = np.arange(len(keys)) - np.repeat(first, n)
             tokens32 = (mixed >> np.uint64(33)).astype(np.int32)[place < np.repeat(length, n)]
             prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(tokens32))
-            lines = pa.StructArray.from_arrays([pa.array(np.array(number, np.int32)), pa.array(name), pa.array(n.astype(np.int32)), pa.array(low), pa.array(high), prefix], LINE.names)
+            lines = pa.StructArray.from_arrays([pa.array(number.astype(np.int32)), pa.array(name), pa.array(n.astype(np.int32)), pa.array(low), pa.array(high), maps, prefix], LINE.names)
             yield {"doc_id": b.column("doc_id"), "version": b.column("version"), "lines": pa.ListArray.from_arrays(pa.array(starts, pa.int32()), lines)}
 
-    return per_text(docs, run, schema)
+    return per_text(docs, run, schema, rows=64)
 
 
 ENTRY = ("token", "name", "shape", "doc_id", "low", "high")
@@ -128,7 +188,17 @@ def _met(e: dict[str, np.ndarray], at: np.ndarray, earlier: np.ndarray) -> tuple
     at, earlier, most = at[ok], earlier[ok], (n[ok] + m[ok]) * (100 - LEAST) // (100 + LEAST)
     differ = np.bitwise_count(e["low"][at] ^ e["low"][earlier]).astype(np.int32) + np.bitwise_count(e["high"][at] ^ e["high"][earlier])
     ok = np.flatnonzero((differ <= most) & (e["name"][at] != e["name"][earlier]))
-    return at[ok], earlier[ok]
+    at, earlier, most = at[ok], earlier[ok], most[ok]
+    if "wide" in e:
+        a, b = e["map"][at], e["map"][earlier]
+        both = np.flatnonzero((a >= 0) & (b >= 0))
+        differ = np.zeros(len(both), np.int32)
+        for w in e["wide"].T:
+            differ += np.bitwise_count(w[a[both]] ^ w[b[both]])
+        ok = np.ones(len(at), bool)
+        ok[both] = differ <= most[both]
+        at, earlier = at[ok], earlier[ok]
+    return at, earlier
 
 
 def _pairs(entries: DataFrame, first: int | None) -> DataFrame:
@@ -147,6 +217,10 @@ def _pairs(entries: DataFrame, first: int | None) -> DataFrame:
         order = np.lexsort((e["doc_id"], e["token"]))
         e = {c: v[order] for c, v in e.items() if c != "doc_id"}
         e |= {"n": (e["shape"] >> 32).astype(np.int32), "pos": (e.pop("shape") & 0xFFFFFFFF).astype(np.int32), "low": e["low"].view(np.uint64), "high": e["high"].view(np.uint64)}
+        if not first:
+            maps = table.column("wide").combine_chunks().take(pa.array(order))
+            valid = maps.is_valid().to_numpy(zero_copy_only=False)
+            e |= {"map": np.where(valid, np.cumsum(valid) - 1, -1), "wide": np.frombuffer(b"".join(maps.drop_null().to_pylist()), np.uint64).reshape(-1, WIDE)}
         token = e["token"]
         head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         start = np.repeat(head, np.diff(np.append(head, len(token))))
@@ -167,7 +241,7 @@ def _pairs(entries: DataFrame, first: int | None) -> DataFrame:
             other = pa.array(np.concatenate([e["name"][earlier[keep]], e["name"][more]]), mask=np.arange(len(names)) >= keep.sum())
             yield pa.RecordBatch.from_arrays([pa.array(names), other, pa.array(np.arange(len(names)) >= keep.sum())], names=PAIR.names)
 
-    return entries.select(*ENTRY, *([] if first else ["open"])).repartition(partitions(entries.sparkSession), "token").mapInArrow(run, PAIR)
+    return entries.select(*ENTRY, *([] if first else ["wide", "open"])).repartition(partitions(entries.sparkSession), "token").mapInArrow(run, PAIR)
 
 
 def _cuts(ends: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
@@ -236,11 +310,11 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     keyed = _keyed(docs)
-    sets = scratch.table(_sets(keyed, frequent(docs)))
+    sets = scratch.table(_sets(keyed, rarity(docs)))
     lines = sets.select("doc_id", "version", F.explode("lines").alias("x"))
     occurs = lines.select("doc_id", "version", F.col("x.line").alias("line"), F.col("x.name").alias("name"))
     firsts = occurs.groupBy("name").agg(F.min(F.struct("doc_id", "version", "line")).alias("first"), F.max(F.struct("doc_id", "version", "line")).alias("last"))
-    entries = lines.select("doc_id", "x.*").select("doc_id", "name", "n", "low", "high", F.posexplode("prefix").alias("pos", "token")).withColumn("shape", F.expr("shiftleft(bigint(n), 32) + pos"))
+    entries = lines.select("doc_id", "x.*").select("doc_id", "name", "n", "low", "high", "wide", F.posexplode("prefix").alias("pos", "token")).withColumn("shape", F.expr("shiftleft(bigint(n), 32) + pos"))
     met = scratch.table(_pairs(entries, FIRST))
     # A pair comes from several words, in either order where sets repeat in tasks; one row is enough from here on.
     near = met.where("not more").select(F.least("name", "other").alias("name"), F.greatest("name", "other").alias("other")).distinct()
