@@ -201,6 +201,19 @@ def _met(e: dict[str, np.ndarray], at: np.ndarray, earlier: np.ndarray) -> tuple
     return at, earlier
 
 
+def _by_token(e: dict[str, np.ndarray]) -> np.ndarray:
+    """The entries in the order of token and doc_id, each set's first alone for a token: tasks that meet a set each bring its entries."""
+    token, doc_id = e["token"], e["doc_id"]
+    least = int(doc_id.min())
+    if int(doc_id.max()) - least < 1 << 32:
+        order = np.argsort((token.astype(np.int64) << 32).view(np.uint64) | (doc_id - least).astype(np.uint64))
+    else:
+        order = np.lexsort((doc_id, token))
+    own = mix(e["name"].view(np.uint64)) ^ token.astype(np.uint64)
+    first = np.unique(own[order], return_index=True)[1]
+    return order[np.sort(first)] if len(first) < len(order) else order
+
+
 def _pairs(entries: DataFrame, first: int | None) -> DataFrame:
     """Candidate pairs (name, other): for each entry those of its token with a smaller doc_id, or the same one and before it.
 
@@ -214,7 +227,7 @@ def _pairs(entries: DataFrame, first: int | None) -> DataFrame:
             return
         table = pa.Table.from_batches(got)
         e = {c: table.column(c).fill_null(-(1 << 62) if c == "doc_id" else 0).to_numpy() for c in ENTRY}
-        order = np.lexsort((e["doc_id"], e["token"]))
+        order = _by_token(e)
         e = {c: v[order] for c, v in e.items() if c != "doc_id"}
         e |= {"n": (e["shape"] >> 32).astype(np.int32), "pos": (e.pop("shape") & 0xFFFFFFFF).astype(np.int32), "low": e["low"].view(np.uint64), "high": e["high"].view(np.uint64)}
         if not first:
@@ -313,10 +326,10 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     sets = scratch.table(_sets(keyed, rarity(docs)))
     lines = sets.select("doc_id", "version", F.explode("lines").alias("x"))
     occurs = lines.select("doc_id", "version", F.col("x.line").alias("line"), F.col("x.name").alias("name"))
-    firsts = occurs.groupBy("name").agg(F.min(F.struct("doc_id", "version", "line")).alias("first"), F.max(F.struct("doc_id", "version", "line")).alias("last"))
+    firsts = scratch.table(occurs.groupBy("name").agg(F.min(F.struct("doc_id", "version", "line")).alias("first"), F.count("*").alias("n_lines")))
     entries = lines.select("doc_id", "x.*").select("doc_id", "name", "n", "low", "high", "wide", F.posexplode("prefix").alias("pos", "token")).withColumn("shape", F.expr("shiftleft(bigint(n), 32) + pos"))
     met = scratch.table(_pairs(entries, FIRST))
-    # A pair comes from several words, in either order where sets repeat in tasks; one row is enough from here on.
+    # A pair comes from several words; one row is enough from here on.
     near = met.where("not more").select(F.least("name", "other").alias("name"), F.greatest("name", "other").alias("other")).distinct()
     late = scratch.table(_later(_verified(near, firsts, keyed), firsts))
     open_ = scratch.table(met.where("more").select("name").distinct().join(late, "name", "left_anti"))
@@ -327,7 +340,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         rest = _pairs(marked.withColumn("open", F.coalesce("open", F.lit(0))), None)
         rest = scratch.table(rest.select(F.least("name", "other").alias("name"), F.greatest("name", "other").alias("other")).distinct().join(near, ["name", "other"], "left_anti"))
         late = late.union(_later(_verified(rest, firsts, keyed), firsts)).distinct()
-    marked = firsts.join(late.withColumn("gone", F.lit(True)), "name", "left").where("gone or first <> last").select("name", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
+    marked = firsts.join(late.withColumn("gone", F.lit(True)), "name", "left").where("gone or n_lines > 1").select("name", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
     out = occurs.join(marked, "name").where(F.col("gone") | (F.struct("doc_id", "version", "line") != F.col("first")))
     return scratch.table(out.select("doc_id", "version", "line").distinct().groupBy("doc_id", "version").agg(F.array_sort(F.collect_list("line")).alias("removed")))
 
