@@ -22,12 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weir.llm.common import Scratch, hashes, lower_ascii, mix, partitions, per_text, small, words
+from weir.llm.common import Scratch, mix, partitions, per_text, small
 
 #: Hundredths of similarity; words that a line needs to take part; partners of a set for each word at first.
 LEAST, LEAST_WORDS, FIRST = 80, 5, 6
+#: Pairs of entries that are held at a time.
+MET = 1 << 19
 #: Buckets that words are counted in, as a power of two; classes of an octave of counts.
-BUCKET_BITS, OCTAVE = 17, 5
+BUCKET_BITS, OCTAVE = 16, 5
 #: Lines that are sorted at a time, and a key's bits for the word itself, under 8 for its class and 10 for the line.
 CHUNK, WORD_BITS = 1024, 46
 ONLY_WORD = np.uint64((1 << WORD_BITS) - 1)
@@ -218,7 +220,7 @@ def _pairs(entries: DataFrame, first: int | None) -> DataFrame:
     """Candidate pairs (name, other): for each entry those of its token with a smaller doc_id, or the same one and before it.
 
     With `first`, the first so many, and a row with more and without other where there are more of them; else all, for the
-    entries marked open. An entry's shape is its size and position. Entries meet about four million at a time.
+    entries marked open. An entry's shape is its size and position. About MET pairs are held at a time.
     """
 
     def run(batches):
@@ -239,7 +241,7 @@ def _pairs(entries: DataFrame, first: int | None) -> DataFrame:
         start = np.repeat(head, np.diff(np.append(head, len(token))))
         place = np.arange(len(token)) - start
         live = np.flatnonzero(place if first else place * table.column("open").to_numpy()[order])
-        for lo, hi in _cuts(np.cumsum(place[live]), 4_000_000):
+        for lo, hi in _cuts(np.cumsum(place[live]), MET):
             own = live[lo:hi]
             at = np.repeat(own, place[own])
             back = np.arange(len(at)) - np.repeat(np.cumsum(place[own]) - place[own], place[own])
@@ -275,13 +277,14 @@ def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame
 
     def run(batches) -> Iterator[dict]:
         for b in batches:
-            out: dict = {"name": [], "words": []}
-            for text, lines in zip(b.column("text").to_pylist(), b.column("lines").to_pylist(), strict=True):
-                split = lower_ascii(text or "").split("\n")
-                for x in lines:
-                    out["name"].append(x["name"])
-                    out["words"].append(np.unique(hashes(words(split[x["line"]]))).tobytes())
-            yield out
+            names, lines = [], []
+            for text, own in zip(b.column("text").to_pylist(), b.column("lines").to_pylist(), strict=True):
+                split = (text or "").split("\n")
+                names += [x["name"] for x in own]
+                lines += [split[x["line"]] for x in own]
+            found, line, owner, _ = _word_hashes(pa.array(lines, pa.string()))
+            ends = np.searchsorted(owner[line], np.arange(len(lines) + 1))
+            yield {"name": names, "words": [np.unique(found[i:j]).tobytes() for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]}
 
     sets = Scratch(docs.sparkSession).table(per_text(texts, run, schema).dropDuplicates(["name"]))
     one = sets.select("name", F.col("words").alias("a"))
@@ -290,16 +293,19 @@ def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame
 
     def check(batches) -> Iterator[dict]:
         for t in batches:
-            keep = []
-            for i, (a, b) in enumerate(zip(t.column("a").to_pylist(), t.column("b").to_pylist(), strict=True)):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * common >= LEAST * (len(x) + len(y) - common):
-                    keep.append(i)
-            at = pa.array(keep, pa.int64())
+            a, b = (t.column(c).to_pylist() for c in "ab")
+            n, m = (np.array([len(x) // 8 for x in side]) for side in (a, b))
+            # A word that both sets of a pair have comes twice with the pair's number.
+            pair = np.repeat(np.tile(np.arange(len(a)), 2), np.concatenate([n, m]))
+            with np.errstate(over="ignore"):
+                key = mix(np.frombuffer(b"".join(a + b), np.uint64) + (pair.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+            order = np.argsort(key)
+            twice = key[order[1:]] == key[order[:-1]]
+            common = np.bincount(pair[order[1:][twice]], minlength=len(a))
+            at = pa.array(np.flatnonzero(100 * common >= LEAST * (n + m - common)))
             yield {"name": t.column("name").take(at), "other": t.column("other").take(at)}
 
-    return per_text(pairs.select("name", "other").join(one, "name").join(two, "other"), check, both, rows=2048)
+    return per_text(pairs.select("name", "other").join(one, "name").join(two, "other"), check, both, rows=1024)
 
 
 def _later(similar: DataFrame, firsts: DataFrame) -> DataFrame:
