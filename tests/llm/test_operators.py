@@ -1,18 +1,20 @@
 """The operators against brute force or libraries, on small tables with nulls, empty and long texts, ties and repeated rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
 from weir.llm import jaccard, lines, mixing, nearest, quality, rules, secrets, sentencepieces, token_files, toxicity
-from weir.llm.common import connected
+from weir.llm.common import connected, lower_ascii
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -183,6 +185,19 @@ def test_lines(docs, rows, empty):
     assert lines.without_repeats(docs).columns == docs.columns
 
 
+def test_word_hashes():
+    rng = random.Random(1)
+    texts = [None, "", "a", "a\n", "\n", "\n\nb", " a", "q" * 300 + " " * 300 + "z " * 3 + "\n" + "q" * 300 + " q" * 2]
+    texts += ["".join(rng.choice("ab \n\tçÉAZ\x0b\x1c　x") for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    rng.shuffle(texts)
+    found, line, owner, number = lines._word_hashes(pa.array([None, *texts])[1:])
+    want = [(k, i, w) for k, t in enumerate(texts) if t for i, x in enumerate(lower_ascii(t).split("\n")) for w in WORD.findall(x)]
+    assert list(zip(owner[line].tolist(), number[line].tolist(), strict=True)) == [w[:2] for w in want]
+    pairs = {(w[2], h) for w, h in zip(want, found.tolist(), strict=True)}
+    assert len(pairs) == len({w for w, _ in pairs}) == len({h for _, h in pairs})
+    assert len(lines._word_hashes(pa.array(["", None, " "]))[0]) == 0
+
+
 def test_mixing(docs, rows, empty):
     got = mixing.mixed(docs).collect()
     assert len(got) == len(rows)

@@ -1,7 +1,8 @@
 """Line dedup by an exact set-similarity join.
 
-A line is the set of its lower-cased words. Each set's words are ordered from rare to frequent, by counts over all documents;
-two sets of Jaccard similarity 0.8 or more share a word among the first few of each. Pairs that do pass three filters: their
+A line is the set of its lower-cased words. Each set's words are ordered from rare to frequent, by the
+counts of buckets of words over all documents (any one order gives the same result, a good one fewer pairs); two sets of
+Jaccard similarity 0.8 or more share a word among the first few of each. Pairs that do pass three filters: their
 sizes, what the positions of the shared word leave to share, and a bitmap of word parities, whose differing bits can't outnumber
 the words that differ. What is left is verified on the words themselves. A line goes if an earlier line, in the order of
 doc_id and place, is similar to it.
