@@ -20,7 +20,7 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines like an earlier one, and documents that lose all their words."""
-    return lines.without_repeats(docs)
+    return lines.without_repeats(docs, least_words=1)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

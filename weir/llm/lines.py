@@ -25,8 +25,10 @@ from pyspark.sql import types as T
 
 from weir.llm.common import Scratch, mix, partitions, per_text, small
 
-#: Hundredths of similarity; words that a line needs to take part; partners of a set for each word at first.
+#: Hundredths of similarity; words that a line needs to take part unless the caller says otherwise; partners of a set for each word at first.
 LEAST, LEAST_WORDS, FIRST = 80, 5, 6
+#: A set of fewer words is similar to equal ones only, so it needs no partners.
+LEAST_SET = 4
 #: Pairs of entries that are held at a time.
 MET = 1 << 19
 #: Buckets that words are counted in, as a power of two; classes of an octave of counts.
@@ -134,8 +136,8 @@ LINE = T.StructType([
 ])
 
 
-def _sets(docs: DataFrame, classes: np.ndarray) -> DataFrame:
-    """docs' keys with each line's set: name, size, bitmap, and its prefix and wide bitmap where the task meets the set for the first time.
+def _sets(docs: DataFrame, classes: np.ndarray, least_words: int) -> DataFrame:
+    """docs' keys with the set of each line of least_words words or more: name, size, bitmap, and its prefix and wide bitmap where the task meets the set for the first time.
 
     A word's key is its bucket's class over 46 bits of its hash, so that keys ascend from rare to frequent; two words of a line
     are taken for one with a chance of a billionth. Verification is on 64 bits.
@@ -150,7 +152,7 @@ def _sets(docs: DataFrame, classes: np.ndarray) -> DataFrame:
         for b in batches:
             found, line, owner, number = _word_hashes(b.column("text"))
             sizes = np.bincount(line, minlength=len(owner))
-            part = sizes >= LEAST_WORDS
+            part = sizes >= max(1, least_words)
             if not part.any():
                 yield {"doc_id": b.column("doc_id"), "version": b.column("version"), "lines": [[]] * b.num_rows}
                 continue
@@ -169,7 +171,7 @@ def _sets(docs: DataFrame, classes: np.ndarray) -> DataFrame:
             new = np.array([x not in seen and not seen.add(x) for x in name.tolist()], bool)
             kept = new & (n >= WIDE_WORDS)
             maps = pa.Array.from_buffers(pa.binary(), len(n), [pa.py_buffer(np.packbits(kept, bitorder="little")), pa.py_buffer(np.concatenate([[0], np.cumsum(kept) * WIDE * 8]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(wide[kept]))])
-            length = np.where(new, n - (n * LEAST + 99) // 100 + 1, 0)
+            length = np.where(new & (n >= LEAST_SET), n - (n * LEAST + 99) // 100 + 1, 0)
             place = np.arange(len(keys)) - np.repeat(first, n)
             tokens32 = (mixed >> np.uint64(33)).astype(np.int32)[place < np.repeat(length, n)]
             prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(tokens32))
@@ -321,16 +323,16 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, version, removed) for the rows of docs that lose lines: version tells rows with one doc_id by their text.
 
-    Lines are parted by line feeds and counted from 0. Lines of fewer than LEAST_WORDS words stay. Null doc_ids come first in
+    Lines are parted by line feeds and counted from 0. Lines of fewer than least_words words stay, and those without words. Null doc_ids come first in
     the order; rows that agree in doc_id and text are one row.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     keyed = _keyed(docs)
-    sets = scratch.table(_sets(keyed, rarity(docs)))
+    sets = scratch.table(_sets(keyed, rarity(docs), least_words))
     lines = sets.select("doc_id", "version", F.explode("lines").alias("x"))
     occurs = lines.select("doc_id", "version", F.col("x.line").alias("line"), F.col("x.name").alias("name"))
     firsts = scratch.table(occurs.groupBy("name").agg(F.min(F.struct("doc_id", "version", "line")).alias("first"), F.count("*").alias("n_lines")))
@@ -356,12 +358,12 @@ def _cleaned(text: Column, removed: Column) -> Column:
     return F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(removed, i)), "\n")
 
 
-def deduped(docs: DataFrame) -> DataFrame:
+def deduped(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_lines, n_removed, removed_lines (joined by commas) and kept_sha256.
 
     kept_sha256 is of the text less those lines, UTF-8. A null text has no lines and counts as empty.
     """
-    gone = removed_lines(docs)
+    gone = removed_lines(docs, least_words)
     keyed = _keyed(docs).withColumn("n_lines", F.when(F.length("text") > 0, F.size(F.split("text", "\n"))).otherwise(0).cast("long"))
     text = F.coalesce("text", F.lit(""))
     on = (F.col("doc_id").eqNullSafe(F.col("g_doc"))) & (F.col("version") == F.col("g_version"))
@@ -372,9 +374,9 @@ def deduped(docs: DataFrame) -> DataFrame:
     )
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """The rows of docs with their columns, less the removed lines; n_chars, where there is one, is counted again. Rows that lose all their words go."""
-    gone = small(removed_lines(docs).select(F.col("doc_id").alias("g_doc"), F.col("version").alias("g_version"), "removed"), 500_000)
+    gone = small(removed_lines(docs, least_words).select(F.col("doc_id").alias("g_doc"), F.col("version").alias("g_version"), "removed"), 500_000)
     joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("g_doc")) & (F.xxhash64(docs["text"]) == F.col("g_version")), "left")
     text = F.when(F.col("removed").isNull(), docs["text"]).otherwise(_cleaned(docs["text"], F.col("removed")))
     out = joined.withColumn("text", text).where(F.col("removed").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))

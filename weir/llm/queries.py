@@ -45,7 +45,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.deduped(load(spark, sf_dir, "documents"))
+    return lines.deduped(load(spark, sf_dir, "documents"), least_words=1)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
