@@ -29,6 +29,8 @@ from weir.llm.common import Scratch, mix, partitions, per_text, small
 LEAST, LEAST_WORDS, FIRST = 80, 5, 6
 #: A set of fewer words is similar to equal ones only, so it needs no partners.
 LEAST_SET = 4
+#: Where a null doc_id stands in the order.
+NO_ID = -(1 << 63)
 #: Pairs of entries that are held at a time.
 MET = 1 << 19
 #: Buckets that words are counted in, as a power of two; classes of an octave of counts.
@@ -137,7 +139,7 @@ LINE = T.StructType([
 
 
 def _sets(docs: DataFrame, classes: np.ndarray, least_words: int) -> DataFrame:
-    """docs' keys with the set of each line of least_words words or more: name, size, bitmap, and its prefix and wide bitmap where the task meets the set for the first time.
+    """docs' keys with the set of each line of least_words words or more: name, size, bitmap, and its prefix and wide bitmap where the task meets the set for the first time, or before where it has met it in the order of doc_id, version and line.
 
     A word's key is its bucket's class over 46 bits of its hash, so that keys ascend from rare to frequent; two words of a line
     are taken for one with a chance of a billionth. Verification is on 64 bits.
@@ -148,7 +150,7 @@ def _sets(docs: DataFrame, classes: np.ndarray, least_words: int) -> DataFrame:
 
     def run(batches) -> Iterator[dict]:
         high_bits = shared.value.astype(np.uint64) << np.uint64(WORD_BITS)
-        seen: set[int] = set()
+        seen: dict[int, tuple] = {}
         for b in batches:
             found, line, owner, number = _word_hashes(b.column("text"))
             sizes = np.bincount(line, minlength=len(owner))
@@ -168,7 +170,11 @@ def _sets(docs: DataFrame, classes: np.ndarray, least_words: int) -> DataFrame:
             which = (mixed >> np.uint64(6)).astype(np.uint8) & np.uint8(WIDE - 1)
             wide = np.stack([np.bitwise_xor.reduceat(np.where(which == w, bit, np.uint64(0)), first) for w in range(WIDE)], axis=1)
             low, high = (np.bitwise_xor.reduce(wide[:, w::2], axis=1).view(np.int64) for w in (0, 1))
-            new = np.array([x not in seen and not seen.add(x) for x in name.tolist()], bool)
+            rows = list(zip(b.column("doc_id").fill_null(NO_ID).to_pylist(), b.column("version").to_pylist(), strict=True))
+            new = np.zeros(len(name), bool)
+            for i, (x, at) in enumerate(zip(name.tolist(), zip(map(rows.__getitem__, owner.tolist()), number.tolist(), strict=True), strict=True)):
+                if x not in seen or at < seen[x]:
+                    seen[x], new[i] = at, True
             kept = new & (n >= WIDE_WORDS)
             maps = pa.Array.from_buffers(pa.binary(), len(n), [pa.py_buffer(np.packbits(kept, bitorder="little")), pa.py_buffer(np.concatenate([[0], np.cumsum(kept) * WIDE * 8]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(wide[kept]))])
             length = np.where(new & (n >= LEAST_SET), n - (n * LEAST + 99) // 100 + 1, 0)
@@ -181,7 +187,7 @@ def _sets(docs: DataFrame, classes: np.ndarray, least_words: int) -> DataFrame:
     return per_text(docs, run, schema, rows=64)
 
 
-ENTRY = ("token", "name", "shape", "doc_id", "low", "high")
+ENTRY = ("token", "name", "shape", "doc_id", "version", "line", "low", "high")
 PAIR = T.StructType([T.StructField("name", T.LongType()), T.StructField("other", T.LongType()), T.StructField("more", T.BooleanType())])
 
 
@@ -207,22 +213,33 @@ def _met(e: dict[str, np.ndarray], at: np.ndarray, earlier: np.ndarray) -> tuple
 
 
 def _by_token(e: dict[str, np.ndarray]) -> np.ndarray:
-    """The entries in the order of token and doc_id, each set's first alone for a token: tasks that meet a set each bring its entries."""
+    """The entries in the order of token, doc_id, version and line, each set's first alone for a token.
+
+    Tasks that meet a set each bring its entries, among them those of its first line in the task. So what is left of a set stands
+    at its first line of all, for every token, and the sets of a token stand in the order of `firsts`.
+    """
     token, doc_id = e["token"], e["doc_id"]
     least = int(doc_id.min())
     if int(doc_id.max()) - least < 1 << 32:
-        order = np.argsort((token.astype(np.int64) << 32).view(np.uint64) | (doc_id - least).astype(np.uint64))
+        key = (token.astype(np.int64) << 32).view(np.uint64) | (doc_id - least).astype(np.uint64)
+        order = np.argsort(key)
+        # The rest of the order is for the few that agree in both.
+        tie = key[order[1:]] == key[order[:-1]]
+        tied = np.flatnonzero(np.append(tie, False) | np.append(False, tie))
+        own = order[tied]
+        order[tied] = own[np.lexsort((e["line"][own], e["version"][own], key[own]))]
     else:
-        order = np.lexsort((doc_id, token))
+        order = np.lexsort((e["line"], e["version"], doc_id, token))
     own = mix(e["name"].view(np.uint64)) ^ token.astype(np.uint64)
     first = np.unique(own[order], return_index=True)[1]
     return order[np.sort(first)] if len(first) < len(order) else order
 
 
 def _pairs(entries: DataFrame, first: int | None) -> DataFrame:
-    """Candidate pairs (name, other): for each entry those of its token with a smaller doc_id, or the same one and before it.
+    """Candidate pairs (name, other): for each entry those of its token before it in the order of doc_id, version and line.
 
-    With `first`, the first so many, and a row with more and without other where there are more of them; else all, for the
+    A set that a similar one precedes needs no more partners: the later sets that are similar to it meet it among theirs, as all
+    tokens have one order. With `first`, the first so many, and a row with more and without other where there are more of them; else all, for the
     entries marked open. An entry's shape is its size and position. About MET pairs are held at a time.
     """
 
@@ -231,9 +248,9 @@ def _pairs(entries: DataFrame, first: int | None) -> DataFrame:
         if not got:
             return
         table = pa.Table.from_batches(got)
-        e = {c: table.column(c).fill_null(-(1 << 62) if c == "doc_id" else 0).to_numpy() for c in ENTRY}
+        e = {c: table.column(c).fill_null(NO_ID if c == "doc_id" else 0).to_numpy() for c in ENTRY}
         order = _by_token(e)
-        e = {c: v[order] for c, v in e.items() if c != "doc_id"}
+        e = {c: v[order] for c, v in e.items() if c not in ("doc_id", "version", "line")}
         e |= {"n": (e["shape"] >> 32).astype(np.int32), "pos": (e.pop("shape") & 0xFFFFFFFF).astype(np.int32), "low": e["low"].view(np.uint64), "high": e["high"].view(np.uint64)}
         if not first:
             maps = table.column("wide").combine_chunks().take(pa.array(order))
@@ -336,7 +353,7 @@ def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     lines = sets.select("doc_id", "version", F.explode("lines").alias("x"))
     occurs = lines.select("doc_id", "version", F.col("x.line").alias("line"), F.col("x.name").alias("name"))
     firsts = scratch.table(occurs.groupBy("name").agg(F.min(F.struct("doc_id", "version", "line")).alias("first"), F.count("*").alias("n_lines")))
-    entries = lines.select("doc_id", "x.*").select("doc_id", "name", "n", "low", "high", "wide", F.posexplode("prefix").alias("pos", "token")).withColumn("shape", F.expr("shiftleft(bigint(n), 32) + pos"))
+    entries = lines.select("doc_id", "version", "x.*").select("doc_id", "version", "line", "name", "n", "low", "high", "wide", F.posexplode("prefix").alias("pos", "token")).withColumn("shape", F.expr("shiftleft(bigint(n), 32) + pos"))
     met = scratch.table(_pairs(entries, FIRST))
     # A pair comes from several words; one row is enough from here on.
     near = met.where("not more").select(F.least("name", "other").alias("name"), F.greatest("name", "other").alias("other")).distinct()
