@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -64,12 +62,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the setting is missing, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of spark.checkpoint.dir, or of setCheckpointDir; without either it is an error, as no local folder would do on a cluster."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="weir")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found
 
 
@@ -87,9 +83,8 @@ class Scratch:
         return out
 
     def drop(self, df: DataFrame) -> None:
-        """Deletes a table that no later step reads; the shuffles of finished steps go with the next collection, which is asked for."""
+        """Deletes a table that no later step reads."""
         jvm = self.spark.sparkContext._jvm
-        jvm.System.gc()
         path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -102,9 +97,17 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def small(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
-    """A broadcast hint where a count shows at most `rows` rows of ids; else df as it is, for a shuffled join."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame, width: int | F.Column = 32, most: int = 24 << 20) -> DataFrame:
+    """A broadcast hint where the rows, of `width` bytes each, are shown to take at most `most` bytes; else df as it is, for a shuffled join. df should be a table, as it is read for that."""
+    size = df.agg(F.sum(F.lit(width) if isinstance(width, int) else width)).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
+
+
+def temporary(df: DataFrame, *names: str) -> list[str]:
+    """Names of columns that df doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    end = next(i for i in range(len(taken) + 1) if not taken & {f"_{n}_{i}" for n in names})
+    return [f"_{n}_{end}" for n in names]
 
 
 def per_text(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: T.StructType, rows: int = 256) -> DataFrame:
@@ -115,7 +118,6 @@ def per_text(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[dic
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        gc.disable()  # the caches hold many tuples and no cycles
         cut = (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
         for out in f(cut):
             yield pa.RecordBatch.from_arrays([pa.array(out[n], arrow.field(n).type) for n in names], schema=arrow)

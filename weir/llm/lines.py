@@ -1,15 +1,19 @@
 """Line dedup by an exact set-similarity join.
 
-A line is the set of its lower-cased words. Each set's words are ordered from rare to frequent, by the
-counts of buckets of words over all documents (any one order gives the same result, a good one fewer pairs); two sets of
-Jaccard similarity 0.8 or more share a word among the first few of each. Pairs that do pass three filters: their
-sizes, what the positions of the shared word leave to share, and a bitmap of word parities, whose differing bits can't outnumber
-the words that differ. What is left is verified on the words themselves. A line goes if an earlier line, in the order of
-doc_id and place, is similar to it.
-
-Equal sets are one, so copies make no pairs. Of the earlier sets that pass the filters a set is verified against the first few
-of each shared word; only where those are none of them similar and there are more, all of them are. So a group of near copies
-costs a few pairs each, and the result is still exact.
+A line is the set of its lower-cased words. Each set's words are ordered from rare to frequent, by counts over all documents
+(any one order gives the same result, a good one fewer pairs); two sets of Jaccard similarity 0.8 or more share a word among
+the first few of each. Pairs that do pass three filters: their sizes, what the positions of the shared word leave to share, and
+a bitmap of word parities, whose differing bits can't outnumber the words that differ. What is left is verified on the words
+themselves. A line goes if an earlier line is similar to it. Lines stand in the order of doc_id, nulls first, and place; of
+rows that share a doc_id and have other texts the lines with one number stand in the order of their sets' names.
+
+Equal sets are one, so copies make no pairs. A set is met with a bounded number of the earlier sets of each of its words: those
+of its block and the very first ones, and of those that pass the filters it is verified against a few. Sets that have found no similar
+one and have not met all earlier ones are open; they are met with each other in the same way, and what is then still open is met
+with all earlier sets. So a group of near copies costs a few pairs each, and the result is exact. The sets of a word that
+is too frequent for one task are dealt to several by their names, and open ones go to each of them.
+
+Entries travel as blocks of plain arrays, a row for each block and part.
 """
 
 from __future__ import annotations
@@ -23,37 +27,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weir.llm.common import Scratch, mix, partitions, per_text, small
+from weir.llm.common import Scratch, mix, partitions, per_text, small, temporary
 
-#: Hundredths of similarity; words that a line needs to take part unless the caller says otherwise; partners of a set for each word at first.
+#: Hundredths of similarity; words that a line needs to take part unless the caller says otherwise; verified partners of a set for each word in one round.
 LEAST, LEAST_WORDS, FIRST = 80, 5, 6
 #: A set of fewer words is similar to equal ones only, so it needs no partners.
 LEAST_SET = 4
 #: Where a null doc_id stands in the order.
 NO_ID = -(1 << 63)
-#: Pairs of entries that are held at a time.
-MET = 1 << 19
-#: Buckets that words are counted in, as a power of two; classes of an octave of counts.
-BUCKET_BITS, OCTAVE = 16, 5
+#: Entries of a word's block, and those of its very first that all meet; pairs that are held at a time.
+BLOCK, HEAD, MET = 1024, 64, 1 << 19
+#: Classes of an octave of counts; the entries of a word that one task should meet, and bytes of entries of a partition.
+OCTAVE, SALT_ROWS, PART_BYTES = 5, 50_000, 24 << 20
 #: Lines that are sorted at a time, and a key's bits for the word itself, under 8 for its class and 10 for the line.
 CHUNK, WORD_BITS = 1024, 46
 ONLY_WORD = np.uint64((1 << WORD_BITS) - 1)
-#: Sets of so many words have a bitmap of 512 bits for the second pass, where the one of 128 bits is too full to tell much.
-WIDE_WORDS, WIDE = 48, 8
-#: A word's hash is the sum of one random number for each of its bytes and their places, up to so many places.
-PLACES = 256
+#: Bytes that are hashed at a time, and those of a word that is hashed apart.
+STRIDE, LONG = 1 << 18, 256
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+SOLID = ~SPACE
 LOWER = np.arange(256, dtype=np.uint8) + np.uint8(32) * np.isin(np.arange(256), np.arange(65, 91)).astype(np.uint8)
 
 
-def _byte_table() -> np.ndarray:
-    """Random numbers by place and byte, with zeros for spaces."""
-    table = mix(np.arange(1, PLACES * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(PLACES, 256)
-    table[:, SPACE] = 0
-    return table.ravel()
+def _powers(base: int) -> np.ndarray:
+    out = np.full(STRIDE, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
 
-BYTES = _byte_table()
+#: A random number for each byte, zero for spaces; a word's hash is their polynomial in BASE.
+BYTES = np.where(SPACE, np.uint64(0), mix(np.arange(1, 257, dtype=np.uint64) * GOLDEN))
+BASE = 0x5851F42D4C957F2F
+POWER, INVERSE = _powers(BASE), _powers(pow(BASE, -1, 1 << 64))
 
 
 def _word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -65,7 +71,7 @@ def _word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     begins = offsets[:-1] - offsets[0]
     raw = LOWER[raw]
     held = begins[begins < ends]
-    solid = ~SPACE[raw]
+    solid = SOLID[raw]
     begun = solid.copy()
     begun[1:] &= ~solid[:-1]
     begun[held] = solid[held]
@@ -81,38 +87,85 @@ def _word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     line = np.searchsorted(at, start, "right") - 1
     if not len(start):
         return np.zeros(0, np.uint64), line, owner, number
-    span = np.diff(np.append(start, len(raw)))
+    following = np.append(start[1:], len(raw))
     found = np.empty(len(start), np.uint64)
-    for lo, hi in _cuts(start + span - start[0], 1 << 18):
-        own = raw[start[lo] : start[hi - 1] + span[hi - 1]]
-        place = np.arange(len(own), dtype=np.int32) - np.repeat((start[lo:hi] - start[lo]).astype(np.int32), span[lo:hi])
-        np.minimum(place, PLACES - 1, out=place)
-        place <<= 8
-        place |= own
-        found[lo:hi] = np.add.reduceat(BYTES[place], start[lo:hi] - start[lo])
-    for i in np.flatnonzero(span >= PLACES).tolist():  # a long word, or many spaces after a short one
-        word = raw[start[i] : start[i] + span[i]]
+    for lo, hi in _cuts(following - start[0], STRIDE):
+        # Spaces add nothing, so a word's sum reaches up to the next word. A longer word than a stride is alone here and hashed below.
+        own = raw[start[lo] : min(following[hi - 1], start[lo] + STRIDE)]
+        sums = np.zeros(len(own) + 1, np.uint64)
+        np.cumsum(BYTES[own] * POWER[: len(own)], out=sums[1:])
+        first = start[lo:hi] - start[lo]
+        found[lo:hi] = (sums[np.minimum(following[lo:hi] - start[lo], len(own))] - sums[first]) * INVERSE[first]
+    for i in np.flatnonzero(following - start >= LONG).tolist():  # a long word, or many spaces after a short one
+        word = raw[start[i] : following[i]]
         word = word[: int(np.argmax(SPACE[word])) if SPACE[word].any() else len(word)]
-        if len(word) >= PLACES:
+        if len(word) >= LONG:
             found[i] = xxhash.xxh3_64_intdigest(word.tobytes())
     return mix(found), line, owner, number
 
 
-def rarity(docs: DataFrame) -> np.ndarray:
-    """The class of each bucket of words: a fifth of the binary order of its count over all documents, so in proportion to the words' own counts or above them."""
-    schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("n", T.LongType())])
+def _cuts(ends: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    lo = 0
+    while lo < len(ends):
+        base = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, base + size, "right")))
+        yield lo, hi
+        lo = hi
 
-    def run(batches) -> Iterator[dict]:
-        counts = np.zeros(1 << BUCKET_BITS, np.int64)
+
+def bucket_bits(docs: DataFrame) -> int:
+    """Buckets for word counts, as a power of two: one for each 64 bytes that Spark expects of docs, from 2^16 to 2^22."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(22, max(16, (size // 64).bit_length()))
+
+
+def rarity(docs: DataFrame, bits: int | None = None) -> np.ndarray:
+    """The class of each bucket of words: a fifth of the binary order of its count over all documents, so in proportion to the words' own counts or above them.
+
+    A task sends the counts of its buckets in slices of 2^16; a class is a byte, so the driver and each worker hold 4 MB at most.
+    """
+    bits = bits or bucket_bits(docs)
+    schema = T.StructType([T.StructField("slice", T.IntegerType()), T.StructField("data", T.BinaryType())])
+
+    def count(batches) -> Iterator[dict]:
+        counts = np.zeros(1 << bits, np.int64)
+        for b in batches:
+            found = np.sort((_word_hashes(b.column("text"))[0] >> np.uint64(64 - bits)).astype(np.int64))
+            new = np.flatnonzero(np.append(True, found[1:] != found[:-1])) if len(found) else found
+            counts[found[new]] += np.diff(np.append(new, len(found)))
+        for i in range(0, len(counts), 1 << 16):
+            at = np.flatnonzero(own := counts[i : i + (1 << 16)])
+            if len(at):
+                yield {"slice": [i >> 16], "data": [_pack(at.astype(np.uint16), own[at])]}
+
+    def add(batches) -> Iterator[dict]:
+        sums: dict[int, np.ndarray] = {}
         for b in batches:
-            found = _word_hashes(b.column("text"))[0]
-            counts += np.bincount((found >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts))
-        at = np.flatnonzero(counts)
-        yield {"bucket": at.astype(np.int32), "n": counts[at]}
-
-    rows = per_text(docs.select("text"), run, schema, rows=64).groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # a row for each bucket at most
-    out = np.zeros(1 << BUCKET_BITS, np.uint8)
-    out[rows["bucket"].to_numpy()] = np.minimum(255, np.log2(rows["n"].to_numpy()) * OCTAVE)
+            for i, data in zip(b.column("slice").to_pylist(), b.column("data").to_pylist(), strict=True):
+                at, n = _unpack(data, (np.uint16, np.int64))
+                sums.setdefault(i, np.zeros(1 << 16, np.int64))[at] += n
+        for i, own in sums.items():
+            yield {"slice": [i], "data": [np.minimum(255, np.log2(np.maximum(own, 1)) * OCTAVE).astype(np.uint8).tobytes()]}
+
+    counted = per_text(docs.select("text"), count, schema, rows=64)
+    out = np.zeros(1 << bits, np.uint8)
+    for r in per_text(counted.repartition(1 << max(0, bits - 16), "slice"), add, schema, rows=64).collect():
+        out[r["slice"] << 16 : (r["slice"] + 1) << 16] = np.frombuffer(r["data"], np.uint8)
+    return out
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length, byte by byte of their numbers, so that the bytes that are alike stand together."""
+    return b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays)
+
+
+def _unpack(data: bytes, kinds: tuple) -> list[np.ndarray]:
+    n = len(data) // sum(np.dtype(k).itemsize for k in kinds)
+    out, at = [], 0
+    for k in kinds:
+        size = np.dtype(k).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T).view(k).ravel())
+        at += n * size
     return out
 
 
@@ -132,63 +185,120 @@ def _ordered_sets(keys: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate(out), np.concatenate(counts)
 
 
-LINE = T.StructType([
-    T.StructField("line", T.IntegerType()), T.StructField("name", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("low", T.LongType()),
-    T.StructField("high", T.LongType()), T.StructField("wide", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.IntegerType())),
+#: Rows of documents have the name of each line's set; rows of sets have what their entries need.
+OCCURS = T.ArrayType(T.StructType([T.StructField("line", T.IntegerType()), T.StructField("name", T.LongType())]))
+SETS = T.StructType([
+    T.StructField("doc_id", T.LongType()), T.StructField("version", T.LongType()), T.StructField("lines", OCCURS), T.StructField("line", T.IntegerType()), T.StructField("name", T.LongType()),
+    T.StructField("n", T.IntegerType()), T.StructField("low", T.LongType()), T.StructField("high", T.LongType()), T.StructField("prefix", T.ArrayType(T.IntegerType())), T.StructField("classes", T.BinaryType()),
 ])
 
 
 def _sets(docs: DataFrame, classes: np.ndarray, least_words: int) -> DataFrame:
-    """docs' keys with the set of each line of least_words words or more: name, size, bitmap, and its prefix and wide bitmap where the task meets the set for the first time, or before where it has met it in the order of doc_id, version and line.
+    """A row for each of docs with its lines of least_words words or more and their sets' names, and a row for each set of LEAST_SET words or more.
 
-    A word's key is its bucket's class over 46 bits of its hash, so that keys ascend from rare to frequent; two words of a line
-    are taken for one with a chance of a billionth. Verification is on 64 bits.
+    A set's row has its size, bitmap and prefix, and the doc_id and line where the task has met it; a task that meets it again, earlier
+    in the order, sends another one. A word's key is its bucket's class over 46 bits of its hash, so that keys ascend from rare to
+    frequent; two words of a line are taken for one with a chance of a billionth. Verification is on 64 bits.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(classes)  # a byte for each bucket
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("version", T.LongType()), T.StructField("lines", T.ArrayType(LINE))])
+    shared = docs.sparkSession.sparkContext.broadcast(classes)  # a byte for each bucket
 
     def run(batches) -> Iterator[dict]:
+        shift = np.uint64(64 - (len(shared.value).bit_length() - 1))
         high_bits = shared.value.astype(np.uint64) << np.uint64(WORD_BITS)
         seen: dict[int, tuple] = {}
         for b in batches:
             found, line, owner, number = _word_hashes(b.column("text"))
             sizes = np.bincount(line, minlength=len(owner))
             part = sizes >= max(1, least_words)
+            none = [None] * b.num_rows
+            blank = {"line": none, "name": none, "n": none, "low": none, "high": none, "prefix": none, "classes": none}
             if not part.any():
-                yield {"doc_id": b.column("doc_id"), "version": b.column("version"), "lines": [[]] * b.num_rows}
+                yield {"doc_id": b.column("doc_id"), "version": b.column("version"), "lines": [[]] * b.num_rows} | blank
                 continue
             found = found[part[line]]
-            owner, number, sizes = owner[part], number[part], sizes[part]
+            owner, number, sizes = owner[part], number[part].astype(np.int32), sizes[part]
             starts = np.searchsorted(owner, np.arange(b.num_rows + 1))
-            keys, n = _ordered_sets(high_bits[(found >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)] | found & ONLY_WORD, sizes)
+            keys, n = _ordered_sets(high_bits[(found >> shift).astype(np.int64)] | found & ONLY_WORD, sizes)
             first = np.cumsum(n) - n
             mixed = mix(keys & ONLY_WORD)
-            with np.errstate(over="ignore"):
-                name = (mix(np.add.reduceat(mixed, first) * np.uint64(0x9E3779B97F4A7C15) + n.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
-            bit = np.uint64(1) << (mixed & np.uint64(63))
-            which = (mixed >> np.uint64(6)).astype(np.uint8) & np.uint8(WIDE - 1)
-            wide = np.stack([np.bitwise_xor.reduceat(np.where(which == w, bit, np.uint64(0)), first) for w in range(WIDE)], axis=1)
-            low, high = (np.bitwise_xor.reduce(wide[:, w::2], axis=1).view(np.int64) for w in (0, 1))
-            rows = list(zip(b.column("doc_id").fill_null(NO_ID).to_pylist(), b.column("version").to_pylist(), strict=True))
+            name = (mix(np.add.reduceat(mixed, first) * GOLDEN + n.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
+            lines = pa.StructArray.from_arrays([pa.array(number), pa.array(name)], ["line", "name"])
+            yield {"doc_id": b.column("doc_id"), "version": b.column("version"), "lines": pa.ListArray.from_arrays(pa.array(starts, pa.int32()), lines)} | blank
+            doc_id = b.column("doc_id").fill_null(NO_ID).to_numpy()[owner]
             new = np.zeros(len(name), bool)
-            for i, (x, at) in enumerate(zip(name.tolist(), zip(map(rows.__getitem__, owner.tolist()), number.tolist(), strict=True), strict=True)):
-                if x not in seen or at < seen[x]:
-                    seen[x], new[i] = at, True
-            kept = new & (n >= WIDE_WORDS)
-            maps = pa.Array.from_buffers(pa.binary(), len(n), [pa.py_buffer(np.packbits(kept, bitorder="little")), pa.py_buffer(np.concatenate([[0], np.cumsum(kept) * WIDE * 8]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(wide[kept]))])
-            length = np.where(new & (n >= LEAST_SET), n - (n * LEAST + 99) // 100 + 1, 0)
-            place = np.arange(len(keys)) - np.repeat(first, n)
-            tokens32 = (mixed >> np.uint64(33)).astype(np.int32)[place < np.repeat(length, n)]
-            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(tokens32))
-            lines = pa.StructArray.from_arrays([pa.array(number.astype(np.int32)), pa.array(name), pa.array(n.astype(np.int32)), pa.array(low), pa.array(high), maps, prefix], LINE.names)
-            yield {"doc_id": b.column("doc_id"), "version": b.column("version"), "lines": pa.ListArray.from_arrays(pa.array(starts, pa.int32()), lines)}
+            for i, x in enumerate(zip(name.tolist(), zip(doc_id.tolist(), number.tolist(), strict=True), (n >= LEAST_SET).tolist(), strict=True)):
+                if x[2] and (x[0] not in seen or x[1] < seen[x[0]]):
+                    seen[x[0]], new[i] = x[1], True
+            if not (at := np.flatnonzero(new)).size:
+                continue
+            bit = np.uint64(1) << (mixed & np.uint64(63))
+            upper = (mixed & np.uint64(64)) > 0
+            low, high = (np.bitwise_xor.reduceat(np.where(side, bit, np.uint64(0)), first).view(np.int64)[at] for side in (~upper, upper))
+            length = np.where(new, n - (n * LEAST + 99) // 100 + 1, 0)
+            kept = np.arange(len(keys)) - np.repeat(first, n) < np.repeat(length, n)
+            bounds = np.concatenate([[0], np.cumsum(length[at])])
+            prefix = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array((mixed[kept] >> np.uint64(33)).astype(np.int32)))
+            own = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer((keys[kept] >> np.uint64(WORD_BITS)).astype(np.uint8))])
+            none = [None] * len(at)
+            yield {"doc_id": doc_id[at], "version": none, "lines": none, "line": number[at], "name": name[at], "n": n[at].astype(np.int32), "low": low, "high": high, "prefix": prefix, "classes": own}
+
+    return per_text(docs, run, SETS, rows=64)
+
+
+#: An entry's columns in a block: the word with its salt, the set, its size and the word's place, where it occurs first, its bitmap, and whether it is open.
+ENTRY = {"token": np.uint64, "name": np.int64, "n": np.int32, "pos": np.int32, "doc_id": np.int64, "line": np.int32, "low": np.uint64, "high": np.uint64, "open": np.uint8}
+ENTRY_BYTES = sum(np.dtype(k).itemsize for k in ENTRY.values())
+PACKED = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("data", T.BinaryType())])
+PAIR = T.StructType([T.StructField("name", T.LongType()), T.StructField("other", T.LongType())])
+
+
+def _entries(b: pa.RecordBatch, salted: bool) -> dict[str, np.ndarray]:
+    """The entries of rows of sets. A frequent word's entries are dealt to salts by the sets' names; open ones go to all of them."""
+    prefix = b.column("prefix")
+    sizes = np.diff(prefix.offsets.to_numpy())
+    row = np.repeat(np.arange(b.num_rows), sizes)
+    token = prefix.flatten().to_numpy().astype(np.int64).view(np.uint64) << np.uint64(32)
+    cls = np.frombuffer(b"".join(b.column("classes").to_pylist()), np.uint8)
+    pos = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    e = {c: b.column(c).to_numpy() for c in ("name", "n", "doc_id", "line", "low", "high", "open")}
+    if salted and (often := 2.0 ** ((cls + 1.0) / OCTAVE) > SALT_ROWS).any():
+        salts = np.where(often, np.ceil(2.0 ** ((cls + 1.0) / OCTAVE) / SALT_ROWS), 1).astype(np.int64)
+        every = np.where(e["open"][row] > 0, salts, 1)
+        of = np.repeat(np.arange(len(row)), every)
+        salt = np.arange(len(of)) - np.repeat(np.cumsum(every) - every, every)
+        own = mix(e["name"].view(np.uint64))[row][of] % salts[of].astype(np.uint64)
+        # The lowest bits are the salt, from 1 on where there are several.
+        token = token[of] | np.where(salts[of] > 1, np.where(every[of] > 1, salt.astype(np.uint64), own) + np.uint64(1), np.uint64(0))
+        row, pos = row[of], pos[of]
+    out = {c: v[row] for c, v in e.items()} | {"token": token, "pos": pos}
+    return {c: np.ascontiguousarray(out[c]).astype(k, copy=False) if k != np.uint64 else np.ascontiguousarray(out[c]).view(np.uint64) for c, k in ENTRY.items()}
+
+
+def _packed(sets: DataFrame, parts: int, salted: bool) -> DataFrame:
+    """(part, data): the entries of the sets in blocks, by the part that their word goes to."""
+
+    def run(batches) -> Iterator[dict]:
+        held, n = [], 0
 
-    return per_text(docs, run, schema, rows=64)
+        def out() -> Iterator[dict]:
+            e = {c: np.concatenate([x[c] for x in held]) for c in ENTRY}
+            part = (mix(e["token"]) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            part = part[order]
+            new = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            for i, j in zip(new.tolist(), [*new[1:].tolist(), len(part)], strict=True):
+                yield {"part": [int(part[i])], "data": [_pack(*(e[c][order[i:j]] for c in ENTRY))]}
 
+        for b in batches:
+            held.append(_entries(b, salted))
+            n += len(held[-1]["token"])
+            if n >= 400_000:
+                yield from out()
+                held, n = [], 0
+        if n:
+            yield from out()
 
-ENTRY = ("token", "name", "shape", "doc_id", "version", "line", "low", "high")
-PAIR = T.StructType([T.StructField("name", T.LongType()), T.StructField("other", T.LongType()), T.StructField("more", T.BooleanType())])
+    return per_text(sets.select("name", "n", "doc_id", "line", "low", "high", "prefix", "classes", "open"), run, PACKED, rows=8192)
 
 
 def _met(e: dict[str, np.ndarray], at: np.ndarray, earlier: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,100 +309,97 @@ def _met(e: dict[str, np.ndarray], at: np.ndarray, earlier: np.ndarray) -> tuple
     at, earlier, most = at[ok], earlier[ok], (n[ok] + m[ok]) * (100 - LEAST) // (100 + LEAST)
     differ = np.bitwise_count(e["low"][at] ^ e["low"][earlier]).astype(np.int32) + np.bitwise_count(e["high"][at] ^ e["high"][earlier])
     ok = np.flatnonzero((differ <= most) & (e["name"][at] != e["name"][earlier]))
-    at, earlier, most = at[ok], earlier[ok], most[ok]
-    if "wide" in e:
-        a, b = e["map"][at], e["map"][earlier]
-        both = np.flatnonzero((a >= 0) & (b >= 0))
-        differ = np.zeros(len(both), np.int32)
-        for w in e["wide"].T:
-            differ += np.bitwise_count(w[a[both]] ^ w[b[both]])
-        ok = np.ones(len(at), bool)
-        ok[both] = differ <= most[both]
-        at, earlier = at[ok], earlier[ok]
-    return at, earlier
+    return at[ok], earlier[ok]
 
 
 def _by_token(e: dict[str, np.ndarray]) -> np.ndarray:
-    """The entries in the order of token, doc_id, version and line, each set's first alone for a token.
+    """The entries in the order of token, doc_id, line and name, each set's first alone for a token.
 
     Tasks that meet a set each bring its entries, among them those of its first line in the task. So what is left of a set stands
     at its first line of all, for every token, and the sets of a token stand in the order of `firsts`.
     """
-    token, doc_id = e["token"], e["doc_id"]
-    least = int(doc_id.min())
-    if int(doc_id.max()) - least < 1 << 32:
-        key = (token.astype(np.int64) << 32).view(np.uint64) | (doc_id - least).astype(np.uint64)
-        order = np.argsort(key)
-        # The rest of the order is for the few that agree in both.
-        tie = key[order[1:]] == key[order[:-1]]
-        tied = np.flatnonzero(np.append(tie, False) | np.append(False, tie))
-        own = order[tied]
-        order[tied] = own[np.lexsort((e["line"][own], e["version"][own], key[own]))]
-    else:
-        order = np.lexsort((e["line"], e["version"], doc_id, token))
-    own = mix(e["name"].view(np.uint64)) ^ token.astype(np.uint64)
-    first = np.unique(own[order], return_index=True)[1]
+    order = np.argsort(e["token"])
+    token = e["token"][order]
+    head = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    size = np.diff(np.append(head, len(token)))
+    # Only words of several entries have an order to keep.
+    order = order[np.repeat(size > 1, size)]
+    order = order[np.lexsort((e["name"][order], e["line"][order], e["doc_id"][order], e["token"][order]))]
+    own = mix(e["name"][order].view(np.uint64)) ^ mix(e["token"][order])
+    first = np.unique(own, return_index=True)[1]
     return order[np.sort(first)] if len(first) < len(order) else order
 
 
-def _pairs(entries: DataFrame, first: int | None) -> DataFrame:
-    """Candidate pairs (name, other): for each entry those of its token before it in the order of doc_id, version and line.
+def _pairs(sets: DataFrame, first: int | None, parts: int, only_open: bool = False) -> DataFrame:
+    """Candidate pairs (name, other), and (name, null) for a name that hasn't met all earlier sets.
 
     A set that a similar one precedes needs no more partners: the later sets that are similar to it meet it among theirs, as all
-    tokens have one order. With `first`, the first so many, and a row with more and without other where there are more of them; else all, for the
-    entries marked open. An entry's shape is its size and position. About MET pairs are held at a time.
+    tokens have one order. With `first`, a set meets the HEAD first entries of its token and the earlier ones of its block, and the first so many that pass the filters come out; else it
+    meets all earlier entries, if it is marked open. About MET pairs are held at a time.
     """
 
-    def run(batches):
-        got = [b for b in batches if b.num_rows]
+    def run(batches) -> Iterator[dict]:
+        got = [_unpack(x, tuple(ENTRY.values())) for b in batches for x in b.column("data").to_pylist()]
         if not got:
             return
-        table = pa.Table.from_batches(got)
-        e = {c: table.column(c).fill_null(NO_ID if c == "doc_id" else 0).to_numpy() for c in ENTRY}
+        e = dict(zip(ENTRY, (np.concatenate(x) for x in zip(*got, strict=True)), strict=True))
+        del got
         order = _by_token(e)
-        e = {c: v[order] for c, v in e.items() if c not in ("doc_id", "version", "line")}
-        e |= {"n": (e["shape"] >> 32).astype(np.int32), "pos": (e.pop("shape") & 0xFFFFFFFF).astype(np.int32), "low": e["low"].view(np.uint64), "high": e["high"].view(np.uint64)}
-        if not first:
-            maps = table.column("wide").combine_chunks().take(pa.array(order))
-            valid = maps.is_valid().to_numpy(zero_copy_only=False)
-            e |= {"map": np.where(valid, np.cumsum(valid) - 1, -1), "wide": np.frombuffer(b"".join(maps.drop_null().to_pylist()), np.uint64).reshape(-1, WIDE)}
+        e = {c: v[order] for c, v in e.items() if c not in ("doc_id", "line")}
+        if not len(order):
+            return
         token = e["token"]
-        head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        head = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
         start = np.repeat(head, np.diff(np.append(head, len(token))))
         place = np.arange(len(token)) - start
-        live = np.flatnonzero(place if first else place * table.column("open").to_numpy()[order])
-        for lo, hi in _cuts(np.cumsum(place[live]), MET):
+        if first:
+            block = place - place % BLOCK
+            front = np.minimum(block, HEAD)
+            count = place - block + front
+            partial = (block > HEAD) | ((token & np.uint64(0xFFFFFFFF)) > 0)
+        else:
+            block = front = np.zeros(len(token), np.int64)
+            count = np.where(e["open"] > 0, place, 0)
+            partial = np.zeros(len(token), bool)
+        if partial.any():
+            names = np.unique(e["name"][partial])
+            yield {"name": names, "other": pa.nulls(len(names), pa.int64())}
+        live = np.flatnonzero(count)
+        for lo, hi in _cuts(np.cumsum(count[live]), MET):
             own = live[lo:hi]
-            at = np.repeat(own, place[own])
-            back = np.arange(len(at)) - np.repeat(np.cumsum(place[own]) - place[own], place[own])
-            at, earlier = _met(e, at, start[at] + back)
-            if not len(at):
+            if count[own].sum() > 4 * MET:  # one entry with very many before it
+                for i in range(0, int(count[own[0]]), MET):
+                    yield _rows(e, *_met(e, *(np.broadcast_arrays(own[:1], start[own[0]] + np.arange(i, min(int(count[own[0]]), i + MET))))), first)
                 continue
-            new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            size = np.diff(np.append(new, len(at)))
-            keep = np.arange(len(at)) - np.repeat(new, size) < (first or len(at))
-            more = at[new[size > (first or len(at))]]
-            names = np.concatenate([e["name"][at[keep]], e["name"][more]])
-            other = pa.array(np.concatenate([e["name"][earlier[keep]], e["name"][more]]), mask=np.arange(len(names)) >= keep.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(names), other, pa.array(np.arange(len(names)) >= keep.sum())], names=PAIR.names)
+            at = np.repeat(own, count[own])
+            back = np.arange(len(at)) - np.repeat(np.cumsum(count[own]) - count[own], count[own])
+            earlier = start[at] + np.where(back < front[at], back, block[at] + back - front[at])
+            at, earlier = _met(e, at, earlier)
+            if len(at):
+                yield _rows(e, at, earlier, first)
 
-    return entries.select(*ENTRY, *([] if first else ["wide", "open"])).repartition(partitions(entries.sparkSession), "token").mapInArrow(run, PAIR)
+    entries = _packed(sets.where("open = 1") if only_open else sets, 16 * parts, not only_open)
+    return per_text(entries.repartition(parts, "part"), run, PAIR, rows=1 << 20)
 
 
-def _cuts(ends: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
-    lo = 0
-    while lo < len(ends):
-        base = ends[lo - 1] if lo else 0
-        hi = max(lo + 1, int(np.searchsorted(ends, base + size, "right")))
-        yield lo, hi
-        lo = hi
+def _rows(e: dict[str, np.ndarray], at: np.ndarray, earlier: np.ndarray, first: int | None) -> dict:
+    if not len(at):
+        return {"name": [], "other": []}
+    new = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    size = np.diff(np.append(new, len(at)))
+    keep = np.arange(len(at)) - np.repeat(new, size) < (first or len(at))
+    more = at[new[size > (first or len(at))]]
+    names = np.concatenate([e["name"][at[keep]], e["name"][more]])
+    other = pa.array(np.concatenate([e["name"][earlier[keep]], e["name"][more]]), mask=np.arange(len(names)) >= keep.sum())
+    return {"name": names, "other": other}
 
 
 def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of the pairs (name, other) that are similar, judged on all words of one line of each set."""
     wanted = pairs.select("name").union(pairs.select("other")).distinct().join(firsts, "name").select("name", F.col("first.doc_id").alias("w_doc"), F.col("first.version").alias("w_version"), F.col("first.line").alias("line"))
-    wanted = wanted.groupBy("w_doc", "w_version").agg(F.collect_list(F.struct("line", "name")).alias("lines"))
-    texts = docs.join(small(wanted, 500_000), docs["doc_id"].eqNullSafe(F.col("w_doc")) & (docs["version"] == F.col("w_version"))).select("text", "lines")
+    wanted = wanted.withColumn("w_doc", F.nullif("w_doc", F.lit(NO_ID))).groupBy("w_doc", "w_version").agg(F.collect_list(F.struct("line", "name")).alias("lines"))
+    wanted = Scratch(docs.sparkSession).table(wanted)
+    texts = docs.join(small(wanted, 32 + 12 * F.size("lines")), docs["doc_id"].eqNullSafe(F.col("w_doc")) & (docs["version"] == F.col("w_version"))).select("text", "lines")
     schema = T.StructType([T.StructField("name", T.LongType()), T.StructField("words", T.BinaryType())])
 
     def run(batches) -> Iterator[dict]:
@@ -306,10 +413,9 @@ def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame
             ends = np.searchsorted(owner[line], np.arange(len(lines) + 1))
             yield {"name": names, "words": [np.unique(found[i:j]).tobytes() for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]}
 
-    sets = Scratch(docs.sparkSession).table(per_text(texts, run, schema).dropDuplicates(["name"]))
+    sets = Scratch(docs.sparkSession).table(per_text(texts, run, schema))
     one = sets.select("name", F.col("words").alias("a"))
     two = sets.select(F.col("name").alias("other"), F.col("words").alias("b"))
-    both = T.StructType([T.StructField("name", T.LongType()), T.StructField("other", T.LongType())])
 
     def check(batches) -> Iterator[dict]:
         for t in batches:
@@ -317,21 +423,21 @@ def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame
             n, m = (np.array([len(x) // 8 for x in side]) for side in (a, b))
             # A word that both sets of a pair have comes twice with the pair's number.
             pair = np.repeat(np.tile(np.arange(len(a)), 2), np.concatenate([n, m]))
-            with np.errstate(over="ignore"):
-                key = mix(np.frombuffer(b"".join(a + b), np.uint64) + (pair.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+            key = mix(np.frombuffer(b"".join(a + b), np.uint64) + (pair.astype(np.uint64) + np.uint64(1)) * GOLDEN)
             order = np.argsort(key)
             twice = key[order[1:]] == key[order[:-1]]
             common = np.bincount(pair[order[1:][twice]], minlength=len(a))
             at = pa.array(np.flatnonzero(100 * common >= LEAST * (n + m - common)))
             yield {"name": t.column("name").take(at), "other": t.column("other").take(at)}
 
-    return per_text(pairs.select("name", "other").join(one, "name").join(two, "other"), check, both, rows=1024)
+    return per_text(pairs.select("name", "other").join(one, "name").join(two, "other"), check, PAIR, rows=1024)
 
 
 def _later(similar: DataFrame, firsts: DataFrame) -> DataFrame:
     """The names of sets that a similar one precedes."""
-    a = firsts.select("name", F.col("first").alias("a"))
-    b = firsts.select(F.col("name").alias("other"), F.col("first").alias("b"))
+    order = lambda name: F.struct(F.col("first.doc_id"), F.col("first.line"), F.col(name))
+    a = firsts.select("name", order("name").alias("a"))
+    b = firsts.select(F.col("name").alias("other"), order("name").alias("b"))
     joined = similar.join(a, "name").join(b, "other")
     return joined.select(F.when(F.col("a") < F.col("b"), F.col("other")).otherwise(F.col("name")).alias("name")).distinct()
 
@@ -349,52 +455,81 @@ def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     keyed = _keyed(docs)
-    sets = scratch.table(_sets(keyed, rarity(docs), least_words))
-    lines = sets.select("doc_id", "version", F.explode("lines").alias("x"))
-    occurs = lines.select("doc_id", "version", F.col("x.line").alias("line"), F.col("x.name").alias("name"))
-    firsts = scratch.table(occurs.groupBy("name").agg(F.min(F.struct("doc_id", "version", "line")).alias("first"), F.count("*").alias("n_lines")))
-    entries = lines.select("doc_id", "version", "x.*").select("doc_id", "version", "line", "name", "n", "low", "high", "wide", F.posexplode("prefix").alias("pos", "token")).withColumn("shape", F.expr("shiftleft(bigint(n), 32) + pos"))
-    met = scratch.table(_pairs(entries, FIRST))
-    # A pair comes from several words; one row is enough from here on.
-    near = met.where("not more").select(F.least("name", "other").alias("name"), F.greatest("name", "other").alias("other")).distinct()
-    late = scratch.table(_later(_verified(near, firsts, keyed), firsts))
-    open_ = scratch.table(met.where("more").select("name").distinct().join(late, "name", "left_anti"))
-    if not open_.isEmpty():
-        # What the sets that are still open share a word with, then all their pairs with earlier sets.
-        tokens = small(entries.join(small(open_), "name", "left_semi").select("token").distinct())
-        marked = entries.join(tokens, "token", "left_semi").join(small(open_.withColumn("open", F.lit(1))), "name", "left")
-        rest = _pairs(marked.withColumn("open", F.coalesce("open", F.lit(0))), None)
-        rest = scratch.table(rest.select(F.least("name", "other").alias("name"), F.greatest("name", "other").alias("other")).distinct().join(near, ["name", "other"], "left_anti"))
-        late = late.union(_later(_verified(rest, firsts, keyed), firsts)).distinct()
-    marked = firsts.join(late.withColumn("gone", F.lit(True)), "name", "left").where("gone or n_lines > 1").select("name", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
-    out = occurs.join(marked, "name").where(F.col("gone") | (F.struct("doc_id", "version", "line") != F.col("first")))
-    return scratch.table(out.select("doc_id", "version", "line").distinct().groupBy("doc_id", "version").agg(F.array_sort(F.collect_list("line")).alias("removed")))
+    table = scratch.table(_sets(keyed, rarity(docs), least_words))
+    occurs = table.where("lines is not null").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "version", F.explode("lines").alias("x")).select("doc_id", "version", "x.line", "x.name")
+    firsts = scratch.table(occurs.groupBy("name").agg(F.min(F.struct("doc_id", "line", "version")).alias("first"), F.count("*").alias("n_lines")))
+    sets = table.where("prefix is not null").select("name", "doc_id", "line", "n", "low", "high", "prefix", "classes")
+    sizes = sets.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    parts = max(partitions(spark), -(-sizes * ENTRY_BYTES // PART_BYTES))
+
+    def met(which: DataFrame, first: int | None, only_open: bool, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """The sets that are late by the pairs of this round, and those that it leaves open."""
+        pairs = scratch.table(_pairs(which, first, parts, only_open))
+        # A pair comes from several words; one row is enough from here on.
+        near = pairs.where("other is not null").select(F.least("name", "other").alias("name"), F.greatest("name", "other").alias("other")).distinct()
+        late = scratch.table(_later(_verified(near, firsts, keyed), firsts))
+        late = late if known is None else scratch.table(known.union(late).distinct())
+        return late, scratch.table(pairs.where("other is null").select("name").distinct().join(late, "name", "left_anti"))
+
+    late, open_ = met(sets.withColumn("open", F.lit(0).cast("tinyint")), FIRST, False, None)
+    for first, only_open in ((FIRST, True), (None, False)):
+        if open_.isEmpty():
+            break
+        marked = sets.join(small(open_.withColumn("open", F.lit(1).cast("tinyint")), 16), "name", "left").withColumn("open", F.coalesce("open", F.lit(0).cast("tinyint")))
+        # The first of these rounds only makes fewer sets open: none has met all earlier ones yet.
+        late, rest = met(marked, first, only_open, late)
+        open_ = scratch.table(open_.join(late, "name", "left_anti")) if only_open else rest
+    marked = firsts.join(late.withColumn("gone", F.lit(True)), "name", "left").where("gone or n_lines > 1").select("name", "first", "n_lines", F.coalesce("gone", F.lit(False)).alias("gone"))
+    marked = scratch.table(marked)
+    out = scratch.table(_marked_lines(occurs, marked).where(F.col("gone") | (F.struct("doc_id", "line", "version") != F.col("first"))).select("doc_id", "version", "line"))
+    lost = out.distinct().groupBy("doc_id", "version").agg(F.array_sort(F.collect_list("line")).alias("removed"))
+    return scratch.table(lost.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID))))
+
+
+def _marked_lines(occurs: DataFrame, marked: DataFrame, often: int = 100_000) -> DataFrame:
+    """The lines whose sets are marked. A set with more than one in `often` of the marked lines goes by a broadcast, of fewer than `often` rows, so no task of the other join gets a hot one."""
+    total = marked.agg(F.sum("n_lines")).first()[0] or 0
+    hot = F.col("n_lines") * often > total
+    if total <= often:
+        return occurs.join(F.broadcast(marked), "name")
+    few = F.broadcast(marked.where(hot))
+    return occurs.join(few, "name").unionByName(occurs.join(few.select("name"), "name", "left_anti").join(small(marked.where(~hot), 40), "name"))
 
 
 def _cleaned(text: Column, removed: Column) -> Column:
     return F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(removed, i)), "\n")
 
 
+def _with_removed(docs: DataFrame, gone: DataFrame) -> tuple[DataFrame, str]:
+    """docs with the name of a further column: the lines that a row loses, null where there are none."""
+    g_doc, g_version, own = temporary(docs, "doc_id", "version", "removed")
+    gone = small(gone.select(F.col("doc_id").alias(g_doc), F.col("version").alias(g_version), F.col("removed").alias(own)), 32 + 4 * F.size(own))
+    joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col(g_doc)) & (F.xxhash64(docs["text"]) == F.col(g_version)), "left")
+    return joined.drop(g_doc, g_version), own
+
+
 def deduped(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_lines, n_removed, removed_lines (joined by commas) and kept_sha256.
 
     kept_sha256 is of the text less those lines, UTF-8. A null text has no lines and counts as empty.
     """
-    gone = removed_lines(docs, least_words)
-    keyed = _keyed(docs).withColumn("n_lines", F.when(F.length("text") > 0, F.size(F.split("text", "\n"))).otherwise(0).cast("long"))
-    text = F.coalesce("text", F.lit(""))
-    on = (F.col("doc_id").eqNullSafe(F.col("g_doc"))) & (F.col("version") == F.col("g_version"))
-    joined = keyed.join(small(gone.select(F.col("doc_id").alias("g_doc"), F.col("version").alias("g_version"), "removed"), 500_000), on, "left")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    joined, own = _with_removed(docs, removed_lines(docs, least_words))
+    removed, text = F.col(own), F.coalesce("text", F.lit(""))
     return joined.select(
-        "doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(F.col("removed").cast("array<string>"), ","), F.lit("")).alias("removed_lines"),
-        F.sha2(F.when(F.col("removed").isNull(), text).otherwise(_cleaned(text, F.col("removed"))).cast("binary"), 256).alias("kept_sha256"),
+        "doc_id", F.when(F.length("text") > 0, F.size(F.split("text", "\n"))).otherwise(0).cast("long").alias("n_lines"), F.coalesce(F.size(removed), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.array_join(removed.cast("array<string>"), ","), F.lit("")).alias("removed_lines"),
+        F.sha2(F.when(removed.isNull(), text).otherwise(_cleaned(text, removed)).cast("binary"), 256).alias("kept_sha256"),
     )
 
 
 def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """The rows of docs with their columns, less the removed lines; n_chars, where there is one, is counted again. Rows that lose all their words go."""
-    gone = small(removed_lines(docs, least_words).select(F.col("doc_id").alias("g_doc"), F.col("version").alias("g_version"), "removed"), 500_000)
-    joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("g_doc")) & (F.xxhash64(docs["text"]) == F.col("g_version")), "left")
-    text = F.when(F.col("removed").isNull(), docs["text"]).otherwise(_cleaned(docs["text"], F.col("removed")))
-    out = joined.withColumn("text", text).where(F.col("removed").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return out.select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    """The rows of docs with their columns, less the removed lines; n_chars, where there is one, is counted again.
+
+    Rows that lose all their words go; rows without any, null texts included, stay as they are, and so do rows that repeat. Extra columns may have any names.
+    """
+    joined, own = _with_removed(docs, removed_lines(docs, least_words))
+    removed = F.col(own)
+    out = joined.withColumn("text", F.when(removed.isNull(), F.col("text")).otherwise(_cleaned(F.col("text"), removed)))
+    out = out.where(removed.isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return out.select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))

@@ -69,7 +69,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     inside = Window.partitionBy("source", "bucket").orderBy("key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = sizes.withColumn("in_bucket", F.sum("size").over(inside) - F.col("size"))
     placed = placed.join(buckets, F.col("source").eqNullSafe(F.col("b_source")) & F.col("bucket").eqNullSafe(F.col("b_bucket")))
-    wanted = small(targets(sizes).withColumnRenamed("source", "t_source"), 100_000)
+    wanted = small(targets(sizes).withColumnRenamed("source", "t_source"))
     placed = placed.join(wanted, F.col("source").eqNullSafe(F.col("t_source"))).withColumn("place", F.col("ahead") + F.col("in_bucket"))
     goal = F.floor("target")
     taken = sum((F.greatest(F.lit(0), F.least(F.col("size"), goal - (e * F.col("source_size") + F.col("place")))) for e in range(MOST)), F.lit(0))

@@ -115,7 +115,7 @@ def judged(docs: DataFrame) -> DataFrame:
     """
     counts = Scratch(docs.sparkSession).table(measured(docs))
     limits = fences(counts)
-    joined = counts.join(small(limits, 100_000), F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
+    joined = counts.join(small(limits), F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
     within = reduce(lambda a, b: a & b, (v.between(F.col(f"{k}_least"), F.col(f"{k}_most")) for k, v in measures().items()))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.coalesce(within, F.lit(False))).alias("kept"))
