@@ -123,12 +123,45 @@ def test_token_files(docs, rows, empty, spark):
         ids = [*t.encode(r[1] or "", add_special_tokens=False).ids, 1]
         want[r[0], at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
         at += len(ids)
-    blocks = token_files.write_blocks(docs, WORDS, rows=8)
+    blocks = token_files.write_files(docs, WORDS, size=4096)
     got = Counter(map(tuple, token_files.read_digests(blocks).collect()))
     assert got.keys() - want.keys() == want.keys() - got.keys() == set()
     found = {r.doc_id: r.ids for r in token_files.lookup(blocks, spark.createDataFrame([(12,), (27,), (10_001,)], "doc_id long")).collect()}
     assert found == {k: [*t.encode(next(r[1] for r in rows if r[0] == k), add_special_tokens=False).ids, 1] for k in (12, 27)}
-    assert token_files.read_digests(token_files.write_blocks(empty, WORDS)).count() == 0
+    assert token_files.read_digests(token_files.write_files(empty, WORDS)).count() == 0
+
+
+def test_token_files_odd_strings():
+    own, rng = token_files.Encoder(WORDS), random.Random(1)
+    letters = [*"abzERtsdmlv\'\'\'..,!12 \t\n\x0b\x1c\x7f\x00éßÅ日🙂\u0301\xa0\u3000ΣİK<|>/_-", "'s", "'ll", "<|endoftext|>", "the", "ing", "A" * 30]
+    for _ in range(30):
+        found = [None, "", *("".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(100)), "x" * 300_000]
+        ids, sizes = own.encode(pa.array(["cut", *found])[1:])
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [own.tokenizer.encode(x or "", add_special_tokens=False).ids for x in found]
+
+
+def test_token_files_of_one_id(spark):
+    """Rows that share an id, or have none, are dealt to several ranges, and all come back."""
+    rows = [(None if i % 3 else 7, f"word {i} " * (i % 9)) for i in range(600)] + [(k, f"own {k}") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    files = token_files.write_files(docs, WORDS, size=2048)
+    assert files.select("shard").distinct().count() > 4
+    t = Tokenizer.from_file(WORDS)
+    want = Counter((k, zlib.crc32(np.array([*t.encode(x, add_special_tokens=False).ids, 1], "<u4").tobytes())) for k, x in rows)
+    got = token_files.read_digests(files).collect()
+    assert Counter((r.doc_id, r.ids_crc32) for r in got) == want
+    order = sorted(got, key=lambda r: r.start)
+    assert [r.start for r in order] == [sum(x.n_tokens for x in order[:i]) for i in range(len(order))]
+    assert [r.doc_id for r in order] == sorted((r.doc_id for r in got), key=lambda k: (k is not None, k))
+    assert {r.doc_id for r in token_files.lookup(files, spark.range(100).withColumnRenamed("id", "doc_id")).collect()} == set(range(40))
+    plan = token_files.lookup(files, spark.range(100).withColumnRenamed("id", "doc_id"))._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_token_files_refuse_other_rules(tmp_path):
+    (tmp_path / "t.json").write_text(open(WORDS, encoding="utf-8").read().replace('"Lowercase"', '"NFD"'), encoding="utf-8")
+    with pytest.raises(ValueError, match="other rules"):
+        token_files.Encoder(str(tmp_path / "t.json"))
 
 
 def test_perfect_hash():

@@ -61,6 +61,62 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def cuts(ends: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose `ends` are within `size` of each other, one row at least."""
+    lo = 0
+    while lo < len(ends):
+        base = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, base + size, "right")))
+        yield lo, hi
+        lo = hi
+
+
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes that are hashed at a time, and those of a span that is hashed apart.
+STRIDE, LONG = 1 << 18, 256
+SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+SOLID = ~SPACE
+LOWER = np.arange(256, dtype=np.uint8) + np.uint8(32) * np.isin(np.arange(256), np.arange(65, 91)).astype(np.uint8)
+
+
+def _powers(base: int) -> np.ndarray:
+    out = np.full(STRIDE, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+#: A random number for each byte, zero for spaces; a word's hash is their polynomial in BASE.
+BYTES = np.where(SPACE, np.uint64(0), mix(np.arange(1, 257, dtype=np.uint64) * GOLDEN))
+BASE = 0x5851F42D4C957F2F
+POWER, INVERSE = _powers(BASE), _powers(pow(BASE, -1, 1 << 64))
+
+
+def byte_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' bytes one after the other, nulls as empty, and where each begins, with the end of the last."""
+    texts = texts.fill_null("").cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    return np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def span_hashes(raw: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, from its start to the next one's, less the spaces in it."""
+    following = np.append(start[1:], len(raw))
+    found = np.empty(len(start), np.uint64)
+    for lo, hi in cuts(following - start[:1], STRIDE) if len(start) else ():
+        # Spaces add nothing, so a span's sum reaches up to the next one. A longer one than a stride is alone here and hashed below.
+        own = raw[start[lo] : min(following[hi - 1], start[lo] + STRIDE)]
+        sums = np.zeros(len(own) + 1, np.uint64)
+        np.cumsum(BYTES[own] * POWER[: len(own)], out=sums[1:])
+        first = start[lo:hi] - start[lo]
+        found[lo:hi] = (sums[np.minimum(following[lo:hi] - start[lo], len(own))] - sums[first]) * INVERSE[first]
+    for i in np.flatnonzero(following - start >= LONG).tolist():  # a long one, or many spaces after a short one
+        own = raw[start[i] : following[i]]
+        own = own[: int(np.argmax(SPACE[own])) if SPACE[own].any() else len(own)]
+        if len(own) >= LONG:
+            found[i] = xxhash.xxh3_64_intdigest(own.tobytes())
+    return mix(found)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, or of setCheckpointDir; without either it is an error, as no local folder would do on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -22,12 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weir.llm.common import Scratch, mix, partitions, per_text, small, temporary
+from weir.llm.common import GOLDEN, LOWER, SOLID, Scratch, byte_buffer, cuts, mix, partitions, per_text, small, span_hashes, temporary
 
 #: Hundredths of similarity; words that a line needs to take part unless the caller says otherwise; verified partners of a set for each word in one round.
 LEAST, LEAST_WORDS, FIRST = 80, 5, 6
@@ -42,33 +41,10 @@ OCTAVE, SALT_ROWS, PART_BYTES = 5, 50_000, 24 << 20
 #: Lines that are sorted at a time, and a key's bits for the word itself, under 8 for its class and 10 for the line.
 CHUNK, WORD_BITS = 1024, 46
 ONLY_WORD = np.uint64((1 << WORD_BITS) - 1)
-#: Bytes that are hashed at a time, and those of a word that is hashed apart.
-STRIDE, LONG = 1 << 18, 256
-GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
-SOLID = ~SPACE
-LOWER = np.arange(256, dtype=np.uint8) + np.uint8(32) * np.isin(np.arange(256), np.arange(65, 91)).astype(np.uint8)
-
-
-def _powers(base: int) -> np.ndarray:
-    out = np.full(STRIDE, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-#: A random number for each byte, zero for spaces; a word's hash is their polynomial in BASE.
-BYTES = np.where(SPACE, np.uint64(0), mix(np.arange(1, 257, dtype=np.uint64) * GOLDEN))
-BASE = 0x5851F42D4C957F2F
-POWER, INVERSE = _powers(BASE), _powers(pow(BASE, -1, 1 << 64))
-
-
 def _word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All lower-cased words of the texts: their hashes, their lines counted over all texts, and of each line its text and number in it."""
-    texts = texts.fill_null("").cast(pa.large_string())
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    ends = offsets[1:] - offsets[0]
-    begins = offsets[:-1] - offsets[0]
+    raw, offsets = byte_buffer(texts)
+    begins, ends = offsets[:-1], offsets[1:]
     raw = LOWER[raw]
     held = begins[begins < ends]
     solid = SOLID[raw]
@@ -87,30 +63,7 @@ def _word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     line = np.searchsorted(at, start, "right") - 1
     if not len(start):
         return np.zeros(0, np.uint64), line, owner, number
-    following = np.append(start[1:], len(raw))
-    found = np.empty(len(start), np.uint64)
-    for lo, hi in _cuts(following - start[0], STRIDE):
-        # Spaces add nothing, so a word's sum reaches up to the next word. A longer word than a stride is alone here and hashed below.
-        own = raw[start[lo] : min(following[hi - 1], start[lo] + STRIDE)]
-        sums = np.zeros(len(own) + 1, np.uint64)
-        np.cumsum(BYTES[own] * POWER[: len(own)], out=sums[1:])
-        first = start[lo:hi] - start[lo]
-        found[lo:hi] = (sums[np.minimum(following[lo:hi] - start[lo], len(own))] - sums[first]) * INVERSE[first]
-    for i in np.flatnonzero(following - start >= LONG).tolist():  # a long word, or many spaces after a short one
-        word = raw[start[i] : following[i]]
-        word = word[: int(np.argmax(SPACE[word])) if SPACE[word].any() else len(word)]
-        if len(word) >= LONG:
-            found[i] = xxhash.xxh3_64_intdigest(word.tobytes())
-    return mix(found), line, owner, number
-
-
-def _cuts(ends: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
-    lo = 0
-    while lo < len(ends):
-        base = ends[lo - 1] if lo else 0
-        hi = max(lo + 1, int(np.searchsorted(ends, base + size, "right")))
-        yield lo, hi
-        lo = hi
+    return span_hashes(raw, start), line, owner, number
 
 
 def bucket_bits(docs: DataFrame) -> int:
@@ -365,7 +318,7 @@ def _pairs(sets: DataFrame, first: int | None, parts: int, only_open: bool = Fal
             names = np.unique(e["name"][partial])
             yield {"name": names, "other": pa.nulls(len(names), pa.int64())}
         live = np.flatnonzero(count)
-        for lo, hi in _cuts(np.cumsum(count[live]), MET):
+        for lo, hi in cuts(np.cumsum(count[live]), MET):
             own = live[lo:hi]
             if count[own].sum() > 4 * MET:  # one entry with very many before it
                 for i in range(0, int(count[own[0]]), MET):

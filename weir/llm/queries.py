@@ -23,7 +23,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.read_digests(token_files.write_blocks(load(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json")))
+    return token_files.read_digests(token_files.write_files(load(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json")))
 
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
