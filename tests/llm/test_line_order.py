@@ -61,10 +61,12 @@ def test_row_orders(spark, seed):
     assert {r.doc_id: r.removed for r in lines.removed_lines(docs, 1).collect()} == want
 
 
-def test_hot_words_are_dealt(spark, monkeypatch):
+@pytest.mark.parametrize("most_words", [10, 100_000])
+def test_hot_words_are_dealt(spark, monkeypatch, most_words):
     """With small blocks and salts the rounds over open sets give the same."""
+    monkeypatch.setattr(lines, "MOST_WORDS", most_words)
     rng = np.random.default_rng(9)
-    for name, value in {"BLOCK": 8, "HEAD": 3, "SALT_ROWS": 16, "FIRST": 2, "MET": 50}.items():
+    for name, value in {"BLOCK": 8, "HEAD": 3, "SALT_ROWS": 16, "FIRST": 2, "MET": 50, "MANY_OPEN": 3}.items():
         monkeypatch.setattr(lines, name, value)
     found = [x for t in "ab" for x in chain(rng, 150, t)]
     rows = [(k, "\n".join(found[k::30])) for k in range(30)]

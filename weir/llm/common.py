@@ -153,7 +153,7 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def small(df: DataFrame, width: int | F.Column = 32, most: int = 24 << 20) -> DataFrame:
+def small(df: DataFrame, width: int | F.Column = 32, most: int = 16 << 20) -> DataFrame:
     """A broadcast hint where the rows, of `width` bytes each, are shown to take at most `most` bytes; else df as it is, for a shuffled join. df should be a table, as it is read for that."""
     size = df.agg(F.sum(F.lit(width) if isinstance(width, int) else width)).first()[0] or 0
     return F.broadcast(df) if size <= most else df

@@ -9,7 +9,7 @@ rows that share a doc_id and have other texts the lines with one number stand in
 
 Equal sets are one, so copies make no pairs. A set is met with a bounded number of the earlier sets of each of its words: those
 of its block and the very first ones, and of those that pass the filters it is verified against a few. Sets that have found no similar
-one and have not met all earlier ones are open; they are met with each other in the same way, and what is then still open is met
+one and have not met all earlier ones are open; many of them are met with each other in the same way, and what is then still open is met
 with all earlier sets. So a group of near copies costs a few pairs each, and the result is exact. The sets of a word that
 is too frequent for one task are dealt to several by their names, and open ones go to each of them.
 
@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from weir.llm.common import GOLDEN, LOWER, SOLID, Scratch, byte_buffer, cuts, mix, partitions, per_text, small, span_hashes, temporary
 
 #: Hundredths of similarity; words that a line needs to take part unless the caller says otherwise; verified partners of a set for each word in one round.
-LEAST, LEAST_WORDS, FIRST = 80, 5, 6
+LEAST, LEAST_WORDS, FIRST = 80, 5, 2
 #: A set of fewer words is similar to equal ones only, so it needs no partners.
 LEAST_SET = 4
 #: Where a null doc_id stands in the order.
@@ -38,6 +38,8 @@ NO_ID = -(1 << 63)
 BLOCK, HEAD, MET = 1024, 64, 1 << 19
 #: Classes of an octave of counts; the entries of a word that one task should meet, and bytes of entries of a partition.
 OCTAVE, SALT_ROWS, PART_BYTES = 5, 50_000, 24 << 20
+#: Open sets that first meet each other; words of open sets that workers may hold to leave out the entries of others.
+MANY_OPEN, MOST_WORDS = 100_000, 2_000_000
 #: Lines that are sorted at a time, and a key's bits for the word itself, under 8 for its class and 10 for the line.
 CHUNK, WORD_BITS = 1024, 46
 ONLY_WORD = np.uint64((1 << WORD_BITS) - 1)
@@ -227,8 +229,9 @@ def _entries(b: pa.RecordBatch, salted: bool) -> dict[str, np.ndarray]:
     return {c: np.ascontiguousarray(out[c]).astype(k, copy=False) if k != np.uint64 else np.ascontiguousarray(out[c]).view(np.uint64) for c, k in ENTRY.items()}
 
 
-def _packed(sets: DataFrame, parts: int, salted: bool) -> DataFrame:
-    """(part, data): the entries of the sets in blocks, by the part that their word goes to."""
+def _packed(sets: DataFrame, parts: int, salted: bool, words: np.ndarray | None = None) -> DataFrame:
+    """(part, data): the entries of the sets in blocks, by the part that their word goes to; where `words` are given, sorted, those of others are left out."""
+    shared = None if words is None else sets.sparkSession.sparkContext.broadcast(words)
 
     def run(batches) -> Iterator[dict]:
         held, n = [], 0
@@ -243,8 +246,13 @@ def _packed(sets: DataFrame, parts: int, salted: bool) -> DataFrame:
                 yield {"part": [int(part[i])], "data": [_pack(*(e[c][order[i:j]] for c in ENTRY))]}
 
         for b in batches:
-            held.append(_entries(b, salted))
-            n += len(held[-1]["token"])
+            e = _entries(b, salted)
+            if shared is not None:
+                own = (e["token"] >> np.uint64(32)).astype(np.uint32)
+                keep = shared.value[np.minimum(np.searchsorted(shared.value, own), len(shared.value) - 1)] == own
+                e = {c: v[keep] for c, v in e.items()}
+            held.append(e)
+            n += len(e["token"])
             if n >= 400_000:
                 yield from out()
                 held, n = [], 0
@@ -283,6 +291,12 @@ def _by_token(e: dict[str, np.ndarray]) -> np.ndarray:
     return order[np.sort(first)] if len(first) < len(order) else order
 
 
+def _words_of(sets: DataFrame) -> np.ndarray | None:
+    """The sorted words of the sets' prefixes, or nothing where they are more than MOST_WORDS."""
+    found = sets.select(F.explode("prefix").alias("token")).distinct().limit(MOST_WORDS + 1).toPandas()["token"].to_numpy(np.int32)
+    return np.sort(found.view(np.uint32)) if len(found) <= MOST_WORDS else None
+
+
 def _pairs(sets: DataFrame, first: int | None, parts: int, only_open: bool = False) -> DataFrame:
     """Candidate pairs (name, other), and (name, null) for a name that hasn't met all earlier sets.
 
@@ -331,7 +345,8 @@ def _pairs(sets: DataFrame, first: int | None, parts: int, only_open: bool = Fal
             if len(at):
                 yield _rows(e, at, earlier, first)
 
-    entries = _packed(sets.where("open = 1") if only_open else sets, 16 * parts, not only_open)
+    words = None if first else _words_of(sets.where("open = 1"))
+    entries = _packed(sets.where("open = 1") if only_open else sets, 16 * parts, not only_open, words)
     return per_text(entries.repartition(parts, "part"), run, PAIR, rows=1 << 20)
 
 
@@ -426,8 +441,10 @@ def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 
     late, open_ = met(sets.withColumn("open", F.lit(0).cast("tinyint")), FIRST, False, None)
     for first, only_open in ((FIRST, True), (None, False)):
-        if open_.isEmpty():
+        if not (n := open_.count()):
             break
+        if only_open and n <= MANY_OPEN:
+            continue
         marked = sets.join(small(open_.withColumn("open", F.lit(1).cast("tinyint")), 16), "name", "left").withColumn("open", F.coalesce("open", F.lit(0).cast("tinyint")))
         # The first of these rounds only makes fewer sets open: none has met all earlier ones yet.
         late, rest = met(marked, first, only_open, late)
