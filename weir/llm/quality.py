@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -128,13 +129,16 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, with their columns, that the model doesn't reject."""
+    """The rows of docs, with their columns, that the model doesn't reject.
 
-    def run(batches):
-        import pyarrow as pa
+    Null and empty texts are judged by the bias alone; rows that repeat are judged alike; extra columns may have any names.
+    """
 
+    def run(batches):
         score = model.scorer()
         for b in batches:
-            yield b.filter(pa.array([score(x) >= 0.5 for x in b.column("text").to_pylist()], pa.bool_()))
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                yield part.filter(pa.array([score(x) >= 0.5 for x in part.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
