@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weir.llm.common import Scratch, connected, hashes, lower_ascii, mix, partitions, per_text, small, words
+from weir.llm.common import Scratch, connected, hashes, lower_ascii, mix, partitions, per_text, small, temporary, words
 
 #: Words of a shingle, least similarity in hundredths, sets of a block.
 WIDTH, LEAST, BLOCK = 5, 80, 256
@@ -147,7 +147,7 @@ def parities(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount((s % np.uint64(cells)).astype(np.int64), minlength=cells) & 1, bitorder="little").tobytes()
 
 
-SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("name", T.LongType()), T.StructField("bits", T.BinaryType()), T.StructField("entries", T.ArrayType(T.LongType()))])
+SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("version", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("name", T.LongType()), T.StructField("bits", T.BinaryType()), T.StructField("entries", T.ArrayType(T.LongType()))])
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -164,9 +164,9 @@ def _sets(docs: DataFrame) -> DataFrame:
                 sizes.append(len(s)), names.append(name)
                 bits.append(parities(s) if new else None)
                 entries.append(signatures(s).view(np.int64) if new else None)
-            yield {"doc_id": b.column("doc_id"), "n_shingles": sizes, "name": names, "bits": bits, "entries": entries}
+            yield {"doc_id": b.column("doc_id"), "version": b.column("version"), "n_shingles": sizes, "name": names, "bits": bits, "entries": entries}
 
-    return per_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, SETS)
+    return per_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text"), run, SETS)
 
 
 PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -348,40 +348,53 @@ def _verified(groups: DataFrame, docs: DataFrame) -> DataFrame:
     return full.groupBy("unit").applyInArrow(run, PAIR)
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_shingles and component_id.
-
-    Equal sets are one node, so copies cost a row each and no pairs. A document without words has no links and its own id. A
-    null doc_id stays null, and its component is that of others with an equal set; a set that only null ids have links nothing. Rows that repeat a doc_id with other texts are nodes of
-    their own with a common id; each comes back. Very long texts are whole: a set's memory is eight bytes for each word.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, version, n_shingles, name) of the rows of docs, and (name, least, class) of the sets: the least doc_id that has it, and the component by one of its names."""
+    scratch = Scratch(docs.sparkSession)
     known = scratch.table(_sets(docs))
     shared = scratch.table(_sharing(known.where("entries is not null").select("name", F.explode("entries").alias("sig"))))
-    members = scratch.table(known.select("doc_id", "n_shingles", "name"))
+    members = scratch.table(known.select("doc_id", "version", "n_shingles", "name"))
     names = scratch.table(known.where("name <> 0").groupBy("name").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"), F.first("bits", ignorenulls=True).alias("bits")))
     scratch.drop(known)
     near = scratch.table(_candidates(shared, names.select("name", "n", "bits")))
     scratch.drop(shared)
     groups = connected(near).withColumnRenamed("node", "name").join(names.where("least is not null").select("name", "n", F.col("least").alias("doc_id")), "name")
     found = scratch.table(_verified(groups, docs))
-    classes = names.join(connected(found).withColumnRenamed("node", "name"), "name", "left").select("name", "least", F.coalesce("component", "name").alias("class"))
+    return members, names.join(connected(found).withColumnRenamed("node", "name"), "name", "left").select("name", "least", F.coalesce("component", "name").alias("class"))
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, n_shingles and component_id.
+
+    Equal sets are one node, so copies cost a row each and no pairs. A document without words has no links and its own id. A
+    null doc_id stays null, and its component is that of others with an equal set; a set that only null ids have links nothing. Rows that repeat a doc_id with other texts are nodes of
+    their own with a common id; each comes back. Very long texts are whole: a set's memory is eight bytes for each word.
+    """
+    members, classes = _classes(docs)
     least = classes.groupBy("class").agg(F.min("least").alias("component_id"))
     of = classes.join(least, "class").select("name", "component_id")
     return members.join(of, "name", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the least of its component; of rows that repeat such an id one stays. Rows without an id stay.
+    """One row of docs, with its columns, of each component: that with the least doc_id, of several with it the least by a hash of the text. Rows without words all stay.
 
-    The texts don't move unless there are more such ids than a broadcast may hold, or ids that repeat.
+    A row without an id goes where its component has one with an id. Of rows that agree in doc_id and text one stays. Extra columns may have any
+    names. The texts don't move unless there are more rows to drop than a broadcast may hold, or rows that repeat.
     """
-    found = Scratch(docs.sparkSession).table(components(docs))
-    keep = small(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("k_id")).agg((F.count("*") > 1).alias("k_many")))
-    own = docs["doc_id"].cast("long")
-    columns = [docs[c] for c in docs.columns]
-    out = docs.join(keep.where("not k_many"), own == F.col("k_id")).select(*columns)
-    for rest in (docs.where(own.isNull()), docs.join(keep.where("k_many"), own == F.col("k_id")).select(*columns).dropDuplicates(["doc_id"])):
-        out = out if rest.select("doc_id").isEmpty() else out.union(rest)
-    return out
+    scratch = Scratch(docs.sparkSession)
+    members, classes = _classes(docs)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")
+    rows = scratch.table(members.where("name <> 0").join(classes.select("name", "class"), "name").select("class", order.alias("row")))
+    kept = rows.groupBy("class").agg(F.min("row").alias("kept"))
+    keys = rows.groupBy("class", "row").agg(F.count("*").alias("many")).join(kept, "class").select("row.doc_id", "row.version", (F.col("row") == F.col("kept")).alias("kept"), "many")
+    k_doc, k_version = temporary(docs, "doc_id", "version")
+    keys = scratch.table(keys.where("not kept or many > 1").select(F.col("doc_id").alias(k_doc), F.col("version").alias(k_version), "kept"))
+    on = docs["doc_id"].cast("long").eqNullSafe(F.col(k_doc)) & (F.xxhash64(docs["text"]) == F.col(k_version))
+    out = docs.join(small(keys, 24), on, "left_anti")
+    many = keys.where("kept").drop("kept")
+    if many.isEmpty():
+        return out
+    d, v = temporary(docs, "d", "v")
+    again = docs.join(small(many, 24), on, "left_semi").withColumns({d: docs["doc_id"].cast("long"), v: F.xxhash64(docs["text"])}).dropDuplicates([d, v])
+    return out.union(again.drop(d, v))
