@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weir.llm.common import Scratch, small
+from weir.llm.common import Scratch, small, temporary
 from weir.llm.rules import word_array
 
 #: Weights of the sources in code point order, repeating; how often a source may be taken; hexadecimal digits of a bucket.
@@ -88,18 +88,25 @@ def sorted_mix(mix: DataFrame) -> DataFrame:
     """The documents by the position at which each is first taken; those that aren't taken follow, spread by their place."""
     first = position(F.least(F.lit(1.0), (F.col("place") + F.least("size", "taken") / 2) / F.greatest(F.col("target"), F.lit(1.0))), F.col("tilt"))
     spare = 1 + F.col("place") / F.greatest(F.col("source_size"), F.lit(1))
-    return mix.withColumn("position", F.when(F.col("taken") > 0, first).otherwise(spare)).orderBy("position", "doc_id")
+    return mix.withColumn("position", F.round(F.when(F.col("taken") > 0, first).otherwise(spare), 9)).orderBy("position", "doc_id")
 
 
 def copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it to the nearest whole number; rows that it doesn't take go.
+    """The rows of docs, with their columns, each as often as the mix takes it to the nearest whole number, in the order of training; rows that it doesn't take go.
 
-    Of rows with one doc_id, each is repeated as often as the mean of them is taken. The mix moves ids and sizes; the text
-    moves in one shuffle by doc_id.
+    Rows are sorted by position over ranges, so that the written parts follow each other in training. Of rows with one doc_id, each is repeated
+    as often as the mean of them is taken, from the place of the first. Null texts, and those without words, go. Extra columns may have any names.
     """
-    taken = mixed(docs).groupBy("doc_id").agg(F.sum("taken").alias("t"), F.sum("size").alias("s")).where("t > 0")
-    times = taken.select(F.col("doc_id").alias("m_id"), F.floor(F.col("t") / F.col("s") + 0.5).cast("int").alias("times")).where("times > 0")
-    return docs.join(small(times), docs["doc_id"].cast("long").eqNullSafe(F.col("m_id"))).withColumn("m_id", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*(docs[c] for c in docs.columns))
+    head = F.min(F.struct("place", "size", "source_size", "target", "tilt")).alias("m")
+    taken = mixed(docs).groupBy("doc_id").agg(F.sum("taken").alias("t"), F.sum("size").alias("s"), head).where("t > 0")
+    id_, place, round_ = temporary(docs, "id", "place", "round")
+    taken = taken.select(F.col("doc_id").alias(id_), F.floor(F.col("t") / F.col("s") + 0.5).cast("int").alias("times"), "m").where("times > 0").select(id_, F.struct("times", "m.*").alias(place))
+    taken = Scratch(docs.sparkSession).table(taken)
+    rows = docs.join(small(taken, 56), docs["doc_id"].cast("long").eqNullSafe(F.col(id_)))
+    rows = rows.withColumn(round_, F.explode(F.sequence(F.lit(0), F.col(f"{place}.times") - 1)))
+    middle = (F.col(round_) * F.col(f"{place}.source_size") + F.col(f"{place}.place") + F.col(f"{place}.size") / 2) / F.greatest(F.col(f"{place}.target"), F.lit(1.0))
+    rows = rows.withColumn(place, position(F.least(F.lit(1.0), middle), F.col(f"{place}.tilt")))
+    return rows.orderBy(place, id_, round_).select(*(docs[c] for c in docs.columns))
 
 
 ORACLE = r"""
@@ -109,10 +116,14 @@ w AS (SELECT *, (i % 3 + 1)::DOUBLE AS weight FROM s),
 l AS (SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER (ORDER BY source_size / weight, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
     / sum(weight) OVER (ORDER BY source_size / weight, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 o AS (SELECT *, CASE WHEN 3 * source_size > level * weight THEN row_number() OVER (ORDER BY source_size / weight, i) END AS k FROM l),
-t AS (SELECT source, source_size, CASE WHEN k IS NULL THEN (3 * source_size)::DOUBLE ELSE (SELECT arg_min(level, k) FROM o) * weight END AS target FROM o),
-p AS (SELECT *, (sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::BIGINT AS place FROM d)
-SELECT p.doc_id, p.size, t.source_size, t.target,
+t AS (SELECT source, source_size, CASE i % 3 WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 0::DOUBLE ELSE -0.5::DOUBLE END AS tilt, CASE WHEN k IS NULL THEN (3 * source_size)::DOUBLE ELSE (SELECT arg_min(level, k) FROM o) * weight END AS target FROM o),
+p AS (SELECT *, (sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::BIGINT AS place FROM d),
+m AS (SELECT p.doc_id, p.size, t.source_size, t.target,
     (greatest(0, least(p.size, floor(t.target)::BIGINT - p.place)) + greatest(0, least(p.size, floor(t.target)::BIGINT - t.source_size - p.place))
-    + greatest(0, least(p.size, floor(t.target)::BIGINT - 2 * t.source_size - p.place)))::BIGINT AS taken
-FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
+    + greatest(0, least(p.size, floor(t.target)::BIGINT - 2 * t.source_size - p.place)))::BIGINT AS taken, p.place, t.tilt
+FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source),
+h AS (SELECT *, least(1.0::DOUBLE, (place + least(size, taken) / 2) / greatest(target, 1.0::DOUBLE)) AS share FROM m)
+SELECT doc_id, size, source_size, target, taken, round(CASE WHEN taken > 0 THEN CASE WHEN tilt = 0 THEN share
+    ELSE ((1 + tilt) - sqrt(greatest((1 + tilt) * (1 + tilt) - 4 * tilt * share, 0::DOUBLE))) / (2 * tilt) END ELSE 1 + place / greatest(source_size, 1) END, 9) AS position
+FROM h
 """

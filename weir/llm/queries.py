@@ -49,7 +49,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.sorted_mix(mixing.mixed(load(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.sorted_mix(mixing.mixed(load(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
