@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -118,10 +119,13 @@ def span_hashes(raw: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or of setCheckpointDir; without either it is an error, as no local folder would do on a cluster."""
+    """The folder of spark.checkpoint.dir, or of setCheckpointDir; without either a temporary one where Spark runs in one process, as in tests, and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="weir")
+        spark.sparkContext.setCheckpointDir(found)
     return found
 
 

@@ -207,14 +207,18 @@ PACKED = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("da
 PAIR = T.StructType([T.StructField("name", T.LongType()), T.StructField("other", T.LongType())])
 
 
-def _entries(b: pa.RecordBatch, salted: bool) -> dict[str, np.ndarray]:
-    """The entries of rows of sets. A frequent word's entries are dealt to salts by the sets' names; open ones go to all of them."""
+def _entries(b: pa.RecordBatch, salted: bool, words: np.ndarray | None) -> dict[str, np.ndarray]:
+    """The entries of rows of sets, of `words` where they are given. A frequent word's entries are dealt to salts by the sets' names; open ones go to all of them."""
     prefix = b.column("prefix")
     sizes = np.diff(prefix.offsets.to_numpy())
     row = np.repeat(np.arange(b.num_rows), sizes)
-    token = prefix.flatten().to_numpy().astype(np.int64).view(np.uint64) << np.uint64(32)
+    token = prefix.flatten().to_numpy().view(np.uint32)
     cls = np.frombuffer(b"".join(b.column("classes").to_pylist()), np.uint8)
     pos = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    if words is not None:
+        keep = np.flatnonzero(words[np.minimum(np.searchsorted(words, token), len(words) - 1)] == token)
+        row, token, cls, pos = row[keep], token[keep], cls[keep], pos[keep]
+    token = token.astype(np.uint64) << np.uint64(32)
     e = {c: b.column(c).to_numpy() for c in ("name", "n", "doc_id", "line", "low", "high", "open")}
     if salted and (often := 2.0 ** ((cls + 1.0) / OCTAVE) > SALT_ROWS).any():
         salts = np.where(often, np.ceil(2.0 ** ((cls + 1.0) / OCTAVE) / SALT_ROWS), 1).astype(np.int64)
@@ -226,7 +230,7 @@ def _entries(b: pa.RecordBatch, salted: bool) -> dict[str, np.ndarray]:
         token = token[of] | np.where(salts[of] > 1, np.where(every[of] > 1, salt.astype(np.uint64), own) + np.uint64(1), np.uint64(0))
         row, pos = row[of], pos[of]
     out = {c: v[row] for c, v in e.items()} | {"token": token, "pos": pos}
-    return {c: np.ascontiguousarray(out[c]).astype(k, copy=False) if k != np.uint64 else np.ascontiguousarray(out[c]).view(np.uint64) for c, k in ENTRY.items()}
+    return {c: out[c].view(k) if out[c].dtype.itemsize == np.dtype(k).itemsize else out[c].astype(k) for c, k in ENTRY.items()}
 
 
 def _packed(sets: DataFrame, parts: int, salted: bool, words: np.ndarray | None = None) -> DataFrame:
@@ -238,7 +242,7 @@ def _packed(sets: DataFrame, parts: int, salted: bool, words: np.ndarray | None
 
         def out() -> Iterator[dict]:
             e = {c: np.concatenate([x[c] for x in held]) for c in ENTRY}
-            part = (mix(e["token"]) % np.uint64(parts)).astype(np.int64)
+            part = (mix(e["token"]) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)
             order = np.argsort(part, kind="stable")
             part = part[order]
             new = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
@@ -246,13 +250,8 @@ def _packed(sets: DataFrame, parts: int, salted: bool, words: np.ndarray | None
                 yield {"part": [int(part[i])], "data": [_pack(*(e[c][order[i:j]] for c in ENTRY))]}
 
         for b in batches:
-            e = _entries(b, salted)
-            if shared is not None:
-                own = (e["token"] >> np.uint64(32)).astype(np.uint32)
-                keep = shared.value[np.minimum(np.searchsorted(shared.value, own), len(shared.value) - 1)] == own
-                e = {c: v[keep] for c, v in e.items()}
-            held.append(e)
-            n += len(e["token"])
+            held.append(_entries(b, salted, shared and shared.value))
+            n += len(held[-1]["token"])
             if n >= 400_000:
                 yield from out()
                 held, n = [], 0
@@ -274,19 +273,29 @@ def _met(e: dict[str, np.ndarray], at: np.ndarray, earlier: np.ndarray) -> tuple
 
 
 def _by_token(e: dict[str, np.ndarray]) -> np.ndarray:
-    """The entries in the order of token, doc_id, line and name, each set's first alone for a token.
+    """The entries in the order of token, doc_id, line and name, each set's first alone for a token, and tokens with one entry left out.
 
     Tasks that meet a set each bring its entries, among them those of its first line in the task. So what is left of a set stands
     at its first line of all, for every token, and the sets of a token stand in the order of `firsts`.
     """
-    order = np.argsort(e["token"])
-    token = e["token"][order]
-    head = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-    size = np.diff(np.append(head, len(token)))
-    # Only words of several entries have an order to keep.
+    token, doc_id = e["token"], e["doc_id"]
+    least = int(doc_id.min())
+    if int(token.max()) < 1 << 32 and int(doc_id.max()) - least < 1 << 32:
+        key = token << np.uint64(32) | (doc_id - least).astype(np.uint64)
+        order = np.argsort(key)
+        # The rest of the order is for the few that agree in both.
+        key = key[order]
+        tie = key[1:] == key[:-1]
+        tied = np.flatnonzero(np.append(tie, False) | np.append(False, tie))
+        own = order[tied]
+        order[tied] = own[np.lexsort((e["name"][own], e["line"][own], key[tied]))]
+    else:
+        order = np.lexsort((e["name"], e["line"], doc_id, token))
+    sorted_ = token[order]
+    head = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
+    size = np.diff(np.append(head, len(order)))
     order = order[np.repeat(size > 1, size)]
-    order = order[np.lexsort((e["name"][order], e["line"][order], e["doc_id"][order], e["token"][order]))]
-    own = mix(e["name"][order].view(np.uint64)) ^ mix(e["token"][order])
+    own = mix(e["name"][order].view(np.uint64)) ^ mix(token[order])
     first = np.unique(own, return_index=True)[1]
     return order[np.sort(first)] if len(first) < len(order) else order
 
@@ -311,6 +320,9 @@ def _pairs(sets: DataFrame, first: int | None, parts: int, only_open: bool = Fal
             return
         e = dict(zip(ENTRY, (np.concatenate(x) for x in zip(*got, strict=True)), strict=True))
         del got
+        # Salted words are partial; word and salt are one number of 32 bits from here on. Words that share it meet too, which changes no result.
+        e["salted"] = e["token"] & np.uint64(0xFFFFFFFF)
+        e["token"] = (e["token"] >> np.uint64(32)) ^ (mix(e["salted"]) >> np.uint64(32)) * (e["salted"] > 0)
         order = _by_token(e)
         e = {c: v[order] for c, v in e.items() if c not in ("doc_id", "line")}
         if not len(order):
@@ -323,7 +335,7 @@ def _pairs(sets: DataFrame, first: int | None, parts: int, only_open: bool = Fal
             block = place - place % BLOCK
             front = np.minimum(block, HEAD)
             count = place - block + front
-            partial = (block > HEAD) | ((token & np.uint64(0xFFFFFFFF)) > 0)
+            partial = (block > HEAD) | (e["salted"] > 0)
         else:
             block = front = np.zeros(len(token), np.int64)
             count = np.where(e["open"] > 0, place, 0)
@@ -363,8 +375,8 @@ def _rows(e: dict[str, np.ndarray], at: np.ndarray, earlier: np.ndarray, first:
 
 
 def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the pairs (name, other) that are similar, judged on all words of one line of each set."""
-    wanted = pairs.select("name").union(pairs.select("other")).distinct().join(firsts, "name").select("name", F.col("first.doc_id").alias("w_doc"), F.col("first.version").alias("w_version"), F.col("first.line").alias("line"))
+    """Those of the pairs (name, other) that are similar, judged on all words of one line of each set; firsts has the pairs' sets and no others."""
+    wanted = firsts.select("name", F.col("first.doc_id").alias("w_doc"), F.col("first.version").alias("w_version"), F.col("first.line").alias("line"))
     wanted = wanted.withColumn("w_doc", F.nullif("w_doc", F.lit(NO_ID))).groupBy("w_doc", "w_version").agg(F.collect_list(F.struct("line", "name")).alias("lines"))
     wanted = Scratch(docs.sparkSession).table(wanted)
     texts = docs.join(small(wanted, 32 + 12 * F.size("lines")), docs["doc_id"].eqNullSafe(F.col("w_doc")) & (docs["version"] == F.col("w_version"))).select("text", "lines")
@@ -433,11 +445,13 @@ def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     def met(which: DataFrame, first: int | None, only_open: bool, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         """The sets that are late by the pairs of this round, and those that it leaves open."""
         pairs = scratch.table(_pairs(which, first, parts, only_open))
-        # A pair comes from several words; one row is enough from here on.
-        near = pairs.where("other is not null").select(F.least("name", "other").alias("name"), F.greatest("name", "other").alias("other")).distinct()
-        late = scratch.table(_later(_verified(near, firsts, keyed), firsts))
+        # A pair comes from several words; one row is enough from here on, and of firsts the rows of the pairs' sets.
+        near = scratch.table(pairs.where("other is not null").select(F.least("name", "other").alias("name"), F.greatest("name", "other").alias("other")).distinct())
+        names = scratch.table(near.select("name").union(near.select("other")).distinct())
+        few = scratch.table(firsts.join(small(names, 8), "name", "left_semi"))
+        late = scratch.table(_later(_verified(near, few, keyed), few))
         late = late if known is None else scratch.table(known.union(late).distinct())
-        return late, scratch.table(pairs.where("other is null").select("name").distinct().join(late, "name", "left_anti"))
+        return late, scratch.table(pairs.where("other is null").select("name").distinct().join(small(late, 8), "name", "left_anti"))
 
     late, open_ = met(sets.withColumn("open", F.lit(0).cast("tinyint")), FIRST, False, None)
     for first, only_open in ((FIRST, True), (None, False)):
@@ -449,7 +463,7 @@ def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
         # The first of these rounds only makes fewer sets open: none has met all earlier ones yet.
         late, rest = met(marked, first, only_open, late)
         open_ = scratch.table(open_.join(late, "name", "left_anti")) if only_open else rest
-    marked = firsts.join(late.withColumn("gone", F.lit(True)), "name", "left").where("gone or n_lines > 1").select("name", "first", "n_lines", F.coalesce("gone", F.lit(False)).alias("gone"))
+    marked = firsts.join(small(late, 8).withColumn("gone", F.lit(True)), "name", "left").where("gone or n_lines > 1").select("name", "first", "n_lines", F.coalesce("gone", F.lit(False)).alias("gone"))
     marked = scratch.table(marked)
     out = scratch.table(_marked_lines(occurs, marked).where(F.col("gone") | (F.struct("doc_id", "line", "version") != F.col("first"))).select("doc_id", "version", "line"))
     lost = out.distinct().groupBy("doc_id", "version").agg(F.array_sort(F.collect_list("line")).alias("removed"))
