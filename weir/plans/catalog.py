@@ -2,50 +2,15 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weir.functions import aggregates as A
 from weir.functions import scalar as S
 from weir.operators import joins, ranking, unnest, windows
+from weir.plans.registry import ORACLES, QUERIES, query, sql, table
 from weir.sources import formats, nexmark
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-TABLES = "region nation customer supplier part orders lineitem events".split()
-EVENT_COUNT = 100_000
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def query(name: str, oracle: str):
-    """Registers a function of (spark, load), where load(name) is a table."""
-
-    def register(f):
-        QUERIES[name] = lambda spark, sf_dir: f(spark, lambda t: table(spark, sf_dir, t))
-        ORACLES[name] = oracle
-        return f
-
-    return register
-
-
-def sql(name: str, text: str, oracle: str | None = None) -> None:
-    """Registers SQL over the tables that it names; without `oracle` both engines run the same text."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        for t in TABLES:
-            if re.search(rf"\b{t}\b", text):
-                table(spark, sf_dir, t).createOrReplaceTempView(t)
-        return spark.sql(text)
-
-    QUERIES[name], ORACLES[name] = run, oracle or text
-
-
 # Windows -------------------------------------------------------------------------------------------------------------
 
 _TUMBLE = "time_bucket(INTERVAL '{0}', ts) AS window_start, time_bucket(INTERVAL '{0}', ts) + INTERVAL '{0}' AS window_end"
@@ -62,8 +27,9 @@ _HOPS = "(SELECT event_id, user_id, event_type, ts, value, time_bucket(INTERVAL
 
 @query("window_hop_aggregates", f"SELECT window_start, window_start + INTERVAL '60 minutes' AS window_end, event_type, count(*) AS n, min(event_id) AS lo, max(event_id) AS hi, (sum(event_id) // count(*))::BIGINT AS mean FROM {_HOPS.format(slide=15, n=4)} GROUP BY ALL")
 def _(spark, load):
-    w = windows.hop(load("events"), "ts", "60 minutes", "15 minutes")
-    return w.groupBy("window_start", "window_end", "event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("lo"), F.max("event_id").alias("hi"), A.avg_as(F.col("event_id"), "bigint").alias("mean"))
+    parts = {"n": (F.count("*"), "sum"), "lo": (F.min("event_id"), "min"), "hi": (F.max("event_id"), "max"), "total": (F.sum("event_id"), "sum")}
+    w = windows.hop_aggregate(load("events"), "ts", "60 MINUTES", "15 MINUTES", ["event_type"], parts)
+    return w.withColumn("mean", F.expr("total DIV n")).drop("total")
 
 
 @query("window_cumulate_count", "SELECT s AS window_start, s + to_minutes(15 * k) AS window_end, event_type, count(*) AS n FROM (SELECT time_bucket(INTERVAL '60 minutes', ts) AS s, * FROM events), range(1, 5) t(k) WHERE s + to_minutes(15 * k) > ts GROUP BY ALL")
@@ -81,8 +47,9 @@ def _(spark, load):
 
 @query("window_reaggregate_hot", f"WITH c AS (SELECT window_start, user_id, count(*) AS num FROM {_HOPS.format(slide=15, n=4)} GROUP BY ALL), m AS (SELECT window_start, max(num) AS top FROM c GROUP BY ALL) SELECT c.window_start, user_id, num FROM c JOIN m ON c.window_start = m.window_start AND num >= top")
 def _(spark, load):
-    c = windows.hop(load("events"), "ts", "60 minutes", "15 minutes").groupBy("window_start", "user_id").agg(F.count("*").alias("num"))
-    return c.join(c.groupBy("window_start").agg(F.max("num").alias("top")), "window_start").where("num >= top").select("window_start", "user_id", "num")
+    c = windows.hop_aggregate(load("events"), "ts", "60 MINUTES", "15 MINUTES", ["user_id"], {"num": (F.count("*"), "sum")})
+    # A row for each user and window is left here; the window's maximum is taken over them in one sort.
+    return c.withColumn("top", F.max("num").over(Window.partitionBy("window_start"))).where("num >= top").select("window_start", "user_id", "num")
 
 
 @query("window_distinct_users", "SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, count(DISTINCT user_id) AS users, count(DISTINCT user_id) FILTER (WHERE event_type = 'click') AS clickers FROM events GROUP BY ALL")
@@ -152,7 +119,6 @@ def _(spark, load):
 
 sql("top_n_null_order", "SELECT event_id, r FROM (SELECT event_id, CAST(row_number() OVER (PARTITION BY event_type ORDER BY nullif(user_id, 3) DESC NULLS LAST, event_id) AS BIGINT) AS r FROM events) WHERE r <= 5")
 sql("sort_limit_offset", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 5")
-sql("event_time_sort", "SELECT event_id, ts FROM events ORDER BY ts, event_id")
 
 
 @query("changelog_normalize", "SELECT user_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1 AND event_type <> 'error'")
@@ -164,8 +130,8 @@ def _(spark, load):
 # Joins ---------------------------------------------------------------------------------------------------------------
 
 for _how in ("INNER", "LEFT", "RIGHT", "FULL"):
-    _on = "FROM (SELECT * FROM customer WHERE c_custkey % 3 <> 0) c {} JOIN (SELECT * FROM orders WHERE o_custkey % 2 = 0) o ON c_custkey = o_custkey".format(_how)
-    sql(f"join_{_how.lower()}", f"SELECT c_custkey, o_orderkey {_on}")
+    _on = f"FROM customer c {_how} JOIN orders o ON c_custkey = o_custkey"
+    sql(f"join_{_how.lower()}", f"SELECT c_custkey, o_orderkey {_on} AND c_nationkey < 15 AND o_orderstatus <> 'F'")
     sql(f"join_{_how.lower()}_residual", f"SELECT c_custkey, o_orderkey {_on} AND o_totalprice > c_acctbal * 20")
 for _n, _not in (("semi", ""), ("anti", "NOT ")):
     sql(f"join_{_n}", f"SELECT c_custkey, c_name FROM customer WHERE {_not}EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
@@ -178,7 +144,7 @@ for _how in ("inner", "left", "right", "full"):
     def _(spark, load, how=_how):
         a = load("events").where("event_type = 'click'").select(F.col("event_id").alias("a"), F.col("user_id").alias("ka"), F.col("ts").alias("ta"))
         b = load("events").where("event_type = 'purchase'").select(F.col("event_id").alias("b"), F.col("user_id").alias("kb"), F.col("ts").alias("tb"))
-        return joins.interval_join(a, b, F.col("ka") == F.col("kb"), ("ta", "tb"), "-1 HOUR", "2 HOURS", how).select("a", "b")
+        return joins.interval_join(a, b, [("ka", "kb")], ("ta", "tb"), "-1 HOUR", "2 HOURS", how).select("a", "b")
 
     @query(f"window_join_{_how}", f"SELECT a.event_id AS a, b.event_id AS b FROM (SELECT *, time_bucket(INTERVAL '2 hours', ts) AS w FROM events WHERE event_type = 'click') a {_how} JOIN (SELECT *, time_bucket(INTERVAL '2 hours', ts) AS w FROM events WHERE event_type = 'view') b ON a.user_id = b.user_id AND a.w = b.w")
     def _(spark, load, how=_how):
@@ -340,9 +306,14 @@ def _(spark, load):
 
 
 def auction(name: str, text: str, oracle: str | None = None) -> None:
-    head = nexmark.EVENTS.format(n=EVENT_COUNT)
-    QUERIES[name] = lambda spark, sf_dir: spark.sql(f"WITH {head}{text}")
-    ORACLES[name] = f"WITH {nexmark.duck(head)}{oracle or nexmark.duck(text)}"
+    """A query over the stream, with nexmark.PER_EVENT events for each row of the table of events."""
+
+    def run(spark, sf_dir):
+        n = nexmark.PER_EVENT * table(spark, sf_dir, "events").count()
+        return spark.sql(f"WITH {nexmark.EVENTS.format(n=n)}{text}")
+
+    QUERIES[name] = run
+    ORACLES[name] = f"WITH {nexmark.DUCK}{oracle or nexmark.duck(text)}"
 
 
 auction("nexmark_q0", "SELECT auction, bidder, price, date_time, extra FROM bid")
@@ -352,11 +323,11 @@ auction("nexmark_q3", "SELECT p.name, p.city, p.state, a.id FROM auction a JOIN
 _Q4 = "SELECT category, {} AS price FROM (SELECT max(b.price) AS top, a.category FROM auction a JOIN bid b ON a.id = b.auction AND b.date_time BETWEEN a.date_time AND a.expires GROUP BY a.id, a.category) q GROUP BY category"
 auction("nexmark_q4", _Q4.format("sum(top) DIV count(top)"), _Q4.format("(sum(top) // count(top))::BIGINT"))
 auction(
-    "nexmark_q5", ", c AS (SELECT auction, window.start AS window_start, count(*) AS num FROM bid GROUP BY auction, window(date_time, '10 seconds', '2 seconds')) SELECT c.auction, c.num, c.window_start FROM c JOIN (SELECT window_start, max(num) AS top FROM c GROUP BY window_start) m ON c.window_start = m.window_start WHERE num >= top",
+    "nexmark_q5", ", s AS (SELECT auction, window.start AS slice, count(*) AS n FROM bid GROUP BY auction, window(date_time, '2 seconds')), c AS (SELECT auction, window_start, sum(n) AS num FROM (SELECT *, explode(sequence(slice - INTERVAL 8 SECOND, slice, INTERVAL 2 SECOND)) AS window_start FROM s) GROUP BY auction, window_start) SELECT auction, num, window_start FROM (SELECT *, max(num) OVER (PARTITION BY window_start) AS top FROM c) WHERE num >= top",
     ", c AS (SELECT auction, time_bucket(INTERVAL '2 seconds', date_time) - to_seconds(2 * k) AS window_start, count(*) AS num FROM bid, range(5) t(k) GROUP BY ALL) SELECT c.auction, c.num, c.window_start FROM c JOIN (SELECT window_start, max(num) AS top FROM c GROUP BY window_start) m ON c.window_start = m.window_start WHERE num >= top",
 )
 _Q7 = "SELECT b.auction, b.price, b.bidder, b.date_time FROM bid b JOIN ({}) m ON b.price = m.top AND b.date_time >= m.e - INTERVAL '10' SECOND AND b.date_time < m.e"
-auction("nexmark_q7", _Q7.format("SELECT max(price) AS top, window.end AS e FROM bid GROUP BY window(date_time, '10 seconds')"), _Q7.format("SELECT max(price) AS top, time_bucket(INTERVAL '10 seconds', date_time) + INTERVAL '10 seconds' AS e FROM bid GROUP BY ALL"))
+auction("nexmark_q7", "SELECT b.auction, b.price, b.bidder, b.date_time FROM (SELECT *, window(date_time, '10 seconds').end AS e FROM bid) b JOIN (SELECT max(price) AS top, window.end AS e FROM bid GROUP BY window(date_time, '10 seconds')) m ON b.e = m.e AND b.price = m.top", _Q7.format("SELECT max(price) AS top, time_bucket(INTERVAL '10 seconds', date_time) + INTERVAL '10 seconds' AS e FROM bid GROUP BY ALL"))
 _Q8 = "SELECT p.id, p.name, p.w FROM (SELECT DISTINCT id, name, {w} AS w FROM person) p JOIN (SELECT DISTINCT seller, {w} AS w FROM auction) a ON p.id = a.seller AND p.w = a.w"
 auction("nexmark_q8", _Q8.format(w="window(date_time, '10 seconds').start"), _Q8.format(w="time_bucket(INTERVAL '10 seconds', date_time)"))
 auction("nexmark_q9", "SELECT id, bidder, price FROM (SELECT a.id, b.bidder, b.price, row_number() OVER (PARTITION BY a.id ORDER BY b.price DESC, b.date_time, b.bidder) AS r FROM auction a JOIN bid b ON a.id = b.auction AND b.date_time BETWEEN a.date_time AND a.expires) q WHERE r <= 1")
