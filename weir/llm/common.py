@@ -185,6 +185,17 @@ def per_text(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[dic
     return df.mapInArrow(run, schema)
 
 
+def gathered(df: DataFrame, keys: list[str], f: Callable[[pa.Table], dict], schema: T.StructType) -> DataFrame:
+    """f over the rows of each partition by keys, as one table: for what a key's few rows come to, without a sort or a hash map of Spark's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        got = [b for b in batches if b.num_rows]
+        if got:
+            yield f(pa.Table.from_batches(got))
+
+    return per_text(df.repartition(*keys), run, schema, rows=1 << 30)
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the long pairs (a, b); component is the least node.
 

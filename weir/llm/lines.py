@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weir.llm.common import GOLDEN, LOWER, SOLID, Scratch, byte_buffer, cuts, mix, partitions, per_text, small, span_hashes, temporary
+from weir.llm.common import GOLDEN, LOWER, SOLID, Scratch, byte_buffer, cuts, gathered, mix, partitions, per_text, small, span_hashes, temporary
 
 #: Hundredths of similarity; words that a line needs to take part unless the caller says otherwise; verified partners of a set for each word in one round.
 LEAST, LEAST_WORDS, FIRST = 80, 5, 2
@@ -246,8 +246,11 @@ def _packed(sets: DataFrame, parts: int, salted: bool, words: np.ndarray | None
             order = np.argsort(part, kind="stable")
             part = part[order]
             new = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-            for i, j in zip(new.tolist(), [*new[1:].tolist(), len(part)], strict=True):
-                yield {"part": [int(part[i])], "data": [_pack(*(e[c][order[i:j]] for c in ENTRY))]}
+            e = {c: v[order] for c, v in e.items()}
+            ends = [*new[1:].tolist(), len(part)]
+            for k in range(0, len(new), 128):
+                own = slice(k, k + 128)
+                yield {"part": part[new[own]].astype(np.int32), "data": [_pack(*(e[c][i:j] for c in ENTRY)) for i, j in zip(new[own].tolist(), ends[own], strict=True)]}
 
         for b in batches:
             held.append(_entries(b, salted, shared and shared.value))
@@ -374,12 +377,65 @@ def _rows(e: dict[str, np.ndarray], at: np.ndarray, earlier: np.ndarray, first:
     return {"name": names, "other": other}
 
 
-def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the pairs (name, other) that are similar, judged on all words of one line of each set; firsts has the pairs' sets and no others."""
-    wanted = firsts.select("name", F.col("first.doc_id").alias("w_doc"), F.col("first.version").alias("w_version"), F.col("first.line").alias("line"))
-    wanted = wanted.withColumn("w_doc", F.nullif("w_doc", F.lit(NO_ID))).groupBy("w_doc", "w_version").agg(F.collect_list(F.struct("line", "name")).alias("lines"))
-    wanted = Scratch(docs.sparkSession).table(wanted)
-    texts = docs.join(small(wanted, 32 + 12 * F.size("lines")), docs["doc_id"].eqNullSafe(F.col("w_doc")) & (docs["version"] == F.col("w_version"))).select("text", "lines")
+FIRSTS = T.StructType([T.StructField("name", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("version", T.LongType()), T.StructField("n_lines", T.LongType())])
+
+
+def _least(name: np.ndarray, doc_id: np.ndarray, line: np.ndarray, version: np.ndarray, n: np.ndarray) -> dict:
+    """Of each name its least row and the sum of n."""
+    order = np.lexsort((version, line, doc_id, name))
+    own = name[order]
+    new = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else order
+    at = order[new]
+    return {"name": name[at], "doc_id": doc_id[at], "line": line[at], "version": version[at], "n_lines": np.add.reduceat(n[order], new) if len(new) else n}
+
+
+def _firsts(table: DataFrame) -> DataFrame:
+    """Where each set occurs first, and in how many lines; a task sends one row for each of its sets in some ten thousand documents, so a common one has few rows."""
+
+    def part(batches) -> Iterator[dict]:
+        for b in batches:
+            lines = b.column("lines")
+            flat, sizes = lines.flatten(), np.diff(lines.offsets.to_numpy())
+            name, line = flat.field("name").to_numpy(), flat.field("line").to_numpy()
+            doc_id, version = (np.repeat(b.column(c).to_numpy(), sizes) for c in ("doc_id", "version"))
+            yield _least(name, doc_id, line, version, np.ones(len(name), np.int64))
+
+    rows = table.where("lines is not null").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce("version", F.lit(0)).alias("version"), "lines")
+    return gathered(per_text(rows, part, FIRSTS, rows=1 << 30), ["name"], lambda t: _least(*(t.column(c).to_numpy() for c in FIRSTS.names)), FIRSTS)
+
+
+def _unique(df: DataFrame, *names: str) -> DataFrame:
+    """The distinct rows of some columns of longs."""
+
+    def one(t: pa.Table) -> dict:
+        rows = np.unique(np.stack([t.column(n).to_numpy() for n in names], 1), axis=0) if len(names) > 1 else np.unique(t.column(names[0]).to_numpy())[:, None]
+        return {n: np.ascontiguousarray(rows[:, i]) for i, n in enumerate(names)}
+
+    return gathered(df.select(*names), list(names), one, T.StructType([T.StructField(n, T.LongType()) for n in names]))
+
+
+#: One number for a row's doc_id and version, which Spark joins by faster than by two; the two are compared besides.
+def _row_key(doc_id: Column, version: Column) -> Column:
+    return F.xxhash64(doc_id, version)
+
+
+def _words_of_sets(firsts: DataFrame, docs: DataFrame) -> DataFrame:
+    """(name, words): the hashes of all words of each set, from the line where it occurs first."""
+    items = T.ArrayType(T.StructType([T.StructField("line", T.IntegerType()), T.StructField("name", T.LongType())]))
+    wanted_type = T.StructType([T.StructField("w_doc", T.LongType()), T.StructField("w_version", T.LongType()), T.StructField("lines", items)])
+
+    def by_row(t: pa.Table) -> dict:
+        doc_id, version, line, name = (t.column(c).to_numpy() for c in ("doc_id", "version", "line", "name"))
+        order = np.lexsort((line, version, doc_id))
+        doc_id, version = doc_id[order], version[order]
+        new = np.flatnonzero(np.append(True, (doc_id[1:] != doc_id[:-1]) | (version[1:] != version[:-1])))
+        lines = pa.StructArray.from_arrays([pa.array(line[order]), pa.array(name[order])], ["line", "name"])
+        return {"w_doc": doc_id[new], "w_version": version[new], "lines": pa.ListArray.from_arrays(pa.array(np.append(new, len(doc_id)), pa.int32()), lines)}
+
+    wanted = Scratch(docs.sparkSession).table(gathered(firsts.select("doc_id", "version", "line", "name"), ["doc_id", "version"], by_row, wanted_type))
+    doc_id = F.coalesce(docs["doc_id"], F.lit(NO_ID))
+    wanted = small(wanted.withColumn("w_key", _row_key(F.col("w_doc"), F.col("w_version"))), 40 + 12 * F.size("lines"))
+    texts = docs.join(wanted, (_row_key(doc_id, docs["version"]) == F.col("w_key")) & (doc_id == F.col("w_doc")) & (docs["version"] == F.col("w_version"))).select("text", "lines")
     schema = T.StructType([T.StructField("name", T.LongType()), T.StructField("words", T.BinaryType())])
 
     def run(batches) -> Iterator[dict]:
@@ -393,9 +449,18 @@ def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame
             ends = np.searchsorted(owner[line], np.arange(len(lines) + 1))
             yield {"name": names, "words": [np.unique(found[i:j]).tobytes() for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]}
 
-    sets = Scratch(docs.sparkSession).table(per_text(texts, run, schema))
-    one = sets.select("name", F.col("words").alias("a"))
-    two = sets.select(F.col("name").alias("other"), F.col("words").alias("b"))
+    # Rows that agree in doc_id and text each give their sets.
+    return per_text(texts, run, schema).dropDuplicates(["name"])
+
+
+def _late(near: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
+    """(name): the sets that another of the pairs (name, other) precedes and is similar to, judged on all words. firsts has the pairs' sets and no others."""
+    sets = Scratch(docs.sparkSession).table(_words_of_sets(firsts, docs))
+    side = lambda key, a, words: (firsts.select(F.col("name").alias(key), F.struct("doc_id", "line").alias(a)), sets.select(F.col("name").alias(key), F.col("words").alias(words)))
+    pairs = near
+    for key, order, words in (("name", "x", "a"), ("other", "y", "b")):
+        first, own = side(key, order, words)
+        pairs = pairs.join(small(first, 24), key).join(own, key)
 
     def check(batches) -> Iterator[dict]:
         for t in batches:
@@ -407,19 +472,14 @@ def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame
             order = np.argsort(key)
             twice = key[order[1:]] == key[order[:-1]]
             common = np.bincount(pair[order[1:][twice]], minlength=len(a))
-            at = pa.array(np.flatnonzero(100 * common >= LEAST * (n + m - common)))
-            yield {"name": t.column("name").take(at), "other": t.column("other").take(at)}
+            at = np.flatnonzero(100 * common >= LEAST * (n + m - common))
+            name, other = (t.column(c).to_numpy()[at] for c in ("name", "other"))
+            earlier = t.column("earlier").to_numpy(zero_copy_only=False)[at]
+            yield {"name": np.where(earlier, other, name)}
 
-    return per_text(pairs.select("name", "other").join(one, "name").join(two, "other"), check, PAIR, rows=1024)
-
-
-def _later(similar: DataFrame, firsts: DataFrame) -> DataFrame:
-    """The names of sets that a similar one precedes."""
-    order = lambda name: F.struct(F.col("first.doc_id"), F.col("first.line"), F.col(name))
-    a = firsts.select("name", order("name").alias("a"))
-    b = firsts.select(F.col("name").alias("other"), order("name").alias("b"))
-    joined = similar.join(a, "name").join(b, "other")
-    return joined.select(F.when(F.col("a") < F.col("b"), F.col("other")).otherwise(F.col("name")).alias("name")).distinct()
+    earlier = (F.col("x") < F.col("y")) | ((F.col("x") == F.col("y")) & (F.col("name") < F.col("other")))
+    out = per_text(pairs.select("name", "other", earlier.alias("earlier"), "a", "b"), check, T.StructType([T.StructField("name", T.LongType())]), rows=1024)
+    return _unique(out, "name")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -436,8 +496,7 @@ def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     scratch = Scratch(spark)
     keyed = _keyed(docs)
     table = scratch.table(_sets(keyed, rarity(docs), least_words))
-    occurs = table.where("lines is not null").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "version", F.explode("lines").alias("x")).select("doc_id", "version", "x.line", "x.name")
-    firsts = scratch.table(occurs.groupBy("name").agg(F.min(F.struct("doc_id", "line", "version")).alias("first"), F.count("*").alias("n_lines")))
+    firsts = scratch.table(_firsts(table))
     sets = table.where("prefix is not null").select("name", "doc_id", "line", "n", "low", "high", "prefix", "classes")
     sizes = sets.agg(F.sum(F.size("prefix"))).first()[0] or 0
     parts = max(partitions(spark), -(-sizes * ENTRY_BYTES // PART_BYTES))
@@ -446,12 +505,11 @@ def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
         """The sets that are late by the pairs of this round, and those that it leaves open."""
         pairs = scratch.table(_pairs(which, first, parts, only_open))
         # A pair comes from several words; one row is enough from here on, and of firsts the rows of the pairs' sets.
-        near = scratch.table(pairs.where("other is not null").select(F.least("name", "other").alias("name"), F.greatest("name", "other").alias("other")).distinct())
-        names = scratch.table(near.select("name").union(near.select("other")).distinct())
-        few = scratch.table(firsts.join(small(names, 8), "name", "left_semi"))
-        late = scratch.table(_later(_verified(near, few, keyed), few))
-        late = late if known is None else scratch.table(known.union(late).distinct())
-        return late, scratch.table(pairs.where("other is null").select("name").distinct().join(small(late, 8), "name", "left_anti"))
+        near = scratch.table(_unique(pairs.where("other is not null").select(F.least("name", "other").alias("name"), F.greatest("name", "other").alias("other")), "name", "other"))
+        few = scratch.table(firsts.join(small(near.select("name").union(near.select("other")), 8), "name", "left_semi"))
+        late = scratch.table(_late(near, few, keyed))
+        late = late if known is None else scratch.table(_unique(known.union(late), "name"))
+        return late, scratch.table(_unique(pairs.where("other is null"), "name").join(small(late, 8), "name", "left_anti"))
 
     late, open_ = met(sets.withColumn("open", F.lit(0).cast("tinyint")), FIRST, False, None)
     for first, only_open in ((FIRST, True), (None, False)):
@@ -459,15 +517,25 @@ def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
             break
         if only_open and n <= MANY_OPEN:
             continue
-        marked = sets.join(small(open_.withColumn("open", F.lit(1).cast("tinyint")), 16), "name", "left").withColumn("open", F.coalesce("open", F.lit(0).cast("tinyint")))
+        marked = sets.join(small(open_, 16).withColumn("open", F.lit(1).cast("tinyint")), "name", "left").withColumn("open", F.coalesce("open", F.lit(0).cast("tinyint")))
         # The first of these rounds only makes fewer sets open: none has met all earlier ones yet.
         late, rest = met(marked, first, only_open, late)
-        open_ = scratch.table(open_.join(late, "name", "left_anti")) if only_open else rest
-    marked = firsts.join(small(late, 8).withColumn("gone", F.lit(True)), "name", "left").where("gone or n_lines > 1").select("name", "first", "n_lines", F.coalesce("gone", F.lit(False)).alias("gone"))
-    marked = scratch.table(marked)
-    out = scratch.table(_marked_lines(occurs, marked).where(F.col("gone") | (F.struct("doc_id", "line", "version") != F.col("first"))).select("doc_id", "version", "line"))
-    lost = out.distinct().groupBy("doc_id", "version").agg(F.array_sort(F.collect_list("line")).alias("removed"))
-    return scratch.table(lost.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID))))
+        open_ = scratch.table(open_.join(small(late, 8), "name", "left_anti")) if only_open else rest
+    marked = firsts.join(small(late, 8).withColumn("gone", F.lit(True)), "name", "left").where("gone or n_lines > 1")
+    marked = scratch.table(marked.select("name", F.col("doc_id").alias("f_doc"), F.col("line").alias("f_line"), F.col("version").alias("f_version"), "n_lines", F.coalesce("gone", F.lit(False)).alias("gone")))
+    occurs = table.where("lines is not null").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce("version", F.lit(0)).alias("version"), F.explode("lines").alias("x")).select("doc_id", "version", "x.line", "x.name")
+    lost = _marked_lines(occurs, marked).where("gone or doc_id <> f_doc or line <> f_line or version <> f_version").select("doc_id", "version", "line")
+
+    def by_row(t: pa.Table) -> dict:
+        rows = np.unique(np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "version", "line")], 1), axis=0)
+        new = np.flatnonzero(np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(1)))
+        own = pa.array(np.ascontiguousarray(rows[new, 0]), mask=rows[new, 0] == NO_ID)
+        return {"doc_id": own, "version": np.ascontiguousarray(rows[new, 1]), "removed": pa.ListArray.from_arrays(pa.array(np.append(new, len(rows)), pa.int32()), pa.array(rows[:, 2].astype(np.int32)))}
+
+    return scratch.table(gathered(lost, ["doc_id", "version"], by_row, REMOVED))
+
+
+REMOVED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("version", T.LongType()), T.StructField("removed", T.ArrayType(T.IntegerType()))])
 
 
 def _marked_lines(occurs: DataFrame, marked: DataFrame, often: int = 100_000) -> DataFrame:
@@ -486,10 +554,12 @@ def _cleaned(text: Column, removed: Column) -> Column:
 
 def _with_removed(docs: DataFrame, gone: DataFrame) -> tuple[DataFrame, str]:
     """docs with the name of a further column: the lines that a row loses, null where there are none."""
-    g_doc, g_version, own = temporary(docs, "doc_id", "version", "removed")
-    gone = small(gone.select(F.col("doc_id").alias(g_doc), F.col("version").alias(g_version), F.col("removed").alias(own)), 32 + 4 * F.size(own))
-    joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col(g_doc)) & (F.xxhash64(docs["text"]) == F.col(g_version)), "left")
-    return joined.drop(g_doc, g_version), own
+    g_key, g_doc, g_version, own = temporary(docs, "key", "doc_id", "version", "removed")
+    doc_id = lambda c: F.coalesce(c.cast("long"), F.lit(NO_ID))
+    gone = gone.select(_row_key(doc_id(F.col("doc_id")), F.col("version")).alias(g_key), doc_id(F.col("doc_id")).alias(g_doc), F.col("version").alias(g_version), F.col("removed").alias(own))
+    version = F.xxhash64(docs["text"])
+    on = (_row_key(doc_id(docs["doc_id"]), version) == F.col(g_key)) & (doc_id(docs["doc_id"]) == F.col(g_doc)) & (version == F.col(g_version))
+    return docs.join(small(gone, 40 + 4 * F.size(own)), on, "left").drop(g_key, g_doc, g_version), own
 
 
 def deduped(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
