@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
@@ -25,57 +24,76 @@ class View(StatefulProcessor):
     """Keeps a key's input rows as a multiset and emits how `view(rows)` changes with each micro-batch.
 
     A changed result is -U/+U where one row replaces one, and -D/+I otherwise; an unchanged one gives nothing. Inputs without
-    row_kind are all +I. State is one value a key, so its size is the key's rows; windows and limits bound it in `trim`.
+    row_kind are all +I. Rows are state of their own types, so its size is the key's rows; windows and limits bound it in `trim`, and `ttl_millis` drops a key's rows so long after their last change.
+    It is for views of any kind; keyed.py has processors that don't look at all rows of a key again.
     """
 
-    def __init__(self, view: Callable[[list[dict]], list[dict]], trim: Callable[[list[dict]], list[dict]] | None = None):
-        self.view, self.trim = view, trim
+    def __init__(self, view: Callable[[list[dict]], list[dict]], schema: StructType, trim: Callable[[list[dict]], list[dict]] | None = None, ttl_millis: int | None = None):
+        self.view, self.trim, self.schema, self.ttl, self.names = view, trim, schema, ttl_millis, schema.fieldNames()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("rows", "rows string")
+        self.state = handle.getListState("rows", self.schema, self.ttl)
+
+    def _of(self, held: list[tuple], apart: bool) -> list[tuple]:
+        """The view's rows. Where the key has a null, which equals nothing, a view of several sides sees each side alone."""
+        rows = [dict(zip(self.names, r, strict=True)) for r in held]
+        parts = [[r for r in rows if r["side"] == s] for s in "lr"] if apart else [rows]
+        return [tuple(r.items()) for part in parts for r in self.view(part)]
 
     def handleInputRows(self, key, rows: Iterable[Row], timerValues) -> Iterator[Row]:
-        del key, timerValues
-        held = json.loads(self.state.get()[0]) if self.state.exists() else []
-        before = [json.dumps(r, default=str) for r in self.view(held)]
+        del timerValues
+        apart = getattr(self.view, "sides", False) and any(k is None for k in key)
+        held = [tuple(r) for r in self.state.get()] if self.state.exists() else []
+        before = Counter(self._of(held, apart))
+        count = Counter(held)
+        new: list[tuple] = []
         for row in rows:
-            row = json.loads(json.dumps(row.asDict(True), default=str))
-            if row.pop("row_kind", "+I") in ADDS:
-                held.append(row)
-            elif row in held:
-                held.remove(row)
-        after = [json.dumps(r, default=str) for r in self.view(held)]
+            row = row.asDict()
+            own = tuple(row[n] for n in self.names)
+            if row.get("row_kind", "+I") in ADDS:
+                count[own] += 1
+                new.append(own)
+            elif count[own] > 0:
+                count[own] -= 1
+        # Rows stay in the order in which they came; of equal ones the last go.
+        left, kept = Counter(), []
+        for own in (*held, *new):
+            if left[own] < count[own]:
+                left[own] += 1
+                kept.append(own)
+        after = Counter(self._of(kept, apart))
         if self.trim:
-            held = self.trim(held)
-        if held:
-            self.state.update((json.dumps(held),))
+            kept = [tuple(r[n] for n in self.names) for r in self.trim([dict(zip(self.names, r, strict=True)) for r in kept])]
+        if kept:
+            self.state.put(kept)
         elif self.state.exists():
             self.state.clear()
-        gone, new = Counter(before) - Counter(after), Counter(after) - Counter(before)
-        minus, plus = ("-U", "+U") if sum(gone.values()) == sum(new.values()) else ("-D", "+I")
-        for kind, changes in ((minus, gone), (plus, new)):
-            for r in changes.elements():
-                yield Row(row_kind=kind, **json.loads(r))
+        gone, come = before - after, after - before
+        minus, plus = ("-U", "+U") if sum(gone.values()) == sum(come.values()) else ("-D", "+I")
+        for kind, changed in ((minus, gone), (plus, come)):
+            for r in changed.elements():
+                yield Row(row_kind=kind, **dict(r))
 
     def close(self) -> None:
         pass
 
 
-def changes(df: DataFrame, keys: list[str], view: Callable[[list[dict]], list[dict]], schema: str, trim: Callable | None = None) -> DataFrame:
+def changes(df: DataFrame, keys: list[str], view: Callable[[list[dict]], list[dict]], schema: str, trim: Callable | None = None, ttl_millis: int | None = None) -> DataFrame:
     """The changelog of view(rows of a key) over a stream; schema is that of a result row, without row_kind."""
     out = StructType.fromDDL(f"row_kind string, {schema}")
-    return df.groupBy(*keys).transformWithState(View(view, trim), out, "Update", "None")
+    held = StructType([f for f in df.schema if f.name != "row_kind"])
+    return df.groupBy(*keys).transformWithState(View(view, held, trim, ttl_millis), out, "Update", "ProcessingTime" if ttl_millis else "None")
 
 
 def group_view(keys: list[str], value: str) -> Callable:
-    """COUNT, SUM, MIN, MAX and integer AVG of `value` by key."""
+    """COUNT, SUM, MIN, MAX and AVG of `value` by key; the average of integers is cut toward zero."""
 
     def view(rows: list[dict]) -> list[dict]:
         got = [r[value] for r in rows if r[value] is not None]
         if not rows:
             return []
         total = sum(got) if got else None
-        mean = None if not got else int(abs(total) // len(got)) * (1 if total >= 0 else -1)
+        mean = None if not got else total / len(got) if not isinstance(total, int) else abs(total) // len(got) * (1 if total >= 0 else -1)
         return [{k: rows[0][k] for k in keys} | {"n": len(rows), "total": total, "lo": min(got, default=None), "hi": max(got, default=None), "mean": mean}]
 
     return view
@@ -87,7 +105,7 @@ def top_view(order: Callable[[dict], tuple], limit: int, offset: int = 0) -> Cal
 
 
 def join_view(how: str, left: list[str], right: list[str]) -> Callable:
-    """A regular join of rows tagged side 'l' or 'r' that share the key: inner, left, right, full, semi or anti."""
+    """A regular join of rows tagged side 'l' or 'r' that share the key: inner, left, right, full, semi or anti. A null key matches nothing."""
 
     def view(rows: list[dict]) -> list[dict]:
         ls, rs = ([r for r in rows if r["side"] == s] for s in "lr")
@@ -99,4 +117,5 @@ def join_view(how: str, left: list[str], right: list[str]) -> Callable:
             ls = [dict.fromkeys(left)]
         return [{c: a[c] for c in left} | {c: b[c] for c in right} for a in ls for b in rs]
 
+    view.sides = True
     return view
