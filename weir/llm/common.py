@@ -185,6 +185,21 @@ def per_text(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[dic
     return df.mapInArrow(run, schema)
 
 
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length, byte by byte of their numbers, so that the bytes that are alike stand together."""
+    return b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays)
+
+
+def unpack(data: bytes, kinds: tuple) -> list[np.ndarray]:
+    n = len(data) // sum(np.dtype(k).itemsize for k in kinds)
+    out, at = [], 0
+    for k in kinds:
+        size = np.dtype(k).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T).view(k).ravel())
+        at += n * size
+    return out
+
+
 def gathered(df: DataFrame, keys: list[str], f: Callable[[pa.Table], dict], schema: T.StructType) -> DataFrame:
     """f over the rows of each partition by keys, as one table: for what a key's few rows come to, without a sort or a hash map of Spark's."""
 

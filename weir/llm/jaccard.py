@@ -9,8 +9,8 @@ more empty segments gets two units for each segment of two shingles or more: its
 neighbourhood, and where even that falls short of h + 1 units, also its empty segments.
 
 Of sets with a signature in common, those stay together whose sizes and parity bits allow it; what they connect is a candidate
-group. A group is verified in blocks of bounded size, pairs of
-blocks whose sizes can't match are left out, and a task gets the shingle sets of one pair of blocks. It counts exact
+group. A group is verified in blocks of bounded size: blocks with themselves first, then one set of each class, then blocks of different classes whose sizes can
+match. A task gets the shingle sets of one pair of blocks. It counts exact
 intersections and gives back a spanning forest of the links it finds, so the rows grow with the sets and not with their pairs.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weir.llm.common import Scratch, connected, hashes, lower_ascii, mix, partitions, per_text, small, temporary, words
+from weir.llm.common import Scratch, connected, hashes, lower_ascii, mix, pack, partitions, per_text, small, temporary, unpack, words
 
 #: Words of a shingle, least similarity in hundredths, sets of a block.
 WIDTH, LEAST, BLOCK = 5, 80, 256
@@ -174,20 +174,68 @@ PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.Long
 FEW = 8
 
 
+#: Names that share an entry and are compared with each other where their bits are at hand; more of them go to verification as one group.
+MANY = 512
+#: An entry as it travels: 48 bits of the signature, which part it is in adds to them, and the name. Bytes of entries of a partition.
+ENTRY, PART_BYTES = (np.uint32, np.uint16, np.int64), 24 << 20
+
+
+def _packed(entries: DataFrame, parts: int) -> DataFrame:
+    """(part, data): the entries of sets (name, entries) in blocks, by the part that their signature goes to."""
+    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("data", T.BinaryType())])
+
+    def run(batches) -> Iterator[dict]:
+        held, n = [], 0
+
+        def out() -> Iterator[dict]:
+            sig, name = (np.concatenate(x) for x in zip(*held, strict=True))
+            part = (sig >> np.uint64(48)).astype(np.uint32) * np.uint32(parts) >> np.uint32(16)
+            order = np.argsort(part.astype(np.uint16), kind="stable")
+            part, sig, name = part[order], sig[order], name[order]
+            new = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            ends = [*new[1:].tolist(), len(part)]
+            low, high = sig.astype(np.uint32), (sig >> np.uint64(32)).astype(np.uint16)
+            for k in range(0, len(new), 128):
+                own = slice(k, k + 128)
+                yield {"part": part[new[own]].astype(np.int32), "data": [pack(low[i:j], high[i:j], name[i:j]) for i, j in zip(new[own].tolist(), ends[own], strict=True)]}
+
+        for b in batches:
+            own = b.column("entries")
+            held.append((own.flatten().to_numpy().view(np.uint64), np.repeat(b.column("name").to_numpy(), np.diff(own.offsets.to_numpy()))))
+            n += len(held[-1][0])
+            if n >= 1_000_000:
+                yield from out()
+                held, n = [], 0
+        if n:
+            yield from out()
+
+    return per_text(entries, run, schema, rows=4096)
+
+
 def _sharing(entries: DataFrame) -> DataFrame:
-    """Names that share an entry (sig, name): all pairs (a, b) of up to FEW, and rows (a, sig as b, many) of each of more.
+    """Names that share an entry of sets (name, entries): all pairs (a, b) of up to FEW, rows (a, group as b, many) of each of up to MANY, and of more a chain of pairs that is marked sure.
 
-    A partition's entries are two plain arrays. A set's copies in one task have sent its entries once.
+    A partition's entries are two plain arrays. A set's copies in one task have sent its entries once. A chain puts its sets into one group, which
+    verification compares in full; so a signature that very many sets have costs a row for each.
     """
-    schema = T.StructType([*PAIR.fields, T.StructField("many", T.BooleanType())])
+    schema = T.StructType([*PAIR.fields, T.StructField("kind", T.IntegerType())])
+    total = entries.agg(F.sum(F.size("entries"))).first()[0] or 0
+    tasks = max(partitions(entries.sparkSession), -(-total * 16 // PART_BYTES))
+    parts = min(1 << 14, 16 * tasks)
 
     def run(batches):
-        got = [(b.column("sig").to_numpy(), b.column("name").to_numpy()) for b in batches]
+        got = [(part, x) for b in batches for part, x in zip(b.column("part").to_pylist(), b.column("data").to_pylist(), strict=True)]
         if not got:
             return
-        sig, name = (np.concatenate(x) for x in zip(*got, strict=True))
-        del got
-        order = np.argsort(sig, kind="stable")
+        sigs, names = [], []
+        for part, x in got:
+            low, high, name = unpack(x, ENTRY)
+            # Parts that met in this task stay apart.
+            sigs.append(np.uint64(part) << np.uint64(48) | high.astype(np.uint64) << np.uint64(32) | low.astype(np.uint64))
+            names.append(name)
+        sig, name = np.concatenate(sigs), np.concatenate(names)
+        del got, sigs, names
+        order = np.argsort(sig)
         sig, name = sig[order], name[order]
         same = sig[1:] == sig[:-1]
         shared = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
@@ -206,12 +254,14 @@ def _sharing(entries: DataFrame) -> DataFrame:
             at = np.flatnonzero((sig[k:] == sig[:-k]) & few[k:])
             found.append(np.stack([name[at], name[at + k]], 1))
         pairs = np.unique(np.concatenate(found), axis=0)
-        for rows, many in ((pairs, False), (np.stack([name[~few], sig[~few]], 1), True)):
+        some = ~few & (of <= MANY)
+        chain = np.flatnonzero((of[1:] > MANY) & (sig[1:] == sig[:-1]))
+        for rows, kind in ((pairs, 0), (np.stack([name[some], sig[some].view(np.int64)], 1), 1), (np.stack([name[chain], name[chain + 1]], 1), 2)):
             for i in range(0, len(rows), 100_000):
                 part = rows[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(part[:, c])) for c in (0, 1)), pa.array([many] * len(part))], names=["a", "b", "many"])
+                yield {"a": np.ascontiguousarray(part[:, 0]), "b": np.ascontiguousarray(part[:, 1]), "kind": np.full(len(part), kind, np.int32)}
 
-    return entries.repartition(partitions(entries.sparkSession), "sig").mapInArrow(run, schema)
+    return per_text(_packed(entries, parts).repartition(tasks, "part"), run, schema, rows=1 << 20)
 
 
 def _possible(n: np.ndarray, m: np.ndarray, bits: np.ndarray, more: np.ndarray) -> np.ndarray:
@@ -227,7 +277,7 @@ def _fold(bits: bytes, size: int) -> np.ndarray:
 
 def _candidates(shared: DataFrame, known: DataFrame) -> DataFrame:
     """Pairs (a, b) that connect all that may be similar: size and parities have left them. known: name, n and bits."""
-    pairs = shared.where("not many").select("a", "b").distinct()
+    pairs = shared.where("kind = 0").select("a", "b").distinct()
     pairs = pairs.join(known.select(F.col("name").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("x")), "a")
     pairs = pairs.join(known.select(F.col("name").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("y")), "b")
 
@@ -243,7 +293,7 @@ def _candidates(shared: DataFrame, known: DataFrame) -> DataFrame:
             yield {"a": t.column("a").filter(pa.array(ok)), "b": t.column("b").filter(pa.array(ok))}
 
     few = per_text(pairs, check, PAIR, rows=2048)
-    many = shared.where("many").select(F.col("a").alias("name"), F.col("b").alias("sig")).join(known, "name")
+    many = shared.where("kind = 1").select(F.col("a").alias("name"), F.col("b").alias("sig")).join(known, "name")
 
     def forest(key: tuple, t: pa.Table) -> pa.Table:
         """A spanning forest of the possible pairs of a signature's sets; each set meets those that it isn't yet connected with."""
@@ -261,7 +311,7 @@ def _candidates(shared: DataFrame, known: DataFrame) -> DataFrame:
                     out.append((name[i], name[j]))
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    return few.union(many.groupBy("sig").applyInArrow(forest, PAIR)).distinct()
+    return few.union(many.groupBy("sig").applyInArrow(forest, PAIR)).union(shared.where("kind = 2").select("a", "b")).distinct()
 
 
 def links(names: list[int], sets: list[np.ndarray], left: np.ndarray) -> list[tuple[int, int]]:
@@ -305,27 +355,15 @@ def links(names: list[int], sets: list[np.ndarray], left: np.ndarray) -> list[tu
     return out
 
 
-def _verified(groups: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) inside the candidate groups (name, component, n, doc_id); doc_id is one document that has the set."""
-    order = Window.partitionBy("component", "slice").orderBy("n", "name")
-    # A group of up to BLOCK sets is one block. Blocks of a larger one follow size: slices of sizes, then rows in order.
-    rows = groups.groupBy("component").agg((F.count("*") > BLOCK).alias("large"))
-    slice_ = F.when(F.col("large"), F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.05))).cast("int")).otherwise(0)
-    ranked = groups.join(rows, "component").withColumn("slice", slice_).drop("large")
-    ranked = ranked.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int"))
-    ranked = Scratch(docs.sparkSession).table(ranked)
-    blocks = ranked.groupBy("component", "slice", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("rows"))
-    other = blocks.select("component", F.col("slice").alias("slice2"), F.col("block").alias("block2"), F.col("least").alias("least2"), F.col("most").alias("most2"))
-    after = F.struct("slice", "block") <= F.struct("slice2", "block2")
-    pairs = blocks.join(other, "component").where(after & (F.col("most") * 100 >= LEAST * F.col("least2")) & (F.col("most2") * 100 >= LEAST * F.col("least")))
-    pairs = pairs.where((F.col("rows") > 1) | (F.col("slice") != F.col("slice2")) | (F.col("block") != F.col("block2")))
-    unit = F.xxhash64("component", "slice", "block", "slice2", "block2").alias("unit")
-    one = pairs.select("component", "slice", "block", unit, F.lit(True).alias("left"))
-    two = pairs.where("slice <> slice2 or block <> block2").select("component", F.col("slice2").alias("slice"), F.col("block2").alias("block"), unit, F.lit(False).alias("left"))
-    parts = one.union(two)
+def _units(ranked: DataFrame, pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) of the pairs of blocks (component, block, block2), where ranked has the blocks' sets (name, component, block, doc_id)."""
+    unit = F.xxhash64("component", "block", "block2").alias("unit")
+    parts = pairs.select("component", "block", unit, F.lit(True).alias("left"))
+    parts = parts.union(pairs.where("block <> block2").select("component", F.col("block2").alias("block"), unit, F.lit(False).alias("left")))
+    members = Scratch(docs.sparkSession).table(ranked.join(parts, ["component", "block"]).select("unit", "left", "name", "doc_id"))
     # A document's set is made once, from its whole text, then goes to the units that its block is in.
-    wanted = ranked.select("doc_id", "name")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(wanted), "doc_id").select("name", "text")
+    wanted = Scratch(docs.sparkSession).table(members.select("doc_id", "name").distinct())
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(wanted, 16), "doc_id").select("name", "text")
     schema = T.StructType([T.StructField("name", T.LongType()), T.StructField("set", T.BinaryType())])
 
     def make(batches) -> Iterator[dict]:
@@ -334,9 +372,7 @@ def _verified(groups: DataFrame, docs: DataFrame) -> DataFrame:
             same = [i for i, (s, n) in enumerate(zip(sets, b.column("name").to_pylist(), strict=True)) if fingerprint(s) == n]
             yield {"name": b.column("name").take(pa.array(same, pa.int64())), "set": [sets[i].tobytes() for i in same]}
 
-    sets = per_text(texts, make, schema)
-    members = ranked.select("component", "slice", "block", "name").join(parts, ["component", "slice", "block"]).select("unit", "left", "name")
-    full = members.join(sets, "name")
+    full = members.select("unit", "left", "name").join(per_text(texts, make, schema), "name")
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         del key
@@ -348,11 +384,65 @@ def _verified(groups: DataFrame, docs: DataFrame) -> DataFrame:
     return full.groupBy("unit").applyInArrow(run, PAIR)
 
 
+def _verified(groups: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) that connect the candidate groups (name, component, n, doc_id) as all links would; doc_id is one document that has the set.
+
+    A group of up to BLOCK sets is one block, compared in full. In a larger one each block is first compared with itself, which finds most links of a group of near copies; then one set of each class that this leaves,
+    in blocks again; and at last the blocks of different classes whose sizes allow it, where the sets of a class stand together. Sets of one class are never compared again, so a group
+    costs what its classes cost, not the square of its sets.
+    """
+    scratch = Scratch(docs.sparkSession)
+
+    def blocks(sets: DataFrame, *order: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("component", "slice").orderBy(*order, "n", "name"))
+        ranked = sets.withColumn("block", F.xxhash64("slice", F.floor((rank - 1) / BLOCK)))
+        return scratch.table(ranked)
+
+    def itself(ranked: DataFrame) -> DataFrame:
+        some = ranked.groupBy("component", "block").agg(F.count("*").alias("rows")).where("rows > 1").select("component", "block", F.col("block").alias("block2"))
+        return scratch.table(_units(ranked, some, docs))
+
+    sizes = scratch.table(groups.groupBy("component").agg(F.count("*").alias("sets")))
+    # A slice is some sets by a hash of their names, about a hundred blocks, so no task ranks a whole group.
+    all_ = groups.join(sizes, "component").withColumn("slice", F.pmod(F.xxhash64("name"), F.greatest(F.lit(1), F.floor(F.col("sets") / (100 * BLOCK)))).cast("int"))
+    all_ = scratch.table(all_)
+    found = itself(blocks(all_))
+    large = all_.where(F.col("sets") > BLOCK)
+    if large.isEmpty():
+        return found
+
+    def classed(links: DataFrame) -> DataFrame:
+        of = connected(links).select(F.col("node").alias("name"), F.col("component").alias("class"))
+        return scratch.table(large.join(of, "name", "left").withColumn("class", F.coalesce("class", "name")))
+
+    known = classed(found)
+    for _ in range(2):
+        one = known.groupBy("component", "class").agg(F.min("name").alias("name"))
+        one = known.join(one.select("name"), "name").withColumn("slice", F.lit(0))
+        found = scratch.table(found.union(itself(blocks(one))))
+        known = classed(found)
+    many = known.groupBy("component").agg(F.count_distinct("class").alias("classes")).where("classes > 1").select("component")
+    rest = known.join(many, "component", "left_semi")
+    if rest.isEmpty():
+        return found
+    # Sets of one class stand together, by size; sets of classes of their own by size too.
+    alone = rest.groupBy("component", "class").agg(F.count("*").alias("own"))
+    rest = rest.join(alone, ["component", "class"]).withColumn("slice", F.when(F.col("own") >= BLOCK, F.col("class")).otherwise(F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.05))).cast("bigint")))
+    ranked = blocks(rest)
+    each = scratch.table(ranked.groupBy("component", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("class").alias("c1"), F.max("class").alias("c2"), F.count("*").alias("rows")))
+    other = each.select("component", *(F.col(c).alias(f"{c}_2") for c in ("block", "least", "most", "c1", "c2")))
+    pairs = each.join(other, "component").where((F.col("block") <= F.col("block_2")) & (F.col("most") * 100 >= LEAST * F.col("least_2")) & (F.col("most_2") * 100 >= LEAST * F.col("least")))
+    # Two blocks of one class, or one block of it, have nothing to find.
+    pairs = pairs.where(~((F.col("c1") == F.col("c2")) & (F.col("c1_2") == F.col("c2_2")) & (F.col("c1") == F.col("c1_2"))))
+    pairs = scratch.table(pairs.select("component", "block", F.col("block_2").alias("block2")))
+    return found.union(_units(ranked, pairs, docs))
+
+
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, version, n_shingles, name) of the rows of docs, and (name, least, class) of the sets: the least doc_id that has it, and the component by one of its names."""
     scratch = Scratch(docs.sparkSession)
     known = scratch.table(_sets(docs))
-    shared = scratch.table(_sharing(known.where("entries is not null").select("name", F.explode("entries").alias("sig"))))
+    shared = scratch.table(_sharing(known.where("entries is not null").select("name", "entries")))
     members = scratch.table(known.select("doc_id", "version", "n_shingles", "name"))
     names = scratch.table(known.where("name <> 0").groupBy("name").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"), F.first("bits", ignorenulls=True).alias("bits")))
     scratch.drop(known)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weir.llm.common import GOLDEN, LOWER, SOLID, Scratch, byte_buffer, cuts, gathered, mix, partitions, per_text, small, span_hashes, temporary
+from weir.llm.common import GOLDEN, LOWER, SOLID, Scratch, byte_buffer, cuts, gathered, mix, partitions, pack, per_text, small, span_hashes, temporary, unpack
 
 #: Hundredths of similarity; words that a line needs to take part unless the caller says otherwise; verified partners of a set for each word in one round.
 LEAST, LEAST_WORDS, FIRST = 80, 5, 2
@@ -91,13 +91,13 @@ def rarity(docs: DataFrame, bits: int | None = None) -> np.ndarray:
         for i in range(0, len(counts), 1 << 16):
             at = np.flatnonzero(own := counts[i : i + (1 << 16)])
             if len(at):
-                yield {"slice": [i >> 16], "data": [_pack(at.astype(np.uint16), own[at])]}
+                yield {"slice": [i >> 16], "data": [pack(at.astype(np.uint16), own[at])]}
 
     def add(batches) -> Iterator[dict]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for i, data in zip(b.column("slice").to_pylist(), b.column("data").to_pylist(), strict=True):
-                at, n = _unpack(data, (np.uint16, np.int64))
+                at, n = unpack(data, (np.uint16, np.int64))
                 sums.setdefault(i, np.zeros(1 << 16, np.int64))[at] += n
         for i, own in sums.items():
             yield {"slice": [i], "data": [np.minimum(255, np.log2(np.maximum(own, 1)) * OCTAVE).astype(np.uint8).tobytes()]}
@@ -109,21 +109,6 @@ def rarity(docs: DataFrame, bits: int | None = None) -> np.ndarray:
     return out
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length, byte by byte of their numbers, so that the bytes that are alike stand together."""
-    return b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays)
-
-
-def _unpack(data: bytes, kinds: tuple) -> list[np.ndarray]:
-    n = len(data) // sum(np.dtype(k).itemsize for k in kinds)
-    out, at = [], 0
-    for k in kinds:
-        size = np.dtype(k).itemsize
-        out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T).view(k).ravel())
-        at += n * size
-    return out
-
-
 def _ordered_sets(keys: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The lines' distinct keys, each line's in ascending order, and their numbers. A key has room above it for a line's number in its chunk."""
     out, counts = [], []
@@ -250,7 +235,7 @@ def _packed(sets: DataFrame, parts: int, salted: bool, words: np.ndarray | None
             ends = [*new[1:].tolist(), len(part)]
             for k in range(0, len(new), 128):
                 own = slice(k, k + 128)
-                yield {"part": part[new[own]].astype(np.int32), "data": [_pack(*(e[c][i:j] for c in ENTRY)) for i, j in zip(new[own].tolist(), ends[own], strict=True)]}
+                yield {"part": part[new[own]].astype(np.int32), "data": [pack(*(e[c][i:j] for c in ENTRY)) for i, j in zip(new[own].tolist(), ends[own], strict=True)]}
 
         for b in batches:
             held.append(_entries(b, salted, shared and shared.value))
@@ -318,7 +303,7 @@ def _pairs(sets: DataFrame, first: int | None, parts: int, only_open: bool = Fal
     """
 
     def run(batches) -> Iterator[dict]:
-        got = [_unpack(x, tuple(ENTRY.values())) for b in batches for x in b.column("data").to_pylist()]
+        got = [unpack(x, tuple(ENTRY.values())) for b in batches for x in b.column("data").to_pylist()]
         if not got:
             return
         e = dict(zip(ENTRY, (np.concatenate(x) for x in zip(*got, strict=True)), strict=True))
