@@ -185,6 +185,72 @@ def per_text(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[dic
     return df.mapInArrow(run, schema)
 
 
+class Known:
+    """Numbers, from 0 on, of the 64-bit hashes that it has been given, in a table of open addresses that grows by doubling. A hash of 0 counts as 1."""
+
+    def __init__(self):
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.values, self.n = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int64), 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash, or -1."""
+        h = np.maximum(h, np.uint64(1))
+        out, mask = np.full(len(h), -1, np.int64), np.uint64(len(self.keys) - 1)
+        open_, slot = np.arange(len(h)), h & mask
+        while len(open_):
+            key = self.keys[slot]
+            hit = key == h[open_]
+            out[open_[hit]] = self.values[slot[hit]]
+            more = ~hit & (key != 0)
+            open_, slot = open_[more], slot[more] + np.uint64(1) & mask
+        return out
+
+    def add(self, h: np.ndarray) -> None:
+        """Numbers new, distinct hashes in their order."""
+        n = self.n + len(h)
+        if 2 * n > len(self.keys):
+            held = np.flatnonzero(self.keys)
+            keys, values = self.keys[held], self.values[held]
+            self.keys, self.values = np.zeros(1 << (2 * n).bit_length(), np.uint64), np.zeros(1 << (2 * n).bit_length(), np.int64)
+            self._put(keys, values)
+        self._put(np.maximum(h, np.uint64(1)), np.arange(self.n, n))
+        self.n = n
+
+    def _put(self, h: np.ndarray, value: np.ndarray) -> None:
+        mask = np.uint64(len(self.keys) - 1)
+        slot = h & mask
+        while len(h):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = h[free]
+            own = self.keys[slot] == h
+            self.values[slot[own]] = value[own]
+            h, value, slot = h[~own], value[~own], slot[~own] + np.uint64(1) & mask
+
+
+def word_spans(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' bytes, where each word begins, and the number of words before each text, with that of all at the end."""
+    raw, bounds = byte_buffer(texts)
+    if lower:
+        raw = LOWER[raw]
+    solid = SOLID[raw]
+    begun = solid.copy()
+    begun[1:] &= ~solid[:-1]
+    held = bounds[:-1][np.diff(bounds) > 0]
+    begun[held] = solid[held]
+    start = np.flatnonzero(begun)
+    return raw, start, np.searchsorted(start, bounds)
+
+
+def span_bytes(raw: np.ndarray, start: np.ndarray, bounds_at: np.ndarray, which: np.ndarray) -> list[bytes]:
+    """The bytes of some of the words; bounds_at is where each text ends, as a word may touch the next text's first."""
+    whole = raw.tobytes()
+    ends = np.append(start[1:], len(raw))[which]
+    limit = bounds_at[np.searchsorted(bounds_at, start[which], "right")]
+    return [whole[i:j].split(None, 1)[0] for i, j in zip(start[which].tolist(), np.minimum(ends, limit).tolist(), strict=True)]
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays of one length, byte by byte of their numbers, so that the bytes that are alike stand together."""
     return b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays)

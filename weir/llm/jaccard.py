@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weir.llm.common import Scratch, connected, hashes, lower_ascii, mix, pack, partitions, per_text, small, temporary, unpack, words
+from weir.llm.common import Scratch, connected, mix, pack, partitions, per_text, small, span_hashes, temporary, unpack, word_spans
 
 #: Words of a shingle, least similarity in hundredths, sets of a block.
 WIDTH, LEAST, BLOCK = 5, 80, 256
@@ -43,23 +43,22 @@ def _distinct(x: np.ndarray) -> np.ndarray:
     return x[new]
 
 
-def many_shingles(texts: list[str | None]) -> list[np.ndarray]:
-    """Per text the sorted distinct 64-bit hashes of its shingles; a shorter text is one shingle, an empty one has none."""
-    tokens = [words(lower_ascii(t)) if t else [] for t in texts]
-    sizes = np.array([len(x) for x in tokens])
-    ends = np.cumsum(sizes)
-    h = hashes([w for x in tokens for w in x])
+def many_shingles(texts: pa.Array) -> list[np.ndarray]:
+    """Per text the sorted distinct 64-bit hashes of its shingles; a shorter text is one shingle, an empty or null one has none."""
+    raw, start, ends = word_spans(texts, lower=True)
+    h = span_hashes(raw, start)
     full = max(0, len(h) - WIDTH + 1)
     rolled = np.full(full, WIDTH, np.uint64)
     for k in range(WIDTH):
         rolled += h[k : full + k] * PLACES[k]
     rolled = mix(rolled)
     out = []
-    for n, end in zip(sizes.tolist(), ends.tolist(), strict=True):
+    for begin, end in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        n = end - begin
         if n >= WIDTH:
-            out.append(_distinct(rolled[end - n : end - WIDTH + 1]))
+            out.append(_distinct(rolled[begin : end - WIDTH + 1]))
         else:
-            out.append(mix((h[end - n : end] * PLACES[:n]).sum(keepdims=True, dtype=np.uint64) + np.uint64(n)) if n else np.zeros(0, np.uint64))
+            out.append(mix((h[begin:end] * PLACES[:n]).sum(keepdims=True, dtype=np.uint64) + np.uint64(n)) if n else np.zeros(0, np.uint64))
     return out
 
 
@@ -157,7 +156,7 @@ def _sets(docs: DataFrame) -> DataFrame:
         seen: set[int] = set()
         for b in batches:
             sizes, names, bits, entries = [], [], [], []
-            for s in many_shingles(b.column("text").to_pylist()):
+            for s in many_shingles(b.column("text")):
                 name = fingerprint(s)
                 new = name not in seen and len(s) > 0
                 seen.add(name)
@@ -368,7 +367,7 @@ def _units(ranked: DataFrame, pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     def make(batches) -> Iterator[dict]:
         for b in batches:
-            sets = many_shingles(b.column("text").to_pylist())
+            sets = many_shingles(b.column("text"))
             same = [i for i, (s, n) in enumerate(zip(sets, b.column("name").to_pylist(), strict=True)) if fingerprint(s) == n]
             yield {"name": b.column("name").take(pa.array(same, pa.int64())), "set": [sets[i].tobytes() for i in same]}
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from weir.llm.common import GOLDEN, LOWER, SPACE, Scratch, byte_buffer, mix, partitions, per_text, span_hashes
+from weir.llm.common import GOLDEN, LOWER, SPACE, Known, Scratch, byte_buffer, mix, partitions, per_text, span_hashes
 
 MAGIC, HEAD = b"WEIRIDS2", struct.Struct("<8sIIIIQI")
 LEVELS = 32
@@ -212,35 +212,13 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.values, self.n = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int64), 0
+        self.known = Known()
         self.ids, self.used = np.zeros(1 << 16, self.kind), 0
         self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
 
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        """The number of each known unit, or -1."""
-        out, mask = np.full(len(h), -1, np.int64), np.uint64(len(self.keys) - 1)
-        open_, slot = np.arange(len(h)), h & mask
-        while len(open_):
-            key = self.keys[slot]
-            hit = key == h[open_]
-            out[open_[hit]] = self.values[slot[hit]]
-            more = ~hit & (key != 0)
-            open_, slot = open_[more], slot[more] + np.uint64(1) & mask
-        return out
-
-    def _put(self, h: np.ndarray, value: np.ndarray) -> None:
-        mask = np.uint64(len(self.keys) - 1)
-        slot = h & mask
-        while len(h):
-            free = self.keys[slot] == 0
-            self.keys[slot[free]] = h[free]
-            own = self.keys[slot] == h
-            self.values[slot[own]] = value[own]
-            h, value, slot = h[~own], value[~own], slot[~own] + np.uint64(1) & mask
-
     def _learn(self, h: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
         """Keeps the ids of new units; the tables grow by doubling."""
-        n, used = self.n + len(h), self.used + len(ids)
+        n, used = self.known.n + len(h), self.used + len(ids)
         for name, need in (("ids", used), ("start", n), ("size", n)):
             old = getattr(self, name)
             if need > len(old):
@@ -248,14 +226,9 @@ class Encoder:
                 new[: len(old)] = old
                 setattr(self, name, new)
         self.ids[self.used : used] = ids
-        self.start[self.n : n], self.size[self.n : n] = self.used + np.cumsum(sizes) - sizes, sizes
-        if 2 * n > len(self.keys):
-            known = np.flatnonzero(self.keys)
-            keys, values = self.keys[known], self.values[known]
-            self.keys, self.values = np.zeros(1 << (2 * n).bit_length(), np.uint64), np.zeros(1 << (2 * n).bit_length(), np.int64)
-            self._put(keys, values)
-        self._put(h, np.arange(self.n, n))
-        self.n, self.used = n, used
+        self.start[self.known.n : n], self.size[self.known.n : n] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.known.add(h)
+        self.used = used
 
     def _by_merges(self, raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ids and their numbers of units of up to WIDTH bytes, one merge of each at a time: the pair of the least rank, the leftmost of equals."""
@@ -301,7 +274,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one text after the other, and the number of each text's; null texts have none."""
-        if self.n > REMEMBERED:
+        if self.known.n > REMEMBERED:
             self._forget()
         raw, bounds = byte_buffer(texts)
         marks = np.flatnonzero((raw[:-1] == ord("<")) & (raw[1:] == ord("|"))) if len(raw) else np.zeros(0, np.int64)
@@ -322,7 +295,7 @@ class Encoder:
         keep = word[start] | ~odd[of]
         start, of = start[keep], of[keep]
         h = np.maximum(span_hashes(raw, start), np.uint64(1))
-        unit = self._find(h)
+        unit = self.known.find(h)
         if (new := np.flatnonzero(unit < 0)).size:
             fresh, first, inverse = np.unique(h[new], return_index=True, return_inverse=True)
             first = new[first]
@@ -341,7 +314,7 @@ class Encoder:
                 far = np.flatnonzero(far)
                 got = [self.tokenizer.encode(raw[i:j].tobytes().decode("utf-8"), add_special_tokens=False).ids for i, j in zip(start[first[far]].tolist(), (start[first[far]] + span[far]).tolist(), strict=True)]
                 self._learn(fresh[far], np.array([i for x in got for i in x], self.kind), np.array(list(map(len, got)), np.int64))
-            unit[new] = self._find(fresh)[inverse]
+            unit[new] = self.known.find(fresh)[inverse]
         sizes = self.size[unit].astype(np.int64)
         ends = np.cumsum(sizes)
         flat = self.ids[np.repeat(self.start[unit] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
