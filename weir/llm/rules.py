@@ -2,8 +2,8 @@
 
 Counts come from array functions inside each row, so no text or word moves between machines. Every group of language and
 source has a mergeable quantile sketch of each measure; its fences lie a multiple of the spread between its median and
-quartile away from the median. A group with few documents takes the merged sketch of its language, and a language with few
-documents that of the corpus. A join by group then filters.
+quartile away from the median. A group's quartiles are drawn to those of its language's merged sketch, and these to the corpus's, the
+more the fewer documents there are. A join by group then filters.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from weir.llm.common import SPACES, Scratch, small
 
 #: Fixed values of the base rules.
 SYMBOLS, LEAST_WORDS, MOST_REPEATED = "#*$%&|<>", 50, 50
-#: Multiples of the half spread that a document may lie off the median; what each measure may always differ by, as for groups without spread; documents that a group needs for fences of its own.
-SPREAD, LEAST_ROWS = 8.0, 100
+#: Multiples of the half spread that a document may lie off the median; what each measure may always differ by, as for groups without spread; documents that the wider group's quartiles weigh as.
+SPREAD, EVIDENCE = 8.0, 100
 SLACK = {"symbols": 0.02, "word_length": 1.0, "dup_lines": 0.2, "repeats": 0.1}
 SKETCH_K = 400
 
@@ -35,24 +35,18 @@ def word_array(text: Column) -> Column:
 def repeated_words(words: Column) -> Column:
     """Words in 3-word windows that occur twice or more.
 
-    Each window has a 64-bit hash. Sorted with the window's place in the low bits, equal hashes are neighbours, and the places
-    of those that have an equal neighbour tell the words: a place covers three, less what the one before has covered. So a
-    text of n words takes n log n steps. Places take as many bits as n needs; hashes are compared whole.
+    Each window has a 64-bit hash. Sorted by hash and place, equal hashes are neighbours, and the places of those that have an equal
+    neighbour tell the words: a place covers three, less what the one before has covered. So a text of n words takes n log n steps.
     """
 
     def of_hashes(h: Column) -> Column:
-        bits = F.ceil(F.log2(F.size(h) + F.lit(1))).cast("int")
-
-        def packed(b: Column) -> Column:
-            keys = F.transform(h, lambda x, i: F.call_function("shiftleft", F.call_function("shiftright", x, b), b) + i.cast("long"))
-            return _let(F.transform(F.sort_array(keys), lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), b) - 1).cast("int")), of_places)
-
         def of_places(q: Column) -> Column:
             at = lambda k: F.get(h, F.get(q, k))
             twice = F.filter(q, lambda x, k: F.coalesce(F.get(h, x) == at(k - 1), F.lit(False)) | F.coalesce(F.get(h, x) == at(k + 1), F.lit(False)))
             return _let(F.sort_array(twice), lambda s: F.aggregate(F.transform(s, lambda x, k: F.least(F.lit(3), x - F.coalesce(F.get(s, k - 1), x - 3))), F.lit(0).cast("long"), lambda a, x: a + x))
 
-        return _let(bits, packed)
+        keyed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return _let(F.transform(keyed, lambda x: x["i"]), of_places)
 
     return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(_let(words, lambda w: _let(F.slice(F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))), F.lit(1), F.size(w) - 2), of_hashes)))
 
@@ -84,26 +78,31 @@ def measures() -> dict[str, Column]:
 
 
 def fences(counts: DataFrame) -> DataFrame:
-    """(lang, source) with the least and greatest value of each measure, from sketches over all documents that have words."""
+    """(lang, source) with the least and greatest value of each measure, from sketches over all documents that have words.
+
+    A group's quartiles are the mean of its own and those of its language, weighed by its documents and EVIDENCE; a language's are so drawn to the
+    corpus's. So each document tells, at any number, and a group of very many goes by its own.
+    """
     names = list(measures())
     sketches = counts.where("n_words > 0").groupBy("lang", "source").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(v, F.lit(SKETCH_K)).alias(k) for k, v in measures().items()))
     sketches = Scratch(counts.sparkSession).table(sketches)
-    merged = lambda *by: sketches.groupBy(*by).agg(F.sum("n").alias("n_up"), *(F.kll_merge_agg_double(k).alias(f"{k}_up") for k in names))
+    at = (0.25, 0.5, 0.75)
 
-    def filled(df: DataFrame) -> DataFrame:
-        few = F.col("n") < LEAST_ROWS
-        return df.select("lang", "source", F.when(few, F.col("n_up")).otherwise(F.col("n")).alias("n"), *(F.when(few, F.col(f"{k}_up")).otherwise(F.col(k)).alias(k) for k in names))
+    def quartiles(df: DataFrame, end: str) -> DataFrame:
+        return df.select(*(F.col(c).alias(f"{c}{end}") for c in ("lang", "source") if c in df.columns), F.col("n").alias(f"n{end}"), *(F.array(*(F.kll_sketch_get_quantile_double(F.col(k), F.lit(r)) for r in at)).alias(f"{k}{end}") for k in names))
 
+    merged = lambda *by: sketches.groupBy(*by).agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(k).alias(k) for k in names))
+    drawn = lambda own, n, to: F.zip_with(own, to, lambda a, b: (n * a + EVIDENCE * b) / (n + EVIDENCE))
     # One row for each language, and one for all; both are merged from the groups' sketches.
-    by_lang = merged("lang").withColumnRenamed("lang", "lang_up")
-    df = filled(sketches.join(by_lang, F.col("lang").eqNullSafe(F.col("lang_up"))))
-    df = filled(df.join(F.broadcast(merged())))
-    q = lambda k, r: F.kll_sketch_get_quantile_double(F.col(k), F.lit(r))
+    by_lang = quartiles(merged("lang"), "_l").join(F.broadcast(quartiles(merged(), "_all")))
+    by_lang = by_lang.select("lang_l", *(drawn(F.col(f"{k}_l"), F.col("n_l"), F.col(f"{k}_all")).alias(f"{k}_l") for k in names))
+    df = quartiles(sketches, "_g").join(by_lang, F.col("lang_g").eqNullSafe(F.col("lang_l")))
+    df = df.select("lang_g", "source_g", *(drawn(F.col(f"{k}_g"), F.col("n_g"), F.col(f"{k}_l")).alias(k) for k in names))
     out = []
     for k in names:
-        low, mid, high = q(k, 0.25), q(k, 0.5), q(k, 0.75)
+        low, mid, high = (F.get(F.col(k), F.lit(i)) for i in range(3))
         out += [(mid - SPREAD * (mid - low) - SLACK[k]).alias(f"{k}_least"), (mid + SPREAD * (high - mid) + SLACK[k]).alias(f"{k}_most")]
-    return df.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *out)
+    return df.select(F.col("lang_g").alias("g_lang"), F.col("source_g").alias("g_source"), *out)
 
 
 def judged(docs: DataFrame) -> DataFrame:
