@@ -1,10 +1,11 @@
 """Toxic passages by maximum-scoring segments.
 
-A term is a token or a beginning of one, which stands for its inflected forms. A term's score is its log-odds between toxic
+A token is a run of word characters. A term is a token or a beginning of one, which stands for its inflected forms, and in runs of more than LONG characters, as of scripts
+without spaces, also every four characters that follow each other. A term's score is its log-odds between toxic
 and other labelled documents, each count smoothed by a Dirichlet prior in proportion to the term's share of the whole
 corpus. A token scores as its best term; tokens whose log-odds are within their error score a small loss. A linear scan (Ruzzo and Tompa) finds every maximal scoring segment of a document. Under the other documents' token shares
 segment scores have an extreme-value tail (Karlin and Altschul): K n exp(-lambda S) segments of score S or more are expected
-in n tokens. The document's evidence is the chance of its segments under that tail, and a logistic curve, fitted on the same
+in n tokens. The document's evidence is the chance of all its segments under that tail, and a logistic curve, fitted on the same
 labelled rows, turns it into the score.
 """
 
@@ -13,32 +14,61 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weir.llm.common import Scratch, WordCache, per_text, words
+from weir.llm.common import Known, Scratch, byte_buffer, per_text, span_bytes, span_hashes, word_spans
 from weir.llm.labelled import fold, sample
 
-#: Rows of the labelled sample, at most, and tokens that the model may hold.
-TRAIN_ROWS, VOCABULARY = 8000, 50_000
+#: Rows of the labelled sample, at most.
+TRAIN_ROWS = 8000
 #: The prior's documents, the least log-odds and their least multiple of the error, and what any other token scores.
 PRIOR, LEAST, LEAST_Z, LOSS = 20.0, 2.0, 3.0, 0.25
-EDGE = re.compile(r"^\W+|\W+$")
-
-
-def token(word: str) -> str:
-    return word.lower() if word.isalnum() else EDGE.sub("", word).lower()
+#: Characters of a run that is a term as a whole; words that a worker remembers, about.
+LONG, REMEMBERED = 40, 500_000
+RUN = re.compile(r"\w+")
 
 
 def terms(word: str) -> tuple[str, ...]:
-    """The token and its beginnings of 3 to 8 characters; a token longer than 40 has only those."""
-    t = token(word)
-    return (*((f"={t}",) if 0 < len(t) <= 40 else ()), *(t[:k] for k in range(3, min(9, len(t) + 1))))
+    """Each run of the word with its beginnings of 3 to 8 characters; of a run longer than LONG all its grams of four characters instead of itself."""
+    out: list[str] = []
+    for t in RUN.findall(word.lower()):
+        if len(t) <= LONG:
+            out.append(f"={t}")
+        else:
+            out += [f"~{t[i : i + 4]}" for i in range(len(t) - 3)]
+        out += [t[:k] for k in range(3, min(9, len(t) + 1))]
+    return tuple(dict.fromkeys(out))
+
+
+class WordScores:
+    """What a function of words gives for each word of texts, kept for words that were met; `make` maps a list of words to an array."""
+
+    def __init__(self, make: Callable[[list[str]], np.ndarray]):
+        self.make, self.known = make, Known()
+        self.values = make([])
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The values of all words, one text after the other, and the number of words before each text, with that of all at the end."""
+        if self.known.n > REMEMBERED:
+            self.known.forget()
+            self.values = self.make([])
+        raw, start, ends = word_spans(texts, lower=True)
+        h = span_hashes(raw, start)
+        word = self.known.find(h)
+        if (new := np.flatnonzero(word < 0)).size:
+            fresh, first = np.unique(h[new], return_index=True)
+            words = [w.decode("utf-8", "replace") for w in span_bytes(raw, start, byte_buffer(texts)[1][1:], new[first])]
+            self.values = np.append(self.values, self.make(words))
+            self.known.add(fresh)
+            word[new] = self.known.find(h[new])
+        return self.values[word], ends
 
 
 def segments(scores: list[float]) -> list[tuple[int, int, float]]:
@@ -82,21 +112,26 @@ class Model:
     slope: float
     level: float
 
-    def evidence(self, found: list[tuple[int, int, float]], n: int) -> float:
-        """-log10 of the chance of the document's best segments, 0 without any, 30 at most."""
-        total = sum(max(0.0, self.decay * s - np.log(max(self.factor * n, 1e-12))) for _, _, s in sorted(found, key=lambda x: -x[2])[:5])
-        return min(30.0, total / np.log(10))
+    def evidence(self, scores: list[float] | np.ndarray, n: int) -> float:
+        """-log10 of the chance of the document's segments of these scores, 0 without any, 30 at most."""
+        total = np.maximum(0.0, self.decay * np.asarray(scores, float) - np.log(max(self.factor * n, 1e-12))).sum()
+        return min(30.0, float(total) / np.log(10))
 
     def scorer(self):
-        cache = WordCache(lambda w: max((self.scores[t] for t in terms(w) if t in self.scores), default=-LOSS), 400_000)
-
-        def score(text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
-            own = words(text)
-            each = np.fromiter(map(cache.__getitem__, own), np.float64, len(own))
-            at = np.flatnonzero(each > 0)
-            found = sparse_segments(at, np.cumsum(each), each) if len(at) else []
-            x = self.level + self.slope * self.evidence(found, len(own))
-            return float(1 / (1 + np.exp(-np.clip(x, -40, 40)))), found
+        """A function from texts to (score, segments) of each; a worker has one for all its batches."""
+        best = lambda w: max((self.scores[t] for t in terms(w) if t in self.scores), default=-LOSS)
+        cache = WordScores(lambda words: np.array([best(w) for w in words], float))
+
+        def score(texts: pa.Array) -> list[tuple[float, list[tuple[int, int, float]]]]:
+            flat, ends = cache.of(texts)
+            out = []
+            for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                each = flat[i:j]
+                at = np.flatnonzero(each > 0)
+                found = sparse_segments(at, np.cumsum(each), each) if len(at) else []
+                x = self.level + self.slope * self.evidence([s for _, _, s in found], j - i)
+                out.append((float(1 / (1 + np.exp(-np.clip(x, -40, 40)))), found))
+            return out
 
         return score
 
@@ -141,12 +176,23 @@ def _counts(df: DataFrame, keep: set[str] | None) -> DataFrame:
     schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("label", T.IntegerType()), T.StructField("rows", T.LongType())])
 
     def run(batches) -> Iterator[dict]:
-        cache = WordCache(terms if keep is None else lambda w: tuple(t for t in terms(w) if t in keep), 200_000 if keep is None else 400_000)
+        # A word is a group of terms; words of the same terms share it, and those of none are 0.
+        groups: dict[tuple, int] = {(): 0}
+        of = (lambda w: terms(w)) if keep is None else (lambda w: tuple(t for t in terms(w) if t in keep))
+        cache = WordScores(lambda words: np.array([groups.setdefault(of(w), len(groups)) for w in words], np.int64))
         rows: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for b in batches:
-            for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
-                rows[label].update(set().union(*filter(None, map(cache.__getitem__, set(words(text))))))
+            found, ends = cache.of(b.column("text"))
+            names = list(groups)
+            for i, j, label in zip(ends[:-1].tolist(), ends[1:].tolist(), b.column("label").to_pylist(), strict=True):
+                own = found[i:j]
+                rows[label].update({t for k in np.unique(own[own > 0]).tolist() for t in names[k]})
                 rows[label][""] += 1
+            if len(groups) > REMEMBERED:
+                groups.clear()
+                groups[()] = 0
+                cache.known.forget()
+                cache.values = cache.make([])
         got = [(w, k, n) for k in rows for w, n in rows[k].items()]
         for i in range(0, len(got), 50_000):
             yield dict(zip(("term", "label", "rows"), map(list, zip(*got[i : i + 50_000], strict=True)), strict=True))
@@ -154,19 +200,38 @@ def _counts(df: DataFrame, keep: set[str] | None) -> DataFrame:
     return per_text(df, run, schema).groupBy("term", "label").agg(F.sum("rows").alias("rows"))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, vocabulary: int = VOCABULARY) -> Model:
+def _may_tell(n_toxic: int, n_clean: int) -> F.Column:
+    """Whether a term's counts can reach LEAST and LEAST_Z at any share in the corpus: an upper bound of both on each of many ranges of the prior's weight.
+
+    The log-odds fall with the weight and the error falls too, so on a range the one is taken at its low end and the other at its high end.
+    """
+    y, c = F.col("1").cast("double"), F.col("0").cast("double")
+    edges = [0.0, *(PRIOR * 1.25**-k for k in range(60, -1, -1))]
+
+    def reaches(low: float, high: float) -> F.Column:
+        t, u = y + low, c + max(low, 1e-9)
+        d = F.log(t / F.greatest(F.lit(n_toxic + PRIOR) - t, F.lit(1e-9))) - F.log(u / F.greatest(F.lit(n_clean + PRIOR) - u, F.lit(1e-9)))
+        return (d >= LEAST) & (d >= LEAST_Z * F.sqrt(1 / (y + high) + 1 / (c + high)))
+
+    found = F.lit(False)
+    for low, high in zip(edges, edges[1:], strict=False):
+        found = found | reaches(low, high)
+    return (y > 0) & found
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Learns labels from at most `rows` rows outside the held-out fold, and the terms' shares from all of docs.
 
-    The driver gets at most 2 * `vocabulary` counts and the evidence of the sample's rows. Without toxic rows, or without
+    The driver gets the counts of those terms that may tell toxic rows by the sample's counts, at most as many as the sample's toxic rows have, and the evidence of the sample's rows. Without toxic rows, or without
     terms that tell them, every document has the same low score.
     """
-    known = Scratch(docs.sparkSession).table(sample(docs, labels, "toxic", fold(5) != 0, rows))
-    pivot = _counts(known.select("text", "label"), None).groupBy("term").pivot("label", [0, 1]).agg(F.sum("rows")).na.fill(0)
-    likely = pivot.where("term = '' or `1` >= 3").orderBy((F.col("1") / (F.col("0") + 1)).desc(), F.col("1").desc(), "term").limit(vocabulary).collect()
-    toxic, clean = {r["term"]: r["1"] for r in likely}, {r["term"]: r["0"] for r in likely}
+    scratch = Scratch(docs.sparkSession)
+    known = scratch.table(sample(docs, labels, "toxic", fold(5) != 0, rows))
+    pivot = scratch.table(_counts(known.select("text", "label"), None).groupBy("term").pivot("label", [0, 1]).agg(F.sum("rows")).na.fill(0))
     n = pivot.where("term = ''").collect()
     n_clean, n_toxic = (n[0]["0"], n[0]["1"]) if n else (0, 0)
-    toxic.pop("", 0), clean.pop("", 0)
+    likely = pivot.where("term <> ''").where(_may_tell(n_toxic, n_clean)).collect() if n_toxic else []
+    toxic, clean = {r["term"]: r["1"] for r in likely}, {r["term"]: r["0"] for r in likely}
     none = Model({}, 1.0, 1.0, 0.0, -20.0)
     if not toxic:
         return none
@@ -180,8 +245,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, vocabulary
     def run(batches) -> Iterator[dict]:
         score = model.scorer()
         for b in batches:
-            got = [(len(words(t)), [s for _, _, s in score(t)[1]]) for t in b.column("text").to_pylist()]
-            yield {"label": b.column("label"), "n": [n for n, _ in got], "best": [sorted(s)[-5:] for _, s in got]}
+            sizes = np.diff(word_spans(b.column("text"), lower=True)[2])
+            yield {"label": b.column("label"), "n": sizes, "best": [sorted(s for _, _, s in found) for _, found in score(b.column("text"))]}
 
     got = per_text(known.select("text", "label"), run, schema).toPandas()
     low = got[got.label == 0]
@@ -190,7 +255,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, vocabulary
     least = min(scores.values())
     model.factor = (0.5 + sum(map(len, low.best))) / max(1.0, float(low.n.sum()) * float(np.exp(-model.decay * least)))
     order = np.lexsort((got.n, got.label))
-    x = np.array([model.evidence([(0, 0, s) for s in ss], n) for n, ss in zip(got.n, got.best, strict=True)])
+    x = np.array([model.evidence(ss, n) for n, ss in zip(got.n, got.best, strict=True)])
     model.slope, model.level = logistic(x[order], got.label.to_numpy(float)[order])
     return model
 
@@ -208,7 +273,7 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
         score = model.scorer()
         for b in batches:
             ids = b.column("doc_id").to_pylist()
-            got = [score(x) for x in b.column("text").to_pylist()]
+            got = score(b.column("text"))
             yield {
                 "doc_id": ids, "held_out": [zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 0 for i in ids], "score": [s for s, _ in got],
                 "predicted": [int(s >= 0.5) for s, _ in got], "passages": [",".join(f"{a}:{z}:{v:.3f}" for a, z, v in f) for _, f in got],
