@@ -11,7 +11,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,6 +56,12 @@ def update_ledger(versions: DataFrame, ledger: DataFrame | None = None) -> tuple
     keyed by version, of which no value is hot; copies of a blob are told by their digest first, and one version of each
     unseen blob is scanned. A null text is the empty blob.
     """
+    told, new = _scanned(versions, ledger)
+    return told, new if ledger is None else ledger.select(*LEDGER.names).union(new)
+
+
+def _scanned(versions: DataFrame, ledger: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(blobs by version, the findings of the blobs that the ledger lacks under RULE_VERSION)."""
     scratch = Scratch(versions.sparkSession)
     told = scratch.table(versions.select("version", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("blob")))
     one = told.groupBy("blob").agg(F.min("version").alias("version"))
@@ -70,8 +76,28 @@ def update_ledger(versions: DataFrame, ledger: DataFrame | None = None) -> tuple
             found = [[dict(zip(("kind", "start", "end"), f, strict=True)) for f in scan(x)] for x in b.column("text").to_pylist()]
             yield {"blob": b.column("blob"), "rules": [RULE_VERSION] * len(found), "findings": found}
 
-    new = scratch.table(per_text(unseen, run, LEDGER).dropDuplicates(["blob"]))
-    return told, new if ledger is None else ledger.select(*LEDGER.names).union(new)
+    return told, scratch.table(per_text(unseen, run, LEDGER).dropDuplicates(["blob"]))
+
+
+class Ledger:
+    """The ledger as a table in a folder that all machines reach, in parts by rule version; a scan adds what it has found and never scans a pair of blob and rule version again."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def read(self) -> DataFrame | None:
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        if not root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(root):
+            return None
+        return self.spark.read.schema(LEDGER).parquet(self.path).select(*LEDGER.names)
+
+    def update(self, versions: DataFrame) -> tuple[DataFrame, int]:
+        """(blobs by version, number of blobs that were scanned) for versions (version, text). A run that fails has added nothing, or whole files of findings that are right; blobs that two
+        runs scan at once have two equal rows, of which readers take one."""
+        told, new = _scanned(versions, self.read())
+        new.write.mode("append").partitionBy("rules").parquet(self.path)
+        return told, new.count()
 
 
 def _digest(spans: F.Column, order: list[str]) -> F.Column:
