@@ -572,3 +572,22 @@ def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFram
     out = joined.withColumn("text", F.when(removed.isNull(), F.col("text")).otherwise(_cleaned(F.col("text"), removed)))
     out = out.where(removed.isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return out.select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
+
+
+#: Of deduped with least_words=1, for tables whose doc_ids don't repeat.
+ORACLE = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS rid FROM documents),
+ln AS MATERIALIZED (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM d WHERE text <> ''),
+st AS MATERIALIZED (SELECT doc_id, i, list_sort(list_distinct(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'))) AS s FROM ln),
+u AS MATERIALIZED (SELECT s, len(s) AS n, min((doc_id, i)) AS f, row_number() OVER () AS k FROM st WHERE len(s) > 0 GROUP BY s),
+w AS MATERIALIZED (SELECT k, n, f, unnest(s) AS t FROM u),
+c AS (SELECT t, count(*) AS c FROM w GROUP BY t),
+pre AS MATERIALIZED (SELECT k, n, f, hash(t) AS t FROM (SELECT w.k, w.n, w.f, w.t, row_number() OVER (PARTITION BY w.k ORDER BY c.c, w.t) AS pos FROM w JOIN c ON c.t = w.t) WHERE pos <= n - (n * 80 + 99) // 100 + 1),
+p AS (SELECT DISTINCT a.k AS a, b.k AS b FROM pre a JOIN pre b ON a.t = b.t AND a.f < b.f AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80),
+late AS MATERIALIZED (SELECT DISTINCT p.b AS k FROM p JOIN u x ON x.k = p.a JOIN u y ON y.k = p.b WHERE 100 * len(list_intersect(x.s, y.s)) >= 80 * (x.n + y.n - len(list_intersect(x.s, y.s)))),
+gone AS MATERIALIZED (SELECT st.doc_id, st.i FROM st JOIN u ON u.s = st.s LEFT JOIN late ON late.k = u.k WHERE late.k IS NOT NULL OR (st.doc_id, st.i) <> u.f),
+g AS (SELECT doc_id, count(*) AS n, string_agg(i::VARCHAR, ',' ORDER BY i) AS r FROM gone GROUP BY doc_id),
+kept AS (SELECT ln.doc_id, string_agg(line, chr(10) ORDER BY ln.i) AS text FROM ln ANTI JOIN gone ON gone.doc_id = ln.doc_id AND gone.i = ln.i GROUP BY ln.doc_id)
+SELECT d.doc_id, CASE WHEN d.text = '' THEN 0 ELSE len(string_split(d.text, chr(10))) END::BIGINT AS n_lines, coalesce(g.n, 0)::BIGINT AS n_removed, coalesce(g.r, '') AS removed_lines, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""

@@ -62,4 +62,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": mixing.ORACLE}
+    return {"op1_ngram_jaccard": jaccard.ORACLE, "op6_quality_rules": rules.ORACLE, "op8_line_dedup": lines.ORACLE, "op9_mixing": mixing.ORACLE}

@@ -20,7 +20,8 @@ SYMBOLS, LEAST_WORDS, MOST_REPEATED = "#*$%&|<>", 50, 50
 #: Multiples of the half spread that a document may lie off the median; what each measure may always differ by, as for groups without spread; documents that the wider group's quartiles weigh as.
 SPREAD, EVIDENCE = 8.0, 100
 SLACK = {"symbols": 0.02, "word_length": 1.0, "dup_lines": 0.2, "repeats": 0.1}
-SKETCH_K = 400
+#: Items of a sketch's level; a group of no more documents is held exactly.
+SKETCH_K = 1024
 
 
 def _let(value: Column, body) -> Column:
@@ -118,3 +119,27 @@ def judged(docs: DataFrame) -> DataFrame:
     within = reduce(lambda a, b: a & b, (v.between(F.col(f"{k}_least"), F.col(f"{k}_most")) for k, v in measures().items()))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.coalesce(within, F.lit(False))).alias("kept"))
+
+
+#: With quartiles over all rows, as sketches of up to SKETCH_K rows have them; for tables whose doc_ids don't repeat.
+ORACLE = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+win AS (SELECT doc_id, i, hash(ws[i], ws[i + 1], ws[i + 2]) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d WHERE len(ws) >= 3)),
+rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, h) > 1),
+cov AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, i + k AS i FROM rep, range(3) t(k)) GROUP BY doc_id),
+b AS MATERIALIZED (SELECT d.doc_id, lang, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines FROM d LEFT JOIN cov ON cov.doc_id = d.doc_id),
+v AS MATERIALIZED (SELECT doc_id, lang, source, n_words, unnest(['symbols', 'word_length', 'dup_lines', 'repeats']) AS m, unnest([0.02, 1.0, 0.2, 0.1]::DOUBLE[]) AS slack,
+    unnest([n_symbols / greatest(word_chars, 1), word_chars / greatest(n_words, 1), n_dup_lines / greatest(n_lines, 1), n_repeat_words / greatest(n_words, 1)]) AS x FROM b),
+f AS MATERIALIZED (SELECT * FROM v WHERE n_words > 0),
+qa AS (SELECT m, list(x ORDER BY x) AS l, count(*) AS n FROM f GROUP BY m),
+ql AS (SELECT lang, m, list(x ORDER BY x) AS l, count(*) AS n FROM f GROUP BY lang, m),
+qg AS (SELECT lang, source, m, list(x ORDER BY x) AS l, count(*) AS n FROM f GROUP BY lang, source, m),
+q AS (SELECT g.lang, g.source, g.m, r, (g.n * g.l[greatest(1, ceil(r * g.n))::INT] + 100 * (l.n * l.l[greatest(1, ceil(r * l.n))::INT] + 100 * a.l[greatest(1, ceil(r * a.n))::INT]) / (l.n + 100)) / (g.n + 100) AS x
+    FROM qg g JOIN ql l ON l.lang IS NOT DISTINCT FROM g.lang AND l.m = g.m JOIN qa a ON a.m = g.m, (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)) t(r)),
+e AS (SELECT lang, source, m, max(x) FILTER (WHERE r = 0.25) AS lo, max(x) FILTER (WHERE r = 0.5) AS mid, max(x) FILTER (WHERE r = 0.75) AS hi FROM q GROUP BY lang, source, m),
+k AS (SELECT v.doc_id, bool_and(coalesce(v.x BETWEEN mid - 8 * (mid - lo) - slack AND mid + 8 * (hi - mid) + slack, false)) AS within FROM v LEFT JOIN e ON e.lang IS NOT DISTINCT FROM v.lang AND e.source IS NOT DISTINCT FROM v.source AND e.m = v.m GROUP BY v.doc_id)
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND within AS kept FROM b JOIN k ON k.doc_id = b.doc_id
+"""
