@@ -133,20 +133,31 @@ class Scratch:
     """Tables written to the shared folder, which cut the lineage and outlive lost executors."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark).rstrip('/')}/weir-{uuid.uuid4().hex}", 0
+        self.spark, self.root, self.paths = spark, f"{shared_dir(spark).rstrip('/')}/weir-{uuid.uuid4().hex}", []
 
     def table(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        df.write.parquet(path := f"{self.root}/{self.n}")
+        path = f"{self.root}/{len(self.paths)}"
+        self.paths.append(path)
+        df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Deletes a table that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that no later step reads."""
+        self._delete([t.scratch_path for t in tables])
+
+    def only(self, result: DataFrame) -> DataFrame:
+        """The rows of result as a table, when all others are deleted: what an operator returns."""
+        out = self.table(result)
+        self._delete(self.paths[:-1])
+        return out
+
+    def _delete(self, paths: list[str]) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for p in paths:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -277,31 +288,63 @@ def gathered(df: DataFrame, keys: list[str], f: Callable[[pa.Table], dict], sche
     return per_text(df.repartition(*keys), run, schema, rows=1 << 30)
 
 
-def connected(edges: DataFrame) -> DataFrame:
+def unique(df: DataFrame, *names: str) -> DataFrame:
+    """The distinct rows of some columns of longs."""
+
+    def one(t: pa.Table) -> dict:
+        rows = np.unique(np.stack([t.column(n).to_numpy() for n in names], 1), axis=0) if len(names) > 1 else np.unique(t.column(names[0]).to_numpy())[:, None]
+        return {n: np.ascontiguousarray(rows[:, i]) for i, n in enumerate(names)}
+
+    return gathered(df.select(*names), list(names), one, T.StructType([T.StructField(n, T.LongType()) for n in names]))
+
+
+def connected(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, component) for every node of the long pairs (a, b); component is the least node.
 
     Each round hangs every node on its least neighbour in the order of a hash, so that paths shrink by a
-    constant share whatever their ids; then edges are renamed, and loops and repeats go. Rounds are checkpointed, so a lost
-    executor costs one round. Minima are taken with partial aggregation; nothing gathers the neighbours of a node.
+    constant share whatever their ids; then edges are renamed, and loops and repeats go. Rounds are written to the shared folder, so a lost
+    executor costs one round. A task first takes the minima of its own edges, so a node of very many has a row for each task.
     """
-    spark = edges.sparkSession
-    scratch = Scratch(spark)
-    pairs = scratch.table(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct())
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    rank = lambda c: F.xxhash64(F.col(c))
+    scratch = scratch or Scratch(edges.sparkSession)
+    pairs = scratch.table(unique(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b"), "a", "b"))
+    nodes = scratch.table(unique(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), "node"))
+    hang = T.StructType([T.StructField("old", T.LongType()), T.StructField("new", T.LongType())])
+
+    def least(old: np.ndarray, new: np.ndarray) -> dict:
+        order = np.lexsort((new, mix(new.view(np.uint64)), old))
+        old, new = old[order], new[order]
+        first = np.flatnonzero(np.append(True, old[1:] != old[:-1])) if len(old) else order
+        return {"old": old[first], "new": new[first]}
+
+    def own(batches) -> Iterator[dict]:
+        for t in batches:
+            a, b = t.column("a").to_numpy(), t.column("b").to_numpy()
+            yield least(np.concatenate([a, b]), np.concatenate([b, a]))
+
+    def best(t: pa.Table) -> dict:
+        out = least(t.column("old").to_numpy(), t.column("new").to_numpy())
+        x, y = (mix(out[c].view(np.uint64)) for c in ("old", "new"))
+        keep = y < x  # the mix is a bijection: no two nodes tie
+        return {c: v[keep] for c, v in out.items()}
+
     maps = []
     while not pairs.isEmpty():
-        both = pairs.union(pairs.select("b", "a"))
-        best = both.groupBy("a").agg(F.min(F.struct(rank("b").alias("r"), F.col("b").alias("to"))).alias("m"))
-        best = best.where((F.col("m.r") < rank("a")) | ((F.col("m.r") == rank("a")) & (F.col("m.to") < F.col("a"))))
-        best = scratch.table(best.select(F.col("a").alias("old"), F.col("m.to").alias("new")))
-        maps.append(best)
+        maps.append(scratch.table(gathered(per_text(pairs, own, hang, rows=1 << 30), ["old"], best, hang)))
         for c in "ab":
-            pairs = pairs.join(best.select(F.col("old").alias(c), "new"), c, "left").withColumn(c, F.coalesce("new", c)).drop("new")
-        pairs = scratch.table(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+            pairs = pairs.join(small(maps[-1], 16).select(F.col("old").alias(c), "new"), c, "left").withColumn(c, F.coalesce("new", c)).drop("new")
+        pairs = scratch.table(unique(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b"), "a", "b"))
     found = nodes.withColumn("root", F.col("node"))
-    for best in maps:
-        found = found.join(best.select(F.col("old").alias("root"), "new"), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+    for m in maps:
+        found = found.join(small(m, 16).select(F.col("old").alias("root"), "new"), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
     found = scratch.table(found)
-    least = found.groupBy("root").agg(F.min("node").alias("component"))
-    return found.join(least, "root").select("node", "component")
+
+    def lowest(root: np.ndarray, component: np.ndarray) -> dict:
+        order = np.lexsort((component, root))
+        root, component = root[order], component[order]
+        first = np.flatnonzero(np.append(True, root[1:] != root[:-1])) if len(root) else order
+        return {"root": root[first], "component": component[first]}
+
+    roots = T.StructType([T.StructField("root", T.LongType()), T.StructField("component", T.LongType())])
+    part = per_text(found, lambda batches: (lowest(t.column("root").to_numpy(), t.column("node").to_numpy()) for t in batches), roots, rows=1 << 30)
+    low = scratch.table(gathered(part, ["root"], lambda t: lowest(t.column("root").to_numpy(), t.column("component").to_numpy()), roots))
+    return found.join(small(low, 16), "root").select("node", "component")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weir.llm.common import Scratch, connected, mix, pack, partitions, per_text, small, span_hashes, temporary, unpack, word_spans
+from weir.llm.common import Scratch, connected, gathered, mix, pack, partitions, per_text, small, span_hashes, temporary, unique, unpack, word_spans
 
 #: Words of a shingle, least similarity in hundredths, sets of a block.
 WIDTH, LEAST, BLOCK = 5, 80, 256
@@ -276,7 +276,7 @@ def _fold(bits: bytes, size: int) -> np.ndarray:
 
 def _candidates(shared: DataFrame, known: DataFrame) -> DataFrame:
     """Pairs (a, b) that connect all that may be similar: size and parities have left them. known: name, n and bits."""
-    pairs = shared.where("kind = 0").select("a", "b").distinct()
+    pairs = unique(shared.where("kind = 0"), "a", "b")
     pairs = pairs.join(known.select(F.col("name").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("x")), "a")
     pairs = pairs.join(known.select(F.col("name").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("y")), "b")
 
@@ -310,7 +310,7 @@ def _candidates(shared: DataFrame, known: DataFrame) -> DataFrame:
                     out.append((name[i], name[j]))
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    return few.union(many.groupBy("sig").applyInArrow(forest, PAIR)).union(shared.where("kind = 2").select("a", "b")).distinct()
+    return few.union(many.groupBy("sig").applyInArrow(forest, PAIR)).union(shared.where("kind = 2").select("a", "b"))
 
 
 def links(names: list[int], sets: list[np.ndarray], left: np.ndarray) -> list[tuple[int, int]]:
@@ -354,14 +354,14 @@ def links(names: list[int], sets: list[np.ndarray], left: np.ndarray) -> list[tu
     return out
 
 
-def _units(ranked: DataFrame, pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _units(ranked: DataFrame, pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Links (a, b) of the pairs of blocks (component, block, block2), where ranked has the blocks' sets (name, component, block, doc_id)."""
     unit = F.xxhash64("component", "block", "block2").alias("unit")
     parts = pairs.select("component", "block", unit, F.lit(True).alias("left"))
     parts = parts.union(pairs.where("block <> block2").select("component", F.col("block2").alias("block"), unit, F.lit(False).alias("left")))
-    members = Scratch(docs.sparkSession).table(ranked.join(parts, ["component", "block"]).select("unit", "left", "name", "doc_id"))
+    members = scratch.table(ranked.join(parts, ["component", "block"]).select("unit", "left", "name", "doc_id"))
     # A document's set is made once, from its whole text, then goes to the units that its block is in.
-    wanted = Scratch(docs.sparkSession).table(members.select("doc_id", "name").distinct())
+    wanted = scratch.table(unique(members, "doc_id", "name"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(wanted, 16), "doc_id").select("name", "text")
     schema = T.StructType([T.StructField("name", T.LongType()), T.StructField("set", T.BinaryType())])
 
@@ -383,15 +383,13 @@ def _units(ranked: DataFrame, pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return full.groupBy("unit").applyInArrow(run, PAIR)
 
 
-def _verified(groups: DataFrame, docs: DataFrame) -> DataFrame:
+def _verified(groups: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Links (a, b) that connect the candidate groups (name, component, n, doc_id) as all links would; doc_id is one document that has the set.
 
     A group of up to BLOCK sets is one block, compared in full. In a larger one each block is first compared with itself, which finds most links of a group of near copies; then one set of each class that this leaves,
     in blocks again; and at last the blocks of different classes whose sizes allow it, where the sets of a class stand together. Sets of one class are never compared again, so a group
     costs what its classes cost, not the square of its sets.
     """
-    scratch = Scratch(docs.sparkSession)
-
     def blocks(sets: DataFrame, *order: str) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy("component", "slice").orderBy(*order, "n", "name"))
         ranked = sets.withColumn("block", F.xxhash64("slice", F.floor((rank - 1) / BLOCK)))
@@ -399,7 +397,7 @@ def _verified(groups: DataFrame, docs: DataFrame) -> DataFrame:
 
     def itself(ranked: DataFrame) -> DataFrame:
         some = ranked.groupBy("component", "block").agg(F.count("*").alias("rows")).where("rows > 1").select("component", "block", F.col("block").alias("block2"))
-        return scratch.table(_units(ranked, some, docs))
+        return scratch.table(_units(ranked, some, docs, scratch))
 
     sizes = scratch.table(groups.groupBy("component").agg(F.count("*").alias("sets")))
     # A slice is some sets by a hash of their names, about a hundred blocks, so no task ranks a whole group.
@@ -411,7 +409,7 @@ def _verified(groups: DataFrame, docs: DataFrame) -> DataFrame:
         return found
 
     def classed(links: DataFrame) -> DataFrame:
-        of = connected(links).select(F.col("node").alias("name"), F.col("component").alias("class"))
+        of = connected(links, scratch).select(F.col("node").alias("name"), F.col("component").alias("class"))
         return scratch.table(large.join(of, "name", "left").withColumn("class", F.coalesce("class", "name")))
 
     known = classed(found)
@@ -434,22 +432,48 @@ def _verified(groups: DataFrame, docs: DataFrame) -> DataFrame:
     # Two blocks of one class, or one block of it, have nothing to find.
     pairs = pairs.where(~((F.col("c1") == F.col("c2")) & (F.col("c1_2") == F.col("c2_2")) & (F.col("c1") == F.col("c1_2"))))
     pairs = scratch.table(pairs.select("component", "block", F.col("block_2").alias("block2")))
-    return found.union(_units(ranked, pairs, docs))
+    return found.union(_units(ranked, pairs, docs, scratch))
+
+
+NAMES = T.StructType([T.StructField("name", T.LongType()), T.StructField("least", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bits", T.BinaryType())])
+
 
+def _names(known: DataFrame) -> DataFrame:
+    """(name, least, n, bits) of each set that isn't empty: its least doc_id, its size and its parities. A task sends a row for each of its sets in some thousand documents."""
 
-def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def one(t: pa.Table | pa.RecordBatch, least: str, size: str) -> dict:
+        name, bits = t.column("name").to_numpy(), t.column("bits")
+        bits = bits.combine_chunks() if isinstance(bits, pa.ChunkedArray) else bits
+        doc_id = t.column(least)
+        missing = doc_id.is_null().to_numpy(zero_copy_only=False) if isinstance(doc_id, pa.Array) else doc_id.combine_chunks().is_null().to_numpy(zero_copy_only=False)
+        doc_id = doc_id.fill_null(0).to_numpy()
+        order = np.lexsort((doc_id, missing, name))
+        own = name[order]
+        first = order[np.append(True, own[1:] != own[:-1])] if len(own) else order
+        held = np.flatnonzero(bits.is_valid().to_numpy(zero_copy_only=False))
+        with_bits, at = np.unique(name[held], return_index=True)
+        where = np.searchsorted(with_bits, name[first])
+        there = (where < len(with_bits)) & (with_bits[np.minimum(where, len(with_bits) - 1)] == name[first]) if len(with_bits) else np.zeros(len(first), bool)
+        take = pa.array(held[at][np.where(there, where, 0)] if len(with_bits) else np.zeros(len(first), np.int64), mask=~there)
+        return {"name": name[first], "least": pa.array(doc_id[first], mask=missing[first]), "n": t.column(size).to_numpy()[first], "bits": bits.take(take)}
+
+    rows = known.where("name <> 0").select("name", "doc_id", "n_shingles", "bits")
+    part = per_text(rows, lambda batches: (one(b, "doc_id", "n_shingles") for b in batches), NAMES, rows=1 << 30)
+    return gathered(part, ["name"], lambda t: one(t, "least", "n"), NAMES)
+
+
+def _classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(doc_id, version, n_shingles, name) of the rows of docs, and (name, least, class) of the sets: the least doc_id that has it, and the component by one of its names."""
-    scratch = Scratch(docs.sparkSession)
     known = scratch.table(_sets(docs))
     shared = scratch.table(_sharing(known.where("entries is not null").select("name", "entries")))
     members = scratch.table(known.select("doc_id", "version", "n_shingles", "name"))
-    names = scratch.table(known.where("name <> 0").groupBy("name").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"), F.first("bits", ignorenulls=True).alias("bits")))
+    names = scratch.table(_names(known))
     scratch.drop(known)
     near = scratch.table(_candidates(shared, names.select("name", "n", "bits")))
     scratch.drop(shared)
-    groups = connected(near).withColumnRenamed("node", "name").join(names.where("least is not null").select("name", "n", F.col("least").alias("doc_id")), "name")
-    found = scratch.table(_verified(groups, docs))
-    return members, names.join(connected(found).withColumnRenamed("node", "name"), "name", "left").select("name", "least", F.coalesce("component", "name").alias("class"))
+    groups = connected(near, scratch).withColumnRenamed("node", "name").join(names.where("least is not null").select("name", "n", F.col("least").alias("doc_id")), "name")
+    found = scratch.table(_verified(groups, docs, scratch))
+    return members, names.join(connected(found, scratch).withColumnRenamed("node", "name"), "name", "left").select("name", "least", F.coalesce("component", "name").alias("class"))
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -459,10 +483,11 @@ def components(docs: DataFrame) -> DataFrame:
     null doc_id stays null, and its component is that of others with an equal set; a set that only null ids have links nothing. Rows that repeat a doc_id with other texts are nodes of
     their own with a common id; each comes back. Very long texts are whole: a set's memory is eight bytes for each word.
     """
-    members, classes = _classes(docs)
+    scratch = Scratch(docs.sparkSession)
+    members, classes = _classes(docs, scratch)
     least = classes.groupBy("class").agg(F.min("least").alias("component_id"))
     of = classes.join(least, "class").select("name", "component_id")
-    return members.join(of, "name", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return scratch.only(members.join(of, "name", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -472,13 +497,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     names. The texts don't move unless there are more rows to drop than a broadcast may hold, or rows that repeat.
     """
     scratch = Scratch(docs.sparkSession)
-    members, classes = _classes(docs)
+    members, classes = _classes(docs, scratch)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")
     rows = scratch.table(members.where("name <> 0").join(classes.select("name", "class"), "name").select("class", order.alias("row")))
     kept = rows.groupBy("class").agg(F.min("row").alias("kept"))
     keys = rows.groupBy("class", "row").agg(F.count("*").alias("many")).join(kept, "class").select("row.doc_id", "row.version", (F.col("row") == F.col("kept")).alias("kept"), "many")
     k_doc, k_version = temporary(docs, "doc_id", "version")
-    keys = scratch.table(keys.where("not kept or many > 1").select(F.col("doc_id").alias(k_doc), F.col("version").alias(k_version), "kept"))
+    keys = scratch.only(keys.where("not kept or many > 1").select(F.col("doc_id").alias(k_doc), F.col("version").alias(k_version), "kept"))
     on = docs["doc_id"].cast("long").eqNullSafe(F.col(k_doc)) & (F.xxhash64(docs["text"]) == F.col(k_version))
     out = docs.join(small(keys, 24), on, "left_anti")
     many = keys.where("kept").drop("kept")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weir.llm.common import GOLDEN, LOWER, SOLID, Scratch, byte_buffer, cuts, gathered, mix, partitions, pack, per_text, small, span_hashes, temporary, unpack
+from weir.llm.common import GOLDEN, LOWER, SOLID, Scratch, byte_buffer, cuts, gathered, mix, partitions, pack, per_text, small, span_hashes, temporary, unique, unpack
 
 #: Hundredths of similarity; words that a line needs to take part unless the caller says otherwise; verified partners of a set for each word in one round.
 LEAST, LEAST_WORDS, FIRST = 80, 5, 2
@@ -389,22 +389,12 @@ def _firsts(table: DataFrame) -> DataFrame:
     return gathered(per_text(rows, part, FIRSTS, rows=1 << 30), ["name"], lambda t: _least(*(t.column(c).to_numpy() for c in FIRSTS.names)), FIRSTS)
 
 
-def _unique(df: DataFrame, *names: str) -> DataFrame:
-    """The distinct rows of some columns of longs."""
-
-    def one(t: pa.Table) -> dict:
-        rows = np.unique(np.stack([t.column(n).to_numpy() for n in names], 1), axis=0) if len(names) > 1 else np.unique(t.column(names[0]).to_numpy())[:, None]
-        return {n: np.ascontiguousarray(rows[:, i]) for i, n in enumerate(names)}
-
-    return gathered(df.select(*names), list(names), one, T.StructType([T.StructField(n, T.LongType()) for n in names]))
-
-
 #: One number for a row's doc_id and version, which Spark joins by faster than by two; the two are compared besides.
 def _row_key(doc_id: Column, version: Column) -> Column:
     return F.xxhash64(doc_id, version)
 
 
-def _words_of_sets(firsts: DataFrame, docs: DataFrame) -> DataFrame:
+def _words_of_sets(firsts: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(name, words): the hashes of all words of each set, from the line where it occurs first."""
     items = T.ArrayType(T.StructType([T.StructField("line", T.IntegerType()), T.StructField("name", T.LongType())]))
     wanted_type = T.StructType([T.StructField("w_doc", T.LongType()), T.StructField("w_version", T.LongType()), T.StructField("lines", items)])
@@ -417,7 +407,7 @@ def _words_of_sets(firsts: DataFrame, docs: DataFrame) -> DataFrame:
         lines = pa.StructArray.from_arrays([pa.array(line[order]), pa.array(name[order])], ["line", "name"])
         return {"w_doc": doc_id[new], "w_version": version[new], "lines": pa.ListArray.from_arrays(pa.array(np.append(new, len(doc_id)), pa.int32()), lines)}
 
-    wanted = Scratch(docs.sparkSession).table(gathered(firsts.select("doc_id", "version", "line", "name"), ["doc_id", "version"], by_row, wanted_type))
+    wanted = scratch.table(gathered(firsts.select("doc_id", "version", "line", "name"), ["doc_id", "version"], by_row, wanted_type))
     doc_id = F.coalesce(docs["doc_id"], F.lit(NO_ID))
     wanted = small(wanted.withColumn("w_key", _row_key(F.col("w_doc"), F.col("w_version"))), 40 + 12 * F.size("lines"))
     texts = docs.join(wanted, (_row_key(doc_id, docs["version"]) == F.col("w_key")) & (doc_id == F.col("w_doc")) & (docs["version"] == F.col("w_version"))).select("text", "lines")
@@ -438,9 +428,9 @@ def _words_of_sets(firsts: DataFrame, docs: DataFrame) -> DataFrame:
     return per_text(texts, run, schema).dropDuplicates(["name"])
 
 
-def _late(near: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
+def _late(near: DataFrame, firsts: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(name): the sets that another of the pairs (name, other) precedes and is similar to, judged on all words. firsts has the pairs' sets and no others."""
-    sets = Scratch(docs.sparkSession).table(_words_of_sets(firsts, docs))
+    sets = scratch.table(_words_of_sets(firsts, docs, scratch))
     side = lambda key, a, words: (firsts.select(F.col("name").alias(key), F.struct("doc_id", "line").alias(a)), sets.select(F.col("name").alias(key), F.col("words").alias(words)))
     pairs = near
     for key, order, words in (("name", "x", "a"), ("other", "y", "b")):
@@ -464,7 +454,7 @@ def _late(near: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
 
     earlier = (F.col("x") < F.col("y")) | ((F.col("x") == F.col("y")) & (F.col("name") < F.col("other")))
     out = per_text(pairs.select("name", "other", earlier.alias("earlier"), "a", "b"), check, T.StructType([T.StructField("name", T.LongType())]), rows=1024)
-    return _unique(out, "name")
+    return unique(out, "name")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -490,11 +480,11 @@ def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
         """The sets that are late by the pairs of this round, and those that it leaves open."""
         pairs = scratch.table(_pairs(which, first, parts, only_open))
         # A pair comes from several words; one row is enough from here on, and of firsts the rows of the pairs' sets.
-        near = scratch.table(_unique(pairs.where("other is not null").select(F.least("name", "other").alias("name"), F.greatest("name", "other").alias("other")), "name", "other"))
+        near = scratch.table(unique(pairs.where("other is not null").select(F.least("name", "other").alias("name"), F.greatest("name", "other").alias("other")), "name", "other"))
         few = scratch.table(firsts.join(small(near.select("name").union(near.select("other")), 8), "name", "left_semi"))
-        late = scratch.table(_late(near, few, keyed))
-        late = late if known is None else scratch.table(_unique(known.union(late), "name"))
-        return late, scratch.table(_unique(pairs.where("other is null"), "name").join(small(late, 8), "name", "left_anti"))
+        late = scratch.table(_late(near, few, keyed, scratch))
+        late = late if known is None else scratch.table(unique(known.union(late), "name"))
+        return late, scratch.table(unique(pairs.where("other is null"), "name").join(small(late, 8), "name", "left_anti"))
 
     late, open_ = met(sets.withColumn("open", F.lit(0).cast("tinyint")), FIRST, False, None)
     for first, only_open in ((FIRST, True), (None, False)):
@@ -517,7 +507,7 @@ def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
         own = pa.array(np.ascontiguousarray(rows[new, 0]), mask=rows[new, 0] == NO_ID)
         return {"doc_id": own, "version": np.ascontiguousarray(rows[new, 1]), "removed": pa.ListArray.from_arrays(pa.array(np.append(new, len(rows)), pa.int32()), pa.array(rows[:, 2].astype(np.int32)))}
 
-    return scratch.table(gathered(lost, ["doc_id", "version"], by_row, REMOVED))
+    return scratch.only(gathered(lost, ["doc_id", "version"], by_row, REMOVED))
 
 
 REMOVED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("version", T.LongType()), T.StructField("removed", T.ArrayType(T.IntegerType()))])

@@ -257,6 +257,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     order = np.lexsort((got.n, got.label))
     x = np.array([model.evidence(ss, n) for n, ss in zip(got.n, got.best, strict=True)])
     model.slope, model.level = logistic(x[order], got.label.to_numpy(float)[order])
+    scratch.drop(known, pivot)
     return model
 
 
