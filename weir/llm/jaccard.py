@@ -22,7 +22,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -390,19 +390,19 @@ def _verified(groups: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame
     in blocks again; and at last the blocks of different classes whose sizes allow it, where the sets of a class stand together. Sets of one class are never compared again, so a group
     costs what its classes cost, not the square of its sets.
     """
-    def blocks(sets: DataFrame, *order: str) -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy("component", "slice").orderBy(*order, "n", "name"))
-        ranked = sets.withColumn("block", F.xxhash64("slice", F.floor((rank - 1) / BLOCK)))
-        return scratch.table(ranked)
+    def blocks(sets: DataFrame) -> DataFrame:
+        """The sets with a block of about BLOCK of their component and slice, by a hash of their names: no task ranks a group."""
+        sets = scratch.table(sets)
+        per = scratch.table(sets.groupBy("component", "slice").agg(F.count("*").alias("own_slice")))
+        ranked = sets.join(small(per, 24), ["component", "slice"])
+        return scratch.table(ranked.withColumn("block", F.xxhash64("slice", F.pmod(F.xxhash64("name"), F.ceil(F.col("own_slice") / BLOCK)))).drop("own_slice"))
 
     def itself(ranked: DataFrame) -> DataFrame:
         some = ranked.groupBy("component", "block").agg(F.count("*").alias("rows")).where("rows > 1").select("component", "block", F.col("block").alias("block2"))
         return scratch.table(_units(ranked, some, docs, scratch))
 
     sizes = scratch.table(groups.groupBy("component").agg(F.count("*").alias("sets")))
-    # A slice is some sets by a hash of their names, about a hundred blocks, so no task ranks a whole group.
-    all_ = groups.join(sizes, "component").withColumn("slice", F.pmod(F.xxhash64("name"), F.greatest(F.lit(1), F.floor(F.col("sets") / (100 * BLOCK)))).cast("int"))
-    all_ = scratch.table(all_)
+    all_ = scratch.table(groups.join(small(sizes, 16), "component").withColumn("slice", F.lit(0).cast("bigint")))
     found = itself(blocks(all_))
     large = all_.where(F.col("sets") > BLOCK)
     if large.isEmpty():
@@ -415,7 +415,7 @@ def _verified(groups: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame
     known = classed(found)
     for _ in range(2):
         one = known.groupBy("component", "class").agg(F.min("name").alias("name"))
-        one = known.join(one.select("name"), "name").withColumn("slice", F.lit(0))
+        one = known.join(one.select("name"), "name").withColumn("slice", F.lit(0).cast("bigint"))
         found = scratch.table(found.union(itself(blocks(one))))
         known = classed(found)
     many = known.groupBy("component").agg(F.count_distinct("class").alias("classes")).where("classes > 1").select("component")
