@@ -2,7 +2,8 @@
 
 Those of event time keep rows until the watermark has passed them, then treat them in the order of time; so their results are final, and rows that come later than
 the watermark are dropped. The others change their results as rows come and emit a changelog. Each operator's state is that of one key; what grows with a key's
-rows is a list or a map in the state store, not a value. All take `ttl_millis` where state without end is possible.
+rows is a list or a map in the state store, not a value. All take `ttl_millis` where state without end is possible; it goes by the clock, so a query that shall end by itself needs
+spark.sql.streaming.noDataMicroBatches.enabled = false.
 """
 
 from __future__ import annotations
