@@ -99,7 +99,23 @@ class Model:
         return score
 
 
+def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """A text's buckets and their shares of its features."""
+    one = pa.array([text], pa.string())
+    raw, start, ends = word_spans(one, lower=False)
+    h = span_hashes(raw, start)
+    words, first, times = np.unique(h, return_index=True, return_counts=True)
+    flat, n = word_features(span_bytes(raw, start, byte_buffer(one)[1][1:], first), words) if len(words) else (np.zeros(0, np.int64), times)
+    counts = np.bincount(flat, np.repeat(times, n), BUCKETS) + np.bincount(_pairs(h, ends)[0], minlength=BUCKETS)
+    at = np.flatnonzero(counts)
+    return at.astype(np.int32), (counts[at] / max(1.0, counts.sum())).astype(np.float32)
+
+
 def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
+    return fit_bags(list(map(bag, texts)), labels, seed)
+
+
+def fit_bags(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], seed: int = 7) -> Model:
     """The fitted model; the same rows in the same order give the same one. With no rows, or one class only, it is constant."""
     if len(set(labels)) < 2:
         return Model(np.zeros(BUCKETS, np.float32), float(np.log((labels.count(1) + 1) / (labels.count(0) + 1))))
@@ -107,17 +123,9 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     table = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out = np.zeros((2, DIM), np.float32)
     bias = np.zeros(2, np.float32)
-    bags, seen = [], np.zeros(BUCKETS, bool)
-    for text in texts:
-        one = pa.array([text])
-        raw, start, ends = word_spans(one, lower=False)
-        h = span_hashes(raw, start)
-        words, first, times = np.unique(h, return_index=True, return_counts=True)
-        flat, n = word_features(span_bytes(raw, start, byte_buffer(one)[1][1:], first), words) if len(words) else (np.zeros(0, np.int64), times)
-        counts = np.bincount(flat, np.repeat(times, n), BUCKETS) + np.bincount(_pairs(h, ends)[0], minlength=BUCKETS)
-        at = np.flatnonzero(counts)
+    seen = np.zeros(BUCKETS, bool)
+    for at, _ in bags:
         seen[at] = True
-        bags.append((at.astype(np.int32), (counts[at] / max(1.0, counts.sum())).astype(np.float32)))
     y = np.array(labels, np.int64)
     steps, step = EPOCHS * len(bags), 0
     for _ in range(EPOCHS):
@@ -144,10 +152,19 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
 
+BAGS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("at", T.BinaryType()), T.StructField("n", T.BinaryType())])
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Fits on at most `rows` labelled rows outside the held-out fold. The driver gets those texts and no others."""
-    got = sample(docs, labels, "quality", fold(3) != 1, rows).toPandas().sort_values("doc_id")
-    return fit(got["text"].tolist(), got["label"].tolist())
+    """Fits on at most `rows` labelled rows outside the held-out fold. The driver gets their features, 8 bytes for each of at most BUCKETS of a row, and no texts."""
+
+    def run(batches) -> Iterator[dict]:
+        for b in batches:
+            found = [bag(x) for x in b.column("text").to_pylist()]
+            yield {"doc_id": b.column("doc_id"), "label": b.column("label"), "at": [at.tobytes() for at, _ in found], "n": [n.tobytes() for _, n in found]}
+
+    got = per_text(sample(docs, labels, "quality", fold(3) != 1, rows), run, BAGS, rows=64).toPandas().sort_values("doc_id")
+    return fit_bags([(np.frombuffer(a, np.int32), np.frombuffer(n, np.float32)) for a, n in zip(got["at"], got["n"], strict=True)], got["label"].tolist())
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:
