@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -307,7 +308,6 @@ def connected(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """
     scratch = scratch or Scratch(edges.sparkSession)
     pairs = scratch.table(unique(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b"), "a", "b"))
-    nodes = scratch.table(unique(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), "node"))
     hang = T.StructType([T.StructField("old", T.LongType()), T.StructField("new", T.LongType())])
 
     def least(old: np.ndarray, new: np.ndarray) -> dict:
@@ -321,20 +321,22 @@ def connected(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
             a, b = t.column("a").to_numpy(), t.column("b").to_numpy()
             yield least(np.concatenate([a, b]), np.concatenate([b, a]))
 
-    def best(t: pa.Table) -> dict:
+    def best(t: pa.Table, every: bool) -> dict:
+        """Where each node hangs; with `every` also those that hang on no other, by themselves."""
         out = least(t.column("old").to_numpy(), t.column("new").to_numpy())
         x, y = (mix(out[c].view(np.uint64)) for c in ("old", "new"))
-        keep = y < x  # the mix is a bijection: no two nodes tie
-        return {c: v[keep] for c, v in out.items()}
+        better = y < x  # the mix is a bijection: no two nodes tie
+        return {"old": out["old"], "new": np.where(better, out["new"], out["old"])} if every else {c: v[better] for c, v in out.items()}
 
     maps = []
     while not pairs.isEmpty():
-        maps.append(scratch.table(gathered(per_text(pairs, own, hang, rows=1 << 30), ["old"], best, hang)))
+        maps.append(scratch.table(gathered(per_text(pairs, own, hang, rows=1 << 30), ["old"], partial(best, every=not maps), hang)))
         for c in "ab":
             pairs = pairs.join(small(maps[-1], 16).select(F.col("old").alias(c), "new"), c, "left").withColumn(c, F.coalesce("new", c)).drop("new")
         pairs = scratch.table(unique(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b"), "a", "b"))
-    found = nodes.withColumn("root", F.col("node"))
-    for m in maps:
+    # The first map has every node once.
+    found = maps[0].select(F.col("old").alias("node"), F.col("new").alias("root")) if maps else pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    for m in maps[1:]:
         found = found.join(small(m, 16).select(F.col("old").alias("root"), "new"), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
     found = scratch.table(found)
 

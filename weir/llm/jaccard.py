@@ -413,10 +413,10 @@ def _verified(groups: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame
         return scratch.table(large.join(of, "name", "left").withColumn("class", F.coalesce("class", "name")))
 
     known = classed(found)
-    for _ in range(2):
-        one = known.groupBy("component", "class").agg(F.min("name").alias("name"))
-        one = known.join(one.select("name"), "name").withColumn("slice", F.lit(0).cast("bigint"))
-        found = scratch.table(found.union(itself(blocks(one))))
+    one = known.groupBy("component", "class").agg(F.min("name").alias("name"))
+    one = scratch.table(itself(blocks(known.join(one.select("name"), "name"))))
+    if not one.isEmpty():
+        found = scratch.table(found.union(one))
         known = classed(found)
     many = known.groupBy("component").agg(F.count_distinct("class").alias("classes")).where("classes > 1").select("component")
     rest = known.join(many, "component", "left_semi")
