@@ -278,25 +278,32 @@ def unpack(data: bytes, kinds: tuple) -> list[np.ndarray]:
     return out
 
 
-def gathered(df: DataFrame, keys: list[str], f: Callable[[pa.Table], dict], schema: T.StructType) -> DataFrame:
-    """f over the rows of each partition by keys, as one table: for what a key's few rows come to, without a sort or a hash map of Spark's."""
+#: Rows of a task where their number is known.
+TASK_ROWS = 100_000
+
+
+def gathered(df: DataFrame, keys: list[str], f: Callable[[pa.Table], dict], schema: T.StructType, rows: int | None = None) -> DataFrame:
+    """f over the rows of each partition by keys, as one table: for what a key's few rows come to, without a sort or a hash map of Spark's. With the number of `rows`, partitions are put together to tasks of about TASK_ROWS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         got = [b for b in batches if b.num_rows]
         if got:
             yield f(pa.Table.from_batches(got))
 
-    return per_text(df.repartition(*keys), run, schema, rows=1 << 30)
+    dealt = df.repartition(*keys)
+    if rows is not None and (tasks := max(1, -(-rows // TASK_ROWS))) < partitions(df.sparkSession):
+        dealt = dealt.coalesce(tasks)
+    return per_text(dealt, run, schema, rows=1 << 30)
 
 
-def unique(df: DataFrame, *names: str) -> DataFrame:
+def unique(df: DataFrame, *names: str, rows: int | None = None) -> DataFrame:
     """The distinct rows of some columns of longs."""
 
     def one(t: pa.Table) -> dict:
         rows = np.unique(np.stack([t.column(n).to_numpy() for n in names], 1), axis=0) if len(names) > 1 else np.unique(t.column(names[0]).to_numpy())[:, None]
         return {n: np.ascontiguousarray(rows[:, i]) for i, n in enumerate(names)}
 
-    return gathered(df.select(*names), list(names), one, T.StructType([T.StructField(n, T.LongType()) for n in names]))
+    return gathered(df.select(*names), list(names), one, T.StructType([T.StructField(n, T.LongType()) for n in names]), rows)
 
 
 def connected(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -328,12 +335,13 @@ def connected(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
         better = y < x  # the mix is a bijection: no two nodes tie
         return {"old": out["old"], "new": np.where(better, out["new"], out["old"])} if every else {c: v[better] for c, v in out.items()}
 
-    maps = []
-    while not pairs.isEmpty():
-        maps.append(scratch.table(gathered(per_text(pairs, own, hang, rows=1 << 30), ["old"], partial(best, every=not maps), hang)))
+    maps, first = [], None
+    while n := pairs.count():
+        first = first or n
+        maps.append(scratch.table(gathered(per_text(pairs, own, hang, rows=1 << 30), ["old"], partial(best, every=not maps), hang, n)))
         for c in "ab":
             pairs = pairs.join(small(maps[-1], 16).select(F.col("old").alias(c), "new"), c, "left").withColumn(c, F.coalesce("new", c)).drop("new")
-        pairs = scratch.table(unique(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b"), "a", "b"))
+        pairs = scratch.table(unique(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b"), "a", "b", rows=n))
     # The first map has every node once.
     found = maps[0].select(F.col("old").alias("node"), F.col("new").alias("root")) if maps else pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for m in maps[1:]:
@@ -348,5 +356,5 @@ def connected(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
 
     roots = T.StructType([T.StructField("root", T.LongType()), T.StructField("component", T.LongType())])
     part = per_text(found, lambda batches: (lowest(t.column("root").to_numpy(), t.column("node").to_numpy()) for t in batches), roots, rows=1 << 30)
-    low = scratch.table(gathered(part, ["root"], lambda t: lowest(t.column("root").to_numpy(), t.column("component").to_numpy()), roots))
+    low = scratch.table(gathered(part, ["root"], lambda t: lowest(t.column("root").to_numpy(), t.column("component").to_numpy()), roots, 2 * (first or 0)))
     return found.join(small(low, 16), "root").select("node", "component")

@@ -361,7 +361,7 @@ def _units(ranked: DataFrame, pairs: DataFrame, docs: DataFrame, scratch: Scratc
     parts = parts.union(pairs.where("block <> block2").select("component", F.col("block2").alias("block"), unit, F.lit(False).alias("left")))
     members = scratch.table(ranked.join(parts, ["component", "block"]).select("unit", "left", "name", "doc_id"))
     # A document's set is made once, from its whole text, then goes to the units that its block is in.
-    wanted = scratch.table(unique(members, "doc_id", "name"))
+    wanted = scratch.table(unique(members, "doc_id", "name", rows=members.count()))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(wanted, 16), "doc_id").select("name", "text")
     schema = T.StructType([T.StructField("name", T.LongType()), T.StructField("set", T.BinaryType())])
 
