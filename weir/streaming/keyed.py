@@ -29,36 +29,89 @@ def _millis(df: DataFrame, time: str) -> DataFrame:
     return df.withColumn(MILLIS, F.unix_millis(F.col(time).cast("timestamp_ltz")))
 
 
+class _Rows:
+    """Rows of a key as list state. An element has up to MOST rows by columns, as the store takes much longer for an element than for a value in it."""
+
+    MOST = 1000
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str, schema: T.StructType):
+        self.state = handle.getListState(name, T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in schema]))
+
+    def _chunks(self, rows: list[tuple]) -> list[tuple]:
+        return [tuple(list(c) for c in zip(*rows[i : i + self.MOST], strict=True)) for i in range(0, len(rows), self.MOST)]
+
+    def get(self) -> list[tuple]:
+        return [row for chunk in self.state.get() for row in zip(*chunk, strict=True)]
+
+    def add(self, rows: list[tuple]) -> None:
+        self.state.appendList(self._chunks(rows))
+
+    def put(self, rows: list[tuple]) -> None:
+        if rows:
+            self.state.put(self._chunks(rows))
+        else:
+            self.state.clear()
+
+
 class _Waiting(StatefulProcessor):
-    """Keeps rows until the watermark passes their time, then hands them to `passed` in the order of time, those of one time as they came."""
+    """Keeps rows until the watermark passes their time, then hands them to `passed` in the order of time, those of one time as they came.
+
+    A key has one timer, at the least time that waits; so its rows are read once for all that a watermark passes.
+    """
 
     def __init__(self, schema: T.StructType):
         self.schema, self.names = schema, schema.fieldNames()
         self.at = self.names.index(MILLIS)
+        self.body = [i for i in range(len(self.names)) if i != self.at]
+        self.places: list[int] | None = None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.schema)
+        self.waiting = _Rows(handle, "waiting", self.schema)
 
     def due(self, row: tuple) -> int:
         return row[self.at]
 
+    def own(self, rows: Iterable[Row]) -> list[tuple]:
+        """Rows as tuples in the order of the schema."""
+        rows = list(rows)
+        if self.places is None and rows:
+            self.places = [rows[0].__fields__.index(n) for n in self.names]
+        return [tuple(row[i] for i in self.places) for row in rows]
+
+    def shown(self, *added: str) -> Callable[[tuple, Iterable], Row]:
+        """Makes a row's columns, and those that are added, a row of the result."""
+        make, body = Row(*(self.names[i] for i in self.body), *added), self.body
+        return lambda row, values=(): make(*[row[i] for i in body], *values)
+
     def handleInputRows(self, key, rows: Iterable[Row], timerValues) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs()
-        new = [r for r in (tuple(row[n] for n in self.names) for row in rows) if self.due(r) is not None and self.due(r) >= mark]
-        if new:
-            self.waiting.appendList(new)
-            for at in {self.due(r) for r in new}:
-                self.handle.registerTimer(at)
-        return iter(())
+        rest = [r for r in self.own(rows) if self.due(r) is not None and self.due(r) >= mark]
+        if not rest:
+            return iter(())
+        ready, timers = [], list(self.handle.listTimers())
+        if timers and min(timers) < mark:
+            held = self.waiting.get()
+            ready, rest = sorted((r for r in held if self.due(r) < mark), key=self.due), [*(r for r in held if self.due(r) >= mark), *rest]
+            self.waiting.put(rest)
+        else:
+            self.waiting.add(rest)
+        first = min(map(self.due, rest))
+        if ready or not timers or first < min(timers):
+            for at in timers:
+                self.handle.deleteTimer(at)
+            self.handle.registerTimer(first)
+        return self.passed(key, ready) if ready else iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        upto = expiredTimerInfo.getExpiryTimeInMs()
-        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        upto = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
+        held = self.waiting.get()
         ready = sorted((r for r in held if self.due(r) <= upto), key=self.due)
         if ready:
             rest = [r for r in held if self.due(r) > upto]
-            self.waiting.put(rest) if rest else self.waiting.clear()
+            self.waiting.put(rest)
+            if rest:
+                self.handle.registerTimer(min(map(self.due, rest)))
             yield from self.passed(key, ready)
 
     def passed(self, key, rows: list[tuple]) -> Iterator[Row]:
@@ -85,94 +138,108 @@ class _Over(_Waiting):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.kept = handle.getListState("kept", self.schema)
-        kinds = [(f"{n}_{part}", "bigint" if part == "n" else self.schema[self.columns[n]].dataType) for n in self.functions if self.columns[n] is not None for part in ("n", "sum", "min", "max", "first", "last")]
+        if self.frame[1] is not None:
+            self.kept = _Rows(handle, "kept", self.schema)
+            return
+        kinds = [(f"{n}_{part}", "bigint" if part == "n" else self.schema[self.columns[n]].dataType) for n, (f, c) in self.functions.items() if c for part in self._parts(f)]
         self.sums = handle.getValueState("sums", _with(T.StructType(), ("rows", "bigint"), ("peers", "bigint"), ("rank", "bigint"), ("last_millis", "bigint"), *kinds))
 
+    @staticmethod
+    def _parts(f: str) -> tuple[str, ...]:
+        return ("n",) if f == "count" else ("n", "sum") if f == "avg" else (f,)
+
     def handleInputRows(self, key, rows: Iterable[Row], timerValues) -> Iterator[Row]:
-        if self.by_arrival:
-            yield from self.passed(key, [tuple(row[n] for n in self.names) for row in rows])
-        else:
-            yield from super().handleInputRows(key, rows, timerValues)
+        return self.passed(key, self.own(rows)) if self.by_arrival else super().handleInputRows(key, rows, timerValues)
 
     def passed(self, key, rows: list[tuple]) -> Iterator[Row]:
         kind, size = self.frame
-        yield from (self._unbounded(rows) if size is None else self._bounded(rows, kind, size))
-
-    def _unbounded(self, rows: list[tuple]) -> Iterator[Row]:
-        width = 4 + 6 * sum(c is not None for c in self.columns.values())
-        acc = list(self.sums.get()) if self.sums.exists() else [0, 0, 0, None, *[None] * (width - 4)]
-        i = 0
+        shown = self.shown(*self.functions)
+        return (shown(row, found) for row, found in (self._unbounded(rows) if size is None else self._bounded(rows, kind, size)))
+
+    def _unbounded(self, rows: list[tuple]) -> Iterator[tuple[tuple, list]]:
+        steps, width = [], 4
+        for name, (f, c) in self.functions.items():
+            if c:
+                steps.append((f, self.columns[name], width))
+                width += len(self._parts(f))
+        acc = list(self.sums.get() or (0, 0, 0, None, *[0 if part == "n" else None for f, _, _ in steps for part in self._parts(f)]))
+        at, peers, i = self.at, self.frame[0] == "range" and not self.by_arrival, 0
         while i < len(rows):
             # In a RANGE frame all rows of one time see each other.
             j = i + 1
-            while self.frame[0] == "range" and not self.by_arrival and j < len(rows) and rows[j][self.at] == rows[i][self.at]:
+            while peers and j < len(rows) and rows[j][at] == rows[i][at]:
                 j += 1
-            group, out = rows[i:j], []
-            for row in group:
+            ranks = []
+            for row in rows[i:j]:
                 acc[0] += 1
-                if acc[3] is None or row[self.at] != acc[3]:
-                    acc[1], acc[2], acc[3] = acc[1] + 1, acc[0], row[self.at]
-                k = 4
-                for name in self.functions:
-                    if (c := self.columns[name]) is None:
-                        continue
+                if acc[3] is None or row[at] != acc[3]:
+                    acc[1], acc[2], acc[3] = acc[1] + 1, acc[0], row[at]
+                for f, c, k in steps:
                     v = row[c]
-                    if acc[k] is None:
-                        acc[k], acc[k + 4] = 0, v
-                    if v is not None:
+                    if f == "last_value":
+                        acc[k] = v
+                    elif f == "first_value":
+                        if acc[0] == 1:
+                            acc[k] = v
+                    elif v is None:
+                        pass
+                    elif f == "count":
                         acc[k] += 1
-                        acc[k + 1] = v if acc[k + 1] is None else acc[k + 1] + v if isinstance(v, int | float) or hasattr(v, "quantize") else None
-                        acc[k + 2] = v if acc[k + 2] is None else min(acc[k + 2], v)
-                        acc[k + 3] = v if acc[k + 3] is None else max(acc[k + 3], v)
-                    acc[k + 5] = v
-                    k += 6
-                out.append(list(acc))
-            for row, own in zip(group, out, strict=True):
+                    elif f == "min":
+                        acc[k] = v if acc[k] is None else min(acc[k], v)
+                    elif f == "max":
+                        acc[k] = v if acc[k] is None else max(acc[k], v)
+                    else:
+                        if f == "avg":
+                            acc[k] += 1
+                            k += 1
+                        acc[k] = v if acc[k] is None else acc[k] + v
+                ranks.append((acc[0], acc[2], acc[1]))
+            for row, own in zip(rows[i:j], ranks, strict=True):
                 # Ranks are the row's own; values are those at the end of its peers.
-                yield self._row(row, {name: value for name, value in self._values(own, out[-1])})
+                found, k = [], 4
+                for f, c in self.functions.values():
+                    if c is None:
+                        found.append(acc[0] if f == "count" else own[("row_number", "rank", "dense_rank").index(f)])
+                    else:
+                        found.append(_mean(acc[k + 1], acc[k]) if f == "avg" else acc[k])
+                        k += len(self._parts(f))
+                yield row, found
             i = j
         self.sums.update(tuple(acc))
 
-    def _values(self, own: list, last: list) -> Iterator[tuple[str, Any]]:
-        k = 4
-        for name, (f, _) in self.functions.items():
-            if self.columns[name] is None:
-                yield name, {"row_number": own[0], "rank": own[2], "dense_rank": own[1], "count": last[0]}[f]
-                continue
-            n, total, lo, hi, first, final = last[k : k + 6]
-            yield name, {"count": n, "sum": total, "min": lo, "max": hi, "first_value": first, "last_value": final, "avg": _mean(total, n)}[f]
-            k += 6
-
-    def _bounded(self, rows: list[tuple], kind: str, size: int) -> Iterator[Row]:
-        before = [tuple(r) for r in self.kept.get()] if self.kept.exists() else []
-        every, start = [*before, *rows], len(before)
-        low = 0
+    def _bounded(self, rows: list[tuple], kind: str, size: int) -> Iterator[tuple[tuple, list]]:
+        before = self.kept.get()
+        every, start, at = [*before, *rows], len(before), self.at
+        functions = [(f, self.columns[name]) for name, (f, _) in self.functions.items()]
+        columns = {c: [r[c] for r in every] for _, c in functions if c is not None}
+        low, end = 0, 0
         for i in range(start, len(every)):
-            end = i + 1
             if kind == "rows":
-                low = max(0, i - size)
+                low, end = max(0, i - size), i + 1
             else:
-                while every[low][self.at] < every[i][self.at] - size:
+                while every[low][at] < every[i][at] - size:
                     low += 1
-                while end < len(every) and every[end][self.at] == every[i][self.at]:
+                end = max(end, i + 1)
+                while end < len(every) and every[end][at] == every[i][at]:
                     end += 1
-            frame = every[low:end]
-            found = {}
-            for name, (f, _) in self.functions.items():
-                c = self.columns[name]
-                values = [r[c] for r in frame if r[c] is not None] if c is not None else frame
-                found[name] = {
-                    "count": lambda: len(values), "sum": lambda: sum(values) if values else None, "min": lambda: min(values, default=None), "max": lambda: max(values, default=None),
-                    "first_value": lambda: frame[0][c], "last_value": lambda: frame[-1][c], "avg": lambda: _mean(sum(values), len(values)) if values else None,
-                }[f]()
-            yield self._row(every[i], found)
-        keep = every[max(0, len(every) - size) :] if kind == "rows" else [r for r in every if r[self.at] >= every[-1][self.at] - size]
-        if keep:
-            self.kept.put(keep)
-
-    def _row(self, row: tuple, found: dict) -> Row:
-        return Row(**{n: v for n, v in zip(self.names, row, strict=True) if n != MILLIS}, **found)
+            frames = {c: [v for v in values[low:end] if v is not None] for c, values in columns.items()}
+            found = []
+            for f, c in functions:
+                if c is None:
+                    found.append(end - low)
+                elif f == "first_value":
+                    found.append(columns[c][low])
+                elif f == "last_value":
+                    found.append(columns[c][end - 1])
+                elif f == "count":
+                    found.append(len(frames[c]))
+                elif not frames[c]:
+                    found.append(None)
+                else:
+                    found.append(min(frames[c]) if f == "min" else max(frames[c]) if f == "max" else sum(frames[c]) if f == "sum" else _mean(sum(frames[c]), len(frames[c])))
+            yield every[i], found
+        self.kept.put(every[max(0, len(every) - size) :] if kind == "rows" else [r for r in every if r[at] >= every[-1][at] - size])
 
 
 def _mean(total, n: int):
@@ -188,6 +255,8 @@ def over(df: DataFrame, keys: list[str], time: str, functions: dict[str, tuple[s
     count, avg, first_value and last_value, and row_number, rank and dense_rank, which have no column. Averages of integers are cut. df needs a watermark on time; by_arrival
     takes rows in the order in which they come, at once.
     """
+    if frame[1] is not None and any(f in ("row_number", "rank", "dense_rank") for f, _ in functions.values()):
+        raise ValueError("ranks have no frame")
     df = _millis(df, time)
     kinds = {"count": "bigint", "row_number": "bigint", "rank": "bigint", "dense_rank": "bigint"}
     body = T.StructType([f for f in df.schema if f.name != MILLIS])
@@ -211,9 +280,8 @@ class _First(_Waiting):
     def passed(self, key, rows: list[tuple]) -> Iterator[Row]:
         if not self.done.exists():
             self.done.update((rows[0][self.at],))
-            if self.waiting.exists():
-                self.waiting.clear()
-            yield Row(**{n: v for n, v in zip(self.names, rows[0], strict=True) if n != MILLIS})
+            self.waiting.put([])
+            yield self.shown()(rows[0])
 
 
 def first_by_time(df: DataFrame, keys: list[str], time: str) -> DataFrame:
@@ -299,16 +367,16 @@ class _WindowTop(_Waiting):
 
     def handleInputRows(self, key, rows: Iterable[Row], timerValues) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs()
-        new = [r for r in (tuple(row[n] for n in self.names) for row in rows) if self.due(r) >= mark]
+        new = [r for r in self.own(rows) if self.due(r) >= mark]
         if new:
-            held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-            self.waiting.put(self._sorted([*held, *new])[: self.limit])
+            self.waiting.put(self._sorted([*self.waiting.get(), *new])[: self.limit])
             self.handle.registerTimer(self.due(new[0]))
         return iter(())
 
     def passed(self, key, rows: list[tuple]) -> Iterator[Row]:
+        shown = self.shown(*([self.rank] if self.rank else []))
         for i, row in enumerate(self._sorted(rows)[self.offset : self.limit], self.offset + 1):
-            yield Row(**{n: v for n, v in zip(self.names, row, strict=True) if n != MILLIS}, **({self.rank: i} if self.rank else {}))
+            yield shown(row, (i,) if self.rank else ())
 
 
 def window_top(df: DataFrame, keys: list[str], window_end: str, order: list[tuple[str, bool]], limit: int, offset: int = 0, rank: str | None = "rank_num") -> DataFrame:
@@ -324,8 +392,7 @@ def window_top(df: DataFrame, keys: list[str], window_end: str, order: list[tupl
 
 class _Held(_Waiting):
     def passed(self, key, rows: list[tuple]) -> Iterator[Row]:
-        for row in rows:
-            yield Row(**{n: v for n, v in zip(self.names, row, strict=True) if n != MILLIS})
+        return map(self.shown(), rows)
 
 
 def sorted_by_time(df: DataFrame, time: str, put: Callable[[DataFrame, int], None], checkpoint: str, buckets: int = 64, trigger: dict | None = None) -> StreamingQuery:
@@ -355,22 +422,24 @@ class _Temporal(_Waiting):
         self.now = handle.getValueState("version", self.version)
 
     def passed(self, key, rows: list[tuple]) -> Iterator[Row]:
-        held = tuple(self.now.get()) if self.now.exists() else None
+        before = held = self.now.get()
         side, kind = self.names.index("_side"), self.names.index("_kind")
+        versions = [f"version_{f.name}" for f in self.version]
+        probe, version = [self.names.index(c) for c in self.probe], [self.names.index(c) for c in versions]
+        make, nothing = Row(*self.probe, *versions), [None] * len(versions)
         ends = lambda r: r[kind] in ("-D", "-U")
         for row in sorted(rows, key=lambda r: (r[self.at], r[side], not ends(r))):
-            own = dict(zip(self.names, row, strict=True))
             if row[side] == 0:
-                held = None if ends(row) else tuple(own[f"version_{f.name}"] for f in self.version)
+                held = None if ends(row) else tuple(row[i] for i in version)
             elif held is not None or self.how == "left":
-                found = held if held is not None and all(k is not None for k in key) else [None] * len(self.version)
+                found = held if held is not None and all(k is not None for k in key) else nothing
                 if self.how == "left" or found is held:
-                    yield Row(**{c: own[c] for c in self.probe}, **{f"version_{f.name}": v for f, v in zip(self.version, found, strict=True)})
-        if held is None:
-            if self.now.exists():
-                self.now.clear()
-        else:
-            self.now.update(held)
+                    yield make(*[row[i] for i in probe], *found)
+        if held is not None:
+            if held != before:
+                self.now.update(held)
+        elif before is not None:
+            self.now.clear()
 
 
 def temporal_join(probe: DataFrame, versions: DataFrame, key: str, time: str, how: str = "inner", kind: str | None = None) -> DataFrame:
