@@ -37,6 +37,9 @@ class PrefixTable:
         self.control = {i for i in range(n) if sp.is_control(i)}
         self.byte = {i: int(self.pieces[i][3:-1], 16) for i in range(n) if sp.is_byte(i)}
         self.byte_id = {v: k for k, v in self.byte.items()}
+        self.size, self.name = [len(p) for p in self.pieces], [str(i) for i in range(n)]
+        #: What a token decodes to by itself; bytes do together.
+        self.shown = [None if i in self.byte else " ⁇ " if i == self.unknown else "" if i in self.control else p.replace(SPACE, " ") for i, p in enumerate(self.pieces)]
         self.score = [sp.get_score(i) for i in range(n)]
         self.id = {self.pieces[i]: i for i in range(n) if i not in special}
         if any(SPACE in p.lstrip(SPACE) for p in self.id):
@@ -52,7 +55,7 @@ class PrefixTable:
                 continue  # never the outcome of merges
             self.matches.add_word(p, (len(p), i))
         self.matches.make_automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.units = WordCache(self._unit, 250_000)
 
     def merged(self, text: str) -> list[int]:
@@ -106,13 +109,16 @@ class PrefixTable:
 
     def _unit(self, unit: str) -> tuple[str, int, str]:
         ids = self.unit_ids(unit)
-        return ",".join(map(str, ids)), len(ids), self._joined(ids)
+        name = self.name
+        return ",".join([name[i] for i in ids]), len(ids), self._joined(ids)
 
     def unit_ids(self, unit: str) -> list[int]:
         if unit.startswith(SPACE * 2):
             found = self.merged(unit)
         else:
             found = self._by_table(unit)
+        if not found or min(found) >= 0:
+            return found
         out: list[int] = []
         for i in found:
             out.extend([i] if i >= 0 else (self.byte_id[x] for x in chr(-i - 1).encode("utf-8")) if self.byte_id else [self.unknown])
@@ -120,25 +126,26 @@ class PrefixTable:
 
     def _by_table(self, unit: str) -> list[int]:
         last: list[int | None] = [None] * (len(unit) + 1)
-        fits = self.fits
+        fits, known, n = self.fits, self.id, len(self.pieces)
         if len(fits) > 500_000:
             fits.clear()
         for end, (size, token) in self.matches.iter(unit):
             end += 1
             if last[end] is not None:
                 continue
-            start = end - size
-            if start:
+            if start := end - size:
                 prior = last[start]
                 if prior is None:  # an unknown character, or a start that no match has filled yet
-                    if unit[start - 1] in self.id:
+                    if unit[start - 1] in known:
                         continue
-                elif (ok := fits.get((prior, token))) is None:
-                    ok = fits[prior, token] = self._pair(prior, token)
-                    if not ok:
-                        continue
-                elif not ok:
-                    continue
+                else:
+                    try:
+                        if not fits[prior * n + token]:
+                            continue
+                    except KeyError:
+                        ok = fits[prior * n + token] = self._pair(prior, token)
+                        if not ok:
+                            continue
             last[end] = token
         out, at = [], len(unit)
         while at:
@@ -150,7 +157,7 @@ class PrefixTable:
                 at -= 1
             else:
                 out.append(token)
-                at -= len(self.pieces[token])
+                at -= self.size[token]
         return out[::-1]
 
     def encode_units(self, text: str | None) -> list[tuple[str, int, str]]:
@@ -164,6 +171,11 @@ class PrefixTable:
         return [int(i) for ids, _, _ in self.encode_units(text) for i in ids.split(",")]
 
     def _joined(self, ids: list[int]) -> str:
+        shown = self.shown
+        try:
+            return "".join([shown[i] for i in ids])
+        except TypeError:  # a byte
+            pass
         out, run = [], bytearray()
         for i in [*ids, -1]:
             if i in self.byte:
