@@ -34,6 +34,9 @@ def lower_ascii(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(ASCII_LOWER)
 
 
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
 class WordCache(dict):
     """make(word), kept for later; emptied at `limit` words, which bounds a worker's memory."""
 
@@ -183,7 +186,12 @@ def temporary(df: DataFrame, *names: str) -> list[str]:
 
 
 def per_text(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: T.StructType, rows: int = 256) -> DataFrame:
-    """mapInArrow over df with f's columns; f gets the Arrow batches cut to `rows` rows, so that long texts don't add up."""
+    """mapInArrow over df with f's columns; f gets the Arrow batches cut to `rows` rows, so that long texts don't add up.
+
+    Spark fills batches of up to 64 MB for each task, outside of the heap and again in the worker; the session's bound is lowered to BATCH_BYTES.
+    """
+    if int(df.sparkSession.conf.get(BATCH_CONF).removesuffix("b")) > BATCH_BYTES:
+        df.sparkSession.conf.set(BATCH_CONF, f"{BATCH_BYTES}b")
     names = schema.fieldNames()
     from pyspark.sql.pandas.types import to_arrow_schema
 
