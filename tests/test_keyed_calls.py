@@ -103,3 +103,24 @@ def test_waiting_rows_are_read_once_for_a_watermark():
     rest = fed(processor, store, [], 5000)
     assert [r.v for r in rest if r.v != -1] == [r.v for r in sorted(rows, key=lambda r: r._millis)[1000:]] and len(rest) == 1501 and not store.timers
     assert store.calls < 20
+
+
+def test_a_value_is_counted_once_in_a_batch():
+    """Many changes of few values: the store is asked for each value once, and deletions still bring back the next best one."""
+    store, processor = Store(), keyed._Group(["k"], {"n": ("count", None, False), "top": ("max", "v", False), "kinds": ("count", "v", True)}, {"top": T.LongType(), "kinds": T.LongType()}, True, None)
+    processor.init(store)
+    rows = [Row(row_kind="+I", k=1, v=n % 5) for n in range(3000)]
+    assert [tuple(r) for r in fed(processor, store, rows, 0)] == [("+I", 1, 3000, 4, 5)]
+    gone = [Row(row_kind="-D", k=1, v=n % 5) for n in range(3000) if n % 5 > 2]
+    assert [tuple(r) for r in fed(processor, store, gone, 0)] == [("-U", 1, 3000, 4, 5), ("+U", 1, 1800, 2, 3)]
+    assert store.calls < 100
+    left = [Row(row_kind="-D", k=1, v=n % 5) for n in range(3000) if n % 5 <= 2]
+    assert [tuple(r) for r in fed(processor, store, left, 0)] == [("-D", 1, 1800, 2, 3)]
+
+
+def test_counts_are_stored_when_there_are_many(monkeypatch):
+    monkeypatch.setattr(keyed._Group, "MOST", 3)
+    store, processor = Store(), keyed._Group(["k"], {"kinds": ("count", "v", True)}, {"kinds": T.DoubleType()}, True, None)
+    processor.init(store)
+    rows = [Row(k=1, v=x) for _ in range(2) for x in (1.0, 2.0, float("nan"), 0.0, -0.0, 3.0, float("nan"))]
+    assert [tuple(r) for r in fed(processor, store, rows, 0)] == [("+I", 1, 5)]

@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from weir.streaming.changelog import ADDS
 
 MILLIS = "_millis"
+_NAN = float("nan")
 
 
 def _with(schema: T.StructType, *fields: tuple[str, Any]) -> T.StructType:
@@ -557,7 +558,12 @@ def join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], how: st
 
 
 class _Group(StatefulProcessor):
-    """Aggregates of a key that follow insertions and deletions. Sums and counts are values; the values of a minimum, a maximum or a DISTINCT are a map with their counts."""
+    """Aggregates of a key that follow insertions and deletions. Sums and counts are values; the values of a minimum, a maximum or a DISTINCT are a map with their counts.
+
+    A batch reads and writes the count of a value once, however many rows have it; up to MOST counts are held in between.
+    """
+
+    MOST = 100_000
 
     def __init__(self, keys: list[str], functions: dict[str, tuple[str, str | None, bool]], kinds: dict[str, T.DataType], before: bool, ttl: int | None):
         self.keys, self.functions, self.kinds, self.before, self.ttl = keys, functions, kinds, before, ttl
@@ -583,25 +589,48 @@ class _Group(StatefulProcessor):
             out[name] = count if f == "count" else best if f in ("min", "max") else None if not count else total if f == "sum" else _mean(total, count)
         return Row(**dict(zip(self.keys, key, strict=True)), **out)
 
+    def _changed(self, name: str, v: Any, sign: int, counts: dict) -> tuple[int, int]:
+        """How often the value was there and is now; counts holds the values that the batch has met, with the stored counts and those of now."""
+        known = str(v) if isinstance(v, list | dict) else v
+        if (c := counts.get(known)) is None:
+            if len(counts) == self.MOST:
+                self._store(name, counts)
+            stored = self.seen[name].getValue((v,))
+            c = counts[known] = [v, stored[0] if stored else 0, stored[0] if stored else 0]
+        c[2] += sign
+        return c[2] - sign, c[2]
+
+    def _store(self, name: str, counts: dict) -> None:
+        for v, stored, now in counts.values():
+            if now and now != stored:
+                self.seen[name].updateValue((v,), (now,))
+            elif stored and not now:
+                self.seen[name].removeKey((v,))
+        counts.clear()
+
     def handleInputRows(self, key, rows: Iterable[Row], timerValues) -> Iterator[Row]:
-        n = self.rows.get()[0] if self.rows.exists() else 0
-        state = {name: list(v.get()) if v.exists() else [0, None, None] for name, v in self.values.items()}
+        n = (self.rows.get() or (0,))[0]
+        state = {name: list(v.get() or (0, None, None)) for name, v in self.values.items()}
         before = self._result(key, n, state)
-        stale = set()
+        stale, counts = set(), {name: {} for name in self.seen}
+        fields: list[str] = []
         for row in rows:
-            sign = 1 if row.asDict().get("row_kind", "+I") in ADDS else -1
+            if not fields:
+                fields = row.__fields__
+                kind = fields.index("row_kind") if "row_kind" in fields else None
+                columns = [(name, f, fields.index(c), distinct) for name, (f, c, distinct) in self.functions.items() if c]
+            sign = 1 if kind is None or row[kind] in ADDS else -1
             if sign < 0 and not n:
                 continue  # a deletion of what was never there
             n += sign
-            for name, (f, c, distinct) in self.functions.items():
-                if not c or (v := row[c]) is None:
+            for name, f, c, distinct in columns:
+                if (v := row[c]) is None:
                     continue
                 s, step = state[name], sign
                 if name in self.seen:
-                    seen = self.seen[name]
-                    was = seen.getValue((v,))[0] if seen.containsKey((v,)) else 0
-                    now = was + sign
-                    seen.updateValue((v,), (now,)) if now else seen.removeKey((v,))
+                    if isinstance(v, float):
+                        v = _NAN if v != v else v + 0.0  # one NaN, one zero
+                    was, now = self._changed(name, v, sign, counts[name])
                     if distinct:
                         step = sign if (now == 0) != (was == 0) else 0
                     if f in ("min", "max"):
@@ -612,6 +641,8 @@ class _Group(StatefulProcessor):
                 s[0] += step
                 if f in ("sum", "avg") and step:
                     s[1] = (s[1] or 0) + step * v if s[1] is not None else step * v
+        for name, met in counts.items():
+            self._store(name, met)
         for name in stale:  # the best value went: the next one is looked up once a batch
             left = [k[0] for k in self.seen[name].keys()]
             state[name][2] = (min if self.functions[name][0] == "min" else max)(left) if left else None
@@ -620,9 +651,8 @@ class _Group(StatefulProcessor):
             self.rows.update((n,))
             for name, s in state.items():
                 self.values[name].update(tuple(s))
-        elif self.rows.exists():
-            self.rows.clear()
-            for v in (*self.values.values(), *self.seen.values()):
+        else:
+            for v in (self.rows, *self.values.values(), *self.seen.values()):
                 if v.exists():
                     v.clear()
         if before == after:
