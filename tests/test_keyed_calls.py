@@ -124,3 +124,22 @@ def test_counts_are_stored_when_there_are_many(monkeypatch):
     processor.init(store)
     rows = [Row(k=1, v=x) for _ in range(2) for x in (1.0, 2.0, float("nan"), 0.0, -0.0, 3.0, float("nan"))]
     assert [tuple(r) for r in fed(processor, store, rows, 0)] == [("+I", 1, 5)]
+
+
+def over(functions, frame):
+    store, processor = Store(), keyed._Over(SCHEMA, functions, frame, False)
+    processor.init(store)
+    assert fed(processor, store, [Row(v=n, _millis=n) for n in range(1000)], 0) == []
+    return store, fed(processor, store, [], 1000)
+
+
+def test_running_functions_read_their_rows_once():
+    store, got = over({"s": ("sum", "v"), "n": ("count", "v"), "lo": ("min", "v"), "rk": ("rank", None)}, ("range", None))
+    assert [tuple(r) for r in got] == [(n, n * (n + 1) // 2, n + 1, 0, n + 1) for n in range(1000)]
+    assert store.calls < 20
+
+
+def test_bounded_frames_read_their_rows_once():
+    store, got = over({"n": ("count", "v"), "hi": ("max", "v")}, ("range", 10))
+    assert [tuple(r) for r in got] == [(n, min(n, 10) + 1, n) for n in range(1000)]
+    assert store.calls < 20
