@@ -84,6 +84,16 @@ SOLID = ~SPACE
 LOWER = np.arange(256, dtype=np.uint8) + np.uint8(32) * np.isin(np.arange(256), np.arange(65, 91)).astype(np.uint8)
 
 
+def lowered(raw: np.ndarray) -> np.ndarray:
+    """LOWER[raw], by sums that take less time than the table."""
+    return raw + ((raw - np.uint8(65) < 26).view(np.uint8) << np.uint8(5))
+
+
+def is_solid(raw: np.ndarray) -> np.ndarray:
+    """SOLID[raw], likewise."""
+    return (raw != 32) & (raw - np.uint8(9) > 4)
+
+
 def _powers(base: int) -> np.ndarray:
     out = np.full(STRIDE, base, np.uint64)
     out[0] = 1
@@ -111,7 +121,7 @@ def span_hashes(raw: np.ndarray, start: np.ndarray) -> np.ndarray:
         # Spaces add nothing, so a span's sum reaches up to the next one. A longer one than a stride is alone here and hashed below.
         own = raw[start[lo] : min(following[hi - 1], start[lo] + STRIDE)]
         sums = np.zeros(len(own) + 1, np.uint64)
-        np.cumsum(BYTES[own] * POWER[: len(own)], out=sums[1:])
+        np.cumsum(BYTES.take(own) * POWER[: len(own)], out=sums[1:])
         first = start[lo:hi] - start[lo]
         found[lo:hi] = (sums[np.minimum(following[lo:hi] - start[lo], len(own))] - sums[first]) * INVERSE[first]
     for i in np.flatnonzero(following - start >= LONG).tolist():  # a long one, or many spaces after a short one

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weir.llm.common import GOLDEN, LOWER, SOLID, Scratch, byte_buffer, cuts, gathered, mix, partitions, pack, per_text, small, span_hashes, temporary, unique, unpack
+from weir.llm.common import GOLDEN, Scratch, byte_buffer, cuts, gathered, is_solid, lowered, mix, partitions, pack, per_text, small, span_hashes, temporary, unique, unpack
 
 #: Hundredths of similarity; words that a line needs to take part unless the caller says otherwise; verified partners of a set for each word in one round.
 LEAST, LEAST_WORDS, FIRST = 80, 5, 2
@@ -43,17 +43,25 @@ MANY_OPEN, MOST_WORDS = 100_000, 2_000_000
 #: Lines that are sorted at a time, and a key's bits for the word itself, under 8 for its class and 10 for the line.
 CHUNK, WORD_BITS = 1024, 46
 ONLY_WORD = np.uint64((1 << WORD_BITS) - 1)
-def _word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All lower-cased words of the texts: their hashes, their lines counted over all texts, and of each line its text and number in it."""
+
+
+def _word_starts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' lower-cased bytes, where each text begins, with the end of the last, and where each word begins."""
     raw, offsets = byte_buffer(texts)
-    begins, ends = offsets[:-1], offsets[1:]
-    raw = LOWER[raw]
-    held = begins[begins < ends]
-    solid = SOLID[raw]
+    raw = lowered(raw)
+    held = offsets[:-1][offsets[:-1] < offsets[1:]]
+    solid = is_solid(raw)
     begun = solid.copy()
     begun[1:] &= ~solid[:-1]
     begun[held] = solid[held]
-    start = np.flatnonzero(begun)
+    return raw, offsets, np.flatnonzero(begun)
+
+
+def _word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All lower-cased words of the texts: their hashes, their lines counted over all texts, and of each line its text and number in it."""
+    raw, offsets, start = _word_starts(texts)
+    begins, ends = offsets[:-1], offsets[1:]
+    held = begins[begins < ends]
     after = np.flatnonzero(raw == 10) + 1
     # A line begins with each text that isn't empty and after each line feed, even where a text ends with one.
     owner = np.concatenate([np.flatnonzero(begins < ends), np.searchsorted(ends, after - 1, "right")])
@@ -85,9 +93,8 @@ def rarity(docs: DataFrame, bits: int | None = None) -> np.ndarray:
     def count(batches) -> Iterator[dict]:
         counts = np.zeros(1 << bits, np.int64)
         for b in batches:
-            found = np.sort((_word_hashes(b.column("text"))[0] >> np.uint64(64 - bits)).astype(np.int64))
-            new = np.flatnonzero(np.append(True, found[1:] != found[:-1])) if len(found) else found
-            counts[found[new]] += np.diff(np.append(new, len(found)))
+            raw, _, start = _word_starts(b.column("text"))
+            np.add.at(counts, (span_hashes(raw, start) >> np.uint64(64 - bits)).view(np.int64), 1)
         for i in range(0, len(counts), 1 << 16):
             at = np.flatnonzero(own := counts[i : i + (1 << 16)])
             if len(at):
@@ -125,6 +132,11 @@ def _ordered_sets(keys: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate(out), np.concatenate(counts)
 
 
+def _prefix(n: np.ndarray) -> np.ndarray:
+    """How many of the words of a set of n words, from the rarest on, have one of each set that is similar to it."""
+    return n - (n * LEAST + 99) // 100 + 1
+
+
 #: Rows of documents have the name of each line's set; rows of sets have what their entries need.
 OCCURS = T.ArrayType(T.StructType([T.StructField("line", T.IntegerType()), T.StructField("name", T.LongType())]))
 SETS = T.StructType([
@@ -136,7 +148,7 @@ SETS = T.StructType([
 def _sets(docs: DataFrame, classes: np.ndarray, least_words: int) -> DataFrame:
     """A row for each of docs with its lines of least_words words or more and their sets' names, and a row for each set of LEAST_SET words or more.
 
-    A set's row has its size, bitmap and prefix, and the doc_id and line where the task has met it; a task that meets it again, earlier
+    A set's row has its size, bitmap and prefix, less the words that stand once in all documents, and the doc_id and line where the task has met it; a task that meets it again, earlier
     in the order, sends another one. A word's key is its bucket's class over 46 bits of its hash, so that keys ascend from rare to
     frequent; two words of a line are taken for one with a chance of a billionth. Verification is on 64 bits.
     """
@@ -144,7 +156,6 @@ def _sets(docs: DataFrame, classes: np.ndarray, least_words: int) -> DataFrame:
 
     def run(batches) -> Iterator[dict]:
         shift = np.uint64(64 - (len(shared.value).bit_length() - 1))
-        high_bits = shared.value.astype(np.uint64) << np.uint64(WORD_BITS)
         seen: dict[int, tuple] = {}
         for b in batches:
             found, line, owner, number = _word_hashes(b.column("text"))
@@ -155,10 +166,12 @@ def _sets(docs: DataFrame, classes: np.ndarray, least_words: int) -> DataFrame:
             if not part.any():
                 yield {"doc_id": b.column("doc_id"), "version": b.column("version"), "lines": [[]] * b.num_rows} | blank
                 continue
-            found = found[part[line]]
+            if least_words > 1:  # else a line that is left out has no words
+                found = found[part[line]]
             owner, number, sizes = owner[part], number[part].astype(np.int32), sizes[part]
             starts = np.searchsorted(owner, np.arange(b.num_rows + 1))
-            keys, n = _ordered_sets(high_bits[(found >> shift).astype(np.int64)] | found & ONLY_WORD, sizes)
+            cls = shared.value.take((found >> shift).view(np.int64)).astype(np.uint64)
+            keys, n = _ordered_sets(cls << np.uint64(WORD_BITS) | found & ONLY_WORD, sizes)
             first = np.cumsum(n) - n
             mixed = mix(keys & ONLY_WORD)
             name = (mix(np.add.reduceat(mixed, first) * GOLDEN + n.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
@@ -169,13 +182,15 @@ def _sets(docs: DataFrame, classes: np.ndarray, least_words: int) -> DataFrame:
             for i, x in enumerate(zip(name.tolist(), zip(doc_id.tolist(), number.tolist(), strict=True), (n >= LEAST_SET).tolist(), strict=True)):
                 if x[2] and (x[0] not in seen or x[1] < seen[x[0]]):
                     seen[x[0]], new[i] = x[1], True
-            if not (at := np.flatnonzero(new)).size:
+            length = np.where(new, _prefix(n), 0)
+            # Words of class 0, the first of a line's, stand nowhere else.
+            kept = (np.arange(len(keys)) - np.repeat(first, n) < np.repeat(length, n)) & (keys > ONLY_WORD)
+            length = np.add.reduceat(kept, first, dtype=np.int64)
+            if not (at := np.flatnonzero(length)).size:
                 continue
             bit = np.uint64(1) << (mixed & np.uint64(63))
             upper = (mixed & np.uint64(64)) > 0
             low, high = (np.bitwise_xor.reduceat(np.where(side, bit, np.uint64(0)), first).view(np.int64)[at] for side in (~upper, upper))
-            length = np.where(new, n - (n * LEAST + 99) // 100 + 1, 0)
-            kept = np.arange(len(keys)) - np.repeat(first, n) < np.repeat(length, n)
             bounds = np.concatenate([[0], np.cumsum(length[at])])
             prefix = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array((mixed[kept] >> np.uint64(33)).astype(np.int32)))
             own = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer((keys[kept] >> np.uint64(WORD_BITS)).astype(np.uint8))])
@@ -199,7 +214,8 @@ def _entries(b: pa.RecordBatch, salted: bool, words: np.ndarray | None) -> dict[
     row = np.repeat(np.arange(b.num_rows), sizes)
     token = prefix.flatten().to_numpy().view(np.uint32)
     cls = np.frombuffer(b"".join(b.column("classes").to_pylist()), np.uint8)
-    pos = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    # The words that a prefix is short of are its first ones.
+    pos = np.arange(len(row)) + np.repeat(_prefix(b.column("n").to_numpy().astype(np.int64)) - np.cumsum(sizes), sizes)
     if words is not None:
         keep = np.flatnonzero(words[np.minimum(np.searchsorted(words, token), len(words) - 1)] == token)
         row, token, cls, pos = row[keep], token[keep], cls[keep], pos[keep]
@@ -250,16 +266,25 @@ def _packed(sets: DataFrame, parts: int, salted: bool, words: np.ndarray | None
 
 
 def _met(e: dict[str, np.ndarray], at: np.ndarray, earlier: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the entries `at` and `earlier` the pairs that pass the filters."""
+    """Of the entries `at` and `earlier`, which may share enough by their sizes and places, the pairs that pass the bitmap."""
     n, m = e["n"][at], e["n"][earlier]
-    need = (LEAST * (n + m) + 99 + LEAST) // (100 + LEAST)
-    ok = np.flatnonzero((n - e["pos"][at] >= need) & (m - e["pos"][earlier] >= need) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * LEAST))
-    at, earlier, most = at[ok], earlier[ok], (n[ok] + m[ok]) * (100 - LEAST) // (100 + LEAST)
     differ = np.bitwise_count(e["low"][at] ^ e["low"][earlier]).astype(np.int32) + np.bitwise_count(e["high"][at] ^ e["high"][earlier])
-    ok = np.flatnonzero((differ <= most) & (e["name"][at] != e["name"][earlier]))
+    ok = np.flatnonzero((differ <= (n + m) * (100 - LEAST) // (100 + LEAST)) & (e["name"][at] != e["name"][earlier]))
     return at[ok], earlier[ok]
 
 
+def _spans_met(e: dict[str, np.ndarray], own: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that pass the filters, of each entry of `own` and the `size` ones from `begin` on.
+
+    Sets of n and m words need 0.8 / 1.8 of n + m in common, and from a shared word on, the first one in their order, each must have as many left.
+    So `reach` of one, its own part taken off, is compared with the other's part. The sizes' ratio follows from it.
+    """
+    ends = np.cumsum(size)
+    earlier = np.arange(ends[-1]) + np.repeat(begin - (ends - size), size)
+    ok = np.flatnonzero((np.repeat(e["reach"][own], size) >= e["part"].take(earlier)) & (e["reach"].take(earlier) >= np.repeat(e["part"][own], size)))
+    return _met(e, own[np.searchsorted(ends, ok, "right")], earlier[ok])
+
+
 def _by_token(e: dict[str, np.ndarray]) -> np.ndarray:
     """The entries in the order of token, doc_id, line and name, each set's first alone for a token, and tokens with one entry left out.
 
@@ -284,8 +309,10 @@ def _by_token(e: dict[str, np.ndarray]) -> np.ndarray:
     size = np.diff(np.append(head, len(order)))
     order = order[np.repeat(size > 1, size)]
     own = mix(e["name"][order].view(np.uint64)) ^ mix(token[order])
-    first = np.unique(own, return_index=True)[1]
-    return order[np.sort(first)] if len(first) < len(order) else order
+    at = np.argsort(own)
+    own = own[at]
+    new = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else at
+    return order[np.sort(np.minimum.reduceat(at, new))] if len(new) < len(order) else order
 
 
 def _words_of(sets: DataFrame) -> np.ndarray | None:
@@ -315,6 +342,9 @@ def _pairs(sets: DataFrame, first: int | None, parts: int, only_open: bool = Fal
         e = {c: v[order] for c, v in e.items() if c not in ("doc_id", "line")}
         if not len(order):
             return
+        long = np.int32 if int(e["n"].max()) < 1 << 23 else np.int64
+        n = e["n"].astype(long)
+        e["part"], e["reach"] = LEAST * n, (100 + LEAST) * (n - e["pos"].astype(long)) - LEAST * n
         token = e["token"]
         head = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
         start = np.repeat(head, np.diff(np.append(head, len(token))))
@@ -334,14 +364,15 @@ def _pairs(sets: DataFrame, first: int | None, parts: int, only_open: bool = Fal
         live = np.flatnonzero(count)
         for lo, hi in cuts(np.cumsum(count[live]), MET):
             own = live[lo:hi]
-            if count[own].sum() > 4 * MET:  # one entry with very many before it
+            if len(own) == 1 and count[own[0]] > 4 * MET:  # one entry with very many before it
                 for i in range(0, int(count[own[0]]), MET):
-                    yield _rows(e, *_met(e, *(np.broadcast_arrays(own[:1], start[own[0]] + np.arange(i, min(int(count[own[0]]), i + MET))))), first)
+                    yield _rows(e, *_spans_met(e, own, start[own] + i, np.minimum(count[own] - i, MET)), first)
                 continue
-            at = np.repeat(own, count[own])
-            back = np.arange(len(at)) - np.repeat(np.cumsum(count[own]) - count[own], count[own])
-            earlier = start[at] + np.where(back < front[at], back, block[at] + back - front[at])
-            at, earlier = _met(e, at, earlier)
+            if front[own].any():
+                spans = np.repeat(own, 2), np.stack([start[own], start[own] + block[own]], 1).ravel(), np.stack([front[own], place[own] - block[own]], 1).ravel()
+            else:
+                spans = own, start[own] + block[own], count[own]
+            at, earlier = _spans_met(e, *spans)
             if len(at):
                 yield _rows(e, at, earlier, first)
 
@@ -545,8 +576,9 @@ def deduped(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     joined, own = _with_removed(docs, removed_lines(docs, least_words))
     removed, text = F.col(own), F.coalesce("text", F.lit(""))
+    feeds = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))  # a split makes a string of each line
     return joined.select(
-        "doc_id", F.when(F.length("text") > 0, F.size(F.split("text", "\n"))).otherwise(0).cast("long").alias("n_lines"), F.coalesce(F.size(removed), F.lit(0)).cast("long").alias("n_removed"),
+        "doc_id", F.when(text != "", feeds + 1).otherwise(0).cast("long").alias("n_lines"), F.coalesce(F.size(removed), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce(F.array_join(removed.cast("array<string>"), ","), F.lit("")).alias("removed_lines"),
         F.sha2(F.when(removed.isNull(), text).otherwise(_cleaned(text, removed)).cast("binary"), 256).alias("kept_sha256"),
     )
