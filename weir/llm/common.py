@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -37,6 +38,40 @@ def lower_ascii(text: str) -> str:
 BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
+#: What a worker keeps from task to task, by module and key.
+KEPT: dict[tuple[str, str], object] = {}
+#: Only glibc has it.
+TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def kept(module: str, key: str, make: Callable):
+    """make(key), made once in a worker and kept until a task of another module begins there."""
+    if (module, key) not in KEPT:
+        KEPT[module, key] = make(key)
+    return KEPT[module, key]
+
+
+def forget_others(module: str) -> None:
+    for k in [k for k in KEPT if k[0] != module]:
+        del KEPT[k]
+
+
+def release() -> None:
+    """Gives this process's free memory back to the system; malloc keeps what lies below anything that is in use."""
+    pa.default_memory_pool().release_unused()
+    if TRIM:
+        TRIM(0)
+
+
+def tidied(module: str, out: Iterator) -> Iterator:
+    """The items of out, a task's work. Workers serve one operator after the other: what others keep goes before it, and its own free memory after it."""
+    forget_others(module)
+    try:
+        yield from out
+    finally:
+        release()
+
+
 class WordCache(dict):
     """make(word), kept for later; emptied at `limit` words, which bounds a worker's memory."""
 
@@ -205,14 +240,14 @@ def per_text(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[dic
     names = schema.fieldNames()
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow = to_arrow_schema(schema)
+    arrow, module = to_arrow_schema(schema), f.__module__
 
-    def run(batches):
+    def made(batches):
         cut = (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
         for out in f(cut):
             yield pa.RecordBatch.from_arrays([pa.array(out[n], arrow.field(n).type) for n in names], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lambda batches: tidied(module, made(batches)), schema)
 
 
 class Known:

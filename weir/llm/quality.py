@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weir.llm.common import GOLDEN, Known, byte_buffer, mix, per_text, span_bytes, span_hashes, word_spans
+from weir.llm.common import GOLDEN, Known, byte_buffer, mix, per_text, span_bytes, span_hashes, tidied, word_spans
 from weir.llm.labelled import fold, sample
 
 #: Rows of the labelled sample, at most.
@@ -193,4 +193,4 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
                 part = b.slice(i, 256)
                 yield part.filter(pa.array(score(part.column("text")) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda batches: tidied(__name__, run(batches)), docs.schema)

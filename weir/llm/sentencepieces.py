@@ -19,7 +19,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weir.llm.common import WordCache, per_text
+from weir.llm.common import WordCache, kept, per_text
 from pyspark.sql import types as T
 
 SPACE = "▁"
@@ -214,15 +214,14 @@ def _utf8(raw: bytes) -> str:
     return "".join(out)
 
 
-_TABLES: dict[str, PrefixTable] = {}
+def _read(path: str) -> PrefixTable:
+    with open(path, "rb") as f:
+        return PrefixTable(f.read())
 
 
 def table(path: str) -> PrefixTable:
-    """The table of a model file, made once in a worker."""
-    if path not in _TABLES:
-        with open(path, "rb") as f:
-            _TABLES[path] = PrefixTable(f.read())
-    return _TABLES[path]
+    """The table of a model file, kept in a worker."""
+    return kept(__name__, path, _read)
 
 
 SCHEMA = T.StructType([

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from weir.llm.common import GOLDEN, LOWER, SPACE, Known, Scratch, byte_buffer, mix, partitions, per_text, span_hashes
+from weir.llm.common import GOLDEN, LOWER, SPACE, Known, Scratch, byte_buffer, kept, mix, partitions, per_text, span_hashes
 
 MAGIC, HEAD = b"WEIRIDS2", struct.Struct("<8sIIIIQI")
 LEVELS = 32
@@ -328,13 +328,8 @@ class Encoder:
         return flat, counts
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return kept(__name__, path, Encoder)
 
 
 FILES = T.StructType([
