@@ -1,9 +1,12 @@
 """How often stateful operators go to the state store, counted with a store that is a dictionary."""
 
+import random
+
 from pyspark.sql import Row
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
+from weir.plans import streams
 from weir.streaming import keyed
 
 
@@ -143,3 +146,51 @@ def test_bounded_frames_read_their_rows_once():
     store, got = over({"n": ("count", "v"), "hi": ("max", "v")}, ("range", 10))
     assert [tuple(r) for r in got] == [(n, min(n, 10) + 1, n) for n in range(1000)]
     assert store.calls < 20
+
+
+def groups(functions, kinds, key_kinds):
+    processor, store = keyed._Groups(["k"], functions, kinds, True, key_kinds, 1), Store()
+    processor.init(store)
+    return processor, store
+
+
+def test_keys_share_state():
+    """A batch of many keys asks the store for parts, not for keys."""
+    processor, store = groups({"n": ("count", None, False)}, {}, [T.LongType()])
+    rows = [Row(k=n % 4000, _hash=n % 4000) for n in range(8000)]
+    assert {tuple(r) for r in fed(processor, store, rows, 0)} == {("+I", k, 2) for k in range(4000)}
+    assert {tuple(r) for r in fed(processor, store, rows[:5], 0)} == {x for k in range(5) for x in (("-U", k, 2), ("+U", k, 3))}
+    assert store.calls < 100
+
+
+def test_shared_state_follows_changes_as_a_key_of_its_own(monkeypatch):
+    monkeypatch.setattr(keyed._Groups, "KEYS", 3)
+    functions = {"n": ("count", None, False), "m": ("count", "v", False), "s": ("sum", "v", False), "a": ("avg", "v", False)}
+    kinds = dict.fromkeys("msa", T.LongType())
+    processor, store = groups(functions, kinds, [T.LongType()])
+    alone = {}
+    chance = random.Random(3)
+    for _ in range(30):
+        rows = [Row(row_kind=chance.choice(["+I", "-D", "+U", "-U"]), k=(k := chance.choice([None, *range(40)])), v=chance.choice([None, 0, 0, 5]), _hash=hash((k, 1)) * 7919 - 2**50) for _ in range(chance.choice([1, 5, 60]))]
+        want = []
+        for k in {r.k for r in rows}:
+            if k not in alone:
+                alone[k] = keyed._Group(["k"], functions, kinds, True, None), Store()
+                alone[k][0].init(alone[k][1])
+            want += alone[k][0].handleInputRows((k,), iter([r for r in rows if r.k == k]), TimerValues(0, 0))
+        assert sorted(map(str, fed(processor, store, rows, 0))) == sorted(map(str, want))
+
+
+def test_a_relayed_changelog_is_made_in_several_tasks(spark, tmp_path, monkeypatch):
+    def task(batches):
+        from pyspark import TaskContext
+
+        for b in batches:
+            yield b.assign(id=TaskContext.get().taskAttemptId())
+
+    spark.range(80).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in")).repartition(4).mapInPandas(task, "id long")
+    monkeypatch.setattr(streams, "folder", lambda _: str(tmp_path / "relay"))
+    streams.relayed(spark, stream)
+    files = list((tmp_path / "relay" / "out").glob("*.parquet"))
+    assert len(files) == 1 and spark.read.parquet(str(files[0])).distinct().count() == 4

@@ -58,10 +58,10 @@ def streamed(spark: SparkSession, df: DataFrame, time: str | None = None, batche
 
 
 def relayed(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """A changelog as the next query's stream: each batch is one file."""
+    """A changelog as the next query's stream: each batch is one file, written after a shuffle so that its state is worked on in more than one task."""
     path = folder(spark)
     with rocks(spark):
-        df.writeStream.outputMode("update").foreachBatch(lambda b, _: b.coalesce(1).write.mode("append").parquet(f"{path}/out")).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        df.writeStream.outputMode("update").foreachBatch(lambda b, _: b.repartition(1).write.mode("append").parquet(f"{path}/out")).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/out")
 
 

@@ -577,17 +577,17 @@ class _Group(StatefulProcessor):
         kind = self.kinds[name]
         return T.DecimalType(38, kind.scale) if isinstance(kind, T.DecimalType) else T.DoubleType() if isinstance(kind, T.FloatType | T.DoubleType) else T.LongType()
 
-    def _result(self, key, n: int, state: dict[str, list]) -> Row | None:
+    def _result(self, key, n: int, state: dict[str, list]) -> tuple | None:
         if not n:
             return None
-        out = {}
+        out = [*key]
         for name, (f, c, _) in self.functions.items():
             if not c:
-                out[name] = n
+                out.append(n)
                 continue
             count, total, best = state[name]
-            out[name] = count if f == "count" else best if f in ("min", "max") else None if not count else total if f == "sum" else _mean(total, count)
-        return Row(**dict(zip(self.keys, key, strict=True)), **out)
+            out.append(count if f == "count" else best if f in ("min", "max") else None if not count else total if f == "sum" else _mean(total, count))
+        return tuple(out)
 
     def _changed(self, name: str, v: Any, sign: int, counts: dict) -> tuple[int, int]:
         """How often the value was there and is now; counts holds the values that the batch has met, with the stored counts and those of now."""
@@ -655,29 +655,139 @@ class _Group(StatefulProcessor):
             for v in (self.rows, *self.values.values(), *self.seen.values()):
                 if v.exists():
                     v.clear()
+        yield from self._changes(before, after)
+
+    def _changes(self, before: tuple | None, after: tuple | None) -> Iterator[Row]:
         if before == after:
             return
+        make = Row("row_kind", *self.keys, *self.functions)
         if before is None:
-            yield Row(row_kind="+I", **after.asDict())
+            yield make("+I", *after)
         elif after is None:
-            yield Row(row_kind="-D", **before.asDict())
+            yield make("-D", *before)
         else:
             if self.before:
-                yield Row(row_kind="-U", **before.asDict())
-            yield Row(row_kind="+U", **after.asDict())
+                yield make("-U", *before)
+            yield make("+U", *after)
 
     def close(self) -> None:
         pass
 
 
-def group(df: DataFrame, keys: list[str], functions: dict[str, tuple[str, str | None] | tuple[str, str, bool]], update_before: bool = True, ttl_millis: int | None = None) -> DataFrame:
+#: Types whose values are equal in Python where they are in a GROUP BY.
+_SHARED = (T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType(), T.StringType(), T.BooleanType())
+
+
+class _Groups(_Group):
+    """_Group for counts, sums and averages of many keys that share state: `key` is a bucket by a hash, and a bucket's keys are in parts, by columns.
+
+    The store and Arrow take much longer for a key than for a value in it. A batch reads and writes a part that it changes once; a bucket doubles its parts when they have more than KEYS each,
+    so a change costs no more where there are more keys.
+    """
+
+    KEYS = 500
+
+    def __init__(self, keys: list[str], functions: dict[str, tuple[str, str | None, bool]], kinds: dict[str, T.DataType], before: bool, key_kinds: list[T.DataType], buckets: int):
+        super().__init__(keys, functions, kinds, before, None)
+        self.key_kinds, self.buckets = key_kinds, buckets
+        self.own = [n for n, (_, c, _) in functions.items() if c]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.size = handle.getValueState("size", "keys bigint, depth bigint")
+        # An entry is a key's hash and rows, then the count and the sum of each function's column, then the key.
+        kinds = [T.LongType(), T.LongType(), *(k for n in self.own for k in (T.LongType(), self._sum(n))), *self.key_kinds]
+        self.parts = handle.getMapState("parts", "part bigint", T.StructType([T.StructField(f"c{i}", T.ArrayType(k)) for i, k in enumerate(kinds)]))
+        self.width = len(kinds) - len(self.keys)
+
+    def _read(self, part: int) -> dict[tuple, list]:
+        return {e[self.width :]: list(e[: self.width]) for e in zip(*(self.parts.getValue((part,)) or ()), strict=True)}
+
+    def _write(self, part: int, held: dict[tuple, list], stored: bool) -> None:
+        if held:
+            self.parts.updateValue((part,), tuple(list(c) for c in zip(*((*e, *k) for k, e in held.items()), strict=True)))
+        elif stored:
+            self.parts.removeKey((part,))
+
+    def _shown(self, key: tuple, entry: tuple | list) -> tuple | None:
+        return self._result(key, entry[1], {n: (entry[i], entry[i + 1], None) for n, i in zip(self.own, range(2, self.width, 2), strict=True)})
+
+    def handleInputRows(self, key, rows: Iterable[Row], timerValues) -> Iterator[Row]:
+        size, depth = self.size.get() or (0, 0)
+        parts: dict[int, dict[tuple, list]] = {}
+        stored: dict[int, bool] = {}
+        first: dict[tuple, tuple] = {}
+        fields: list[str] = []
+        nothing = [0, *(v for _ in self.own for v in (0, None))]
+        for row in rows:
+            if not fields:
+                fields = row.__fields__
+                kind = fields.index("row_kind") if "row_kind" in fields else None
+                hashed, by = fields.index("_hash"), [fields.index(k) for k in self.keys]
+                columns = [(self.functions[n][0] != "count", fields.index(self.functions[n][1]), i) for n, i in zip(self.own, range(2, self.width, 2), strict=True)]
+            sign = 1 if kind is None or row[kind] in ADDS else -1
+            h = row[hashed]
+            part = (h // self.buckets) & ((1 << depth) - 1)
+            if (held := parts.get(part)) is None:
+                held = parts[part] = self._read(part)
+                stored[part] = bool(held)
+            own = tuple([row[i] for i in by])
+            if (entry := held.get(own)) is None:
+                if sign < 0:
+                    continue  # a deletion of what was never there
+                entry = held[own] = [h, *nothing]
+            elif sign < 0 and not entry[1]:
+                continue
+            if own not in first:
+                first[own] = tuple(entry)
+            entry[1] += sign
+            for adds, c, i in columns:
+                if (v := row[c]) is not None:
+                    if isinstance(v, float):
+                        v = v + 0.0
+                    entry[i] += sign
+                    if adds:
+                        entry[i + 1] = sign * v if entry[i + 1] is None else entry[i + 1] + sign * v
+        changed = []
+        for part, held in parts.items():
+            for own in [k for k in held if k in first]:
+                was, now = first[own], held[own]
+                if bool(was[1]) != bool(now[1]):
+                    size += 1 if now[1] else -1
+                changed.append((self._shown(own, was), self._shown(own, now)))
+                if not now[1]:
+                    del held[own]
+        if size > self.KEYS << depth:
+            for part in range(1 << depth):
+                if part not in parts:
+                    parts[part] = self._read(part)
+                    stored[part] = bool(parts[part])
+            while size > self.KEYS << depth:
+                depth += 1
+            every, parts = parts, {}
+            for own, entry in (e for held in every.values() for e in held.items()):
+                parts.setdefault((entry[0] // self.buckets) & ((1 << depth) - 1), {})[own] = entry
+            for part in every:
+                parts.setdefault(part, {})
+        for part, held in parts.items():
+            self._write(part, held, stored.get(part, False))
+        if first:
+            self.size.update((size, depth))
+        for before, after in changed:
+            yield from self._changes(before, after)
+
+
+def group(df: DataFrame, keys: list[str], functions: dict[str, tuple[str, str | None] | tuple[str, str, bool]], update_before: bool = True, ttl_millis: int | None = None, buckets: int = 512) -> DataFrame:
     """The changelog of GROUP BY over a stream of rows or of changes. functions: result column to (count, sum, avg, min or max; column or None; distinct).
 
-    Sums of integers are 64 bits wide, averages of integers are cut toward zero. A batch changes a key's row once at most.
+    Sums of integers are 64 bits wide, averages of integers are cut toward zero. A batch changes a key's row once at most. Keys of integers, strings and booleans share state by
+    `buckets` of a hash where no function looks at single values and no time to live is set; a bucket's changed keys of one batch are in memory.
     """
     full = {n: (f[0], f[1], len(f) > 2 and f[2]) for n, f in functions.items()}
+    df = df.select(*dict.fromkeys([*keys, *(c for _, c, _ in full.values() if c), *(["row_kind"] if "row_kind" in df.columns else [])]))
     kinds = {n: df.schema[c].dataType for n, (_, c, _) in full.items() if c}
-    processor = _Group(keys, full, kinds, update_before, ttl_millis)
+    key_kinds = [df.schema[k].dataType for k in keys]
+    shares = keys and not ttl_millis and all(k in _SHARED for k in key_kinds) and all(f in ("count", "sum", "avg") and not distinct for f, _, distinct in full.values())
+    processor = _Groups(keys, full, kinds, update_before, key_kinds, buckets) if shares else _Group(keys, full, kinds, update_before, ttl_millis)
 
     def kind(name: str) -> T.DataType:
         f, c, _ = full[name]
@@ -688,4 +798,6 @@ def group(df: DataFrame, keys: list[str], functions: dict[str, tuple[str, str |
         return processor._sum(name)
 
     out = T.StructType([T.StructField("row_kind", T.StringType()), *(T.StructField(k, df.schema[k].dataType) for k in keys), *(T.StructField(n, kind(n)) for n in full)])
-    return _run(df, keys, processor, out, "Update", "ProcessingTime" if ttl_millis else "None")
+    if shares:
+        df = df.withColumn("_hash", F.xxhash64(*keys)).withColumn("_bucket", F.pmod("_hash", F.lit(buckets)))
+    return _run(df, ["_bucket"] if shares else keys, processor, out, "Update", "ProcessingTime" if ttl_millis else "None")
