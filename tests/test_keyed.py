@@ -5,6 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from weir import plans
 from weir.plans.streams import rocks
 from weir.sinks.files import ParquetSink, UpsertTable
 from weir.streaming import keyed
@@ -127,3 +128,21 @@ def test_upsert_table_keeps_versions(spark, tmp_path):
         table.merge(batch, n)  # a batch that runs again
     assert sorted((r.k, r.v) for r in table.read().collect()) == [(1, 5), (3, 3)]
     assert len(list((tmp_path / "t").glob("v=*"))) == 2
+
+
+def test_sort_hands_rows_once_in_the_order_of_time(spark, tmp_path):
+    """Rows of one time are in the order of ties; a row is late when a batch before has handed later ones."""
+    for rows in ([(10, 1), (20, 9), (20, 8)], [(15, 3), (30, 4)], [(12, 5), (20, 7), (40, 6)]):
+        put(spark, tmp_path / "in", [(float(s), n) for s, n in rows], "s double, n long")
+    df = source(spark, tmp_path / "in", "s double, n long").select(F.timestamp_seconds("s").alias("ts"), "n").withWatermark("ts", "0 seconds")
+    got = []
+    with rocks(spark):
+        keyed.sorted_by_time(df, "ts", lambda b, _: got.append([r.n for r in b.collect()]), str(tmp_path / "cp"), 2, ties=("n",)).awaitTermination()
+    assert [b for b in got if b] == [[1, 3], [7, 8, 9], [4]]
+
+
+def test_places_of_rows_of_one_time(spark, tmp_path):
+    spark.range(600).selectExpr("599 - id AS event_id", "timestamp_ntz '2024-01-01' + make_dt_interval(0, 0, 0, id % 10) AS ts").write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted(plans.QUERIES["stream_sort"](spark, str(tmp_path)).collect(), key=lambda r: r.place)
+    assert [r.place for r in got] == list(range(1, 601))
+    assert [r.event_id for r in got] == sorted(range(600), key=lambda e: ((599 - e) % 10, e))

@@ -219,11 +219,15 @@ def _(spark, load):
         batch.withColumn("own", F.monotonically_increasing_id()).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{path}/out")
 
     with rocks(spark):
-        keyed.sorted_by_time(streamed(spark, _events(load, "event_id"), "ts"), "ts", put, f"{path}/checkpoint", 4).awaitTermination()
+        keyed.sorted_by_time(streamed(spark, _events(load, "event_id"), "ts"), "ts", put, f"{path}/checkpoint", 4, ties=("event_id",)).awaitTermination()
     from pyspark.sql import Window
 
-    rows = spark.read.schema("event_id long, ts timestamp, own long, batch int").parquet(f"{path}/out").where("event_id is not null")
-    return rows.select("event_id", F.row_number().over(Window.orderBy("batch", "own")).cast("bigint").alias("place"))
+    # A place is that in the range of its sort, from the number of rows of the ranges before.
+    own, part = F.col("own").bitwiseAND(F.lit((1 << 33) - 1)).alias("own"), F.shiftright("own", 33).alias("part")
+    rows = spark.read.schema("event_id long, ts timestamp, own long, batch int").parquet(f"{path}/out").where("event_id is not null").select("event_id", "batch", part, own)
+    sizes = rows.groupBy("batch", "part").agg(F.count("*").alias("n"))
+    bases = sizes.select("batch", "part", (F.sum("n").over(Window.orderBy("batch", "part")) - F.col("n")).alias("base"))
+    return rows.join(F.broadcast(bases), ["batch", "part"]).select("event_id", (F.col("base") + F.col("own") + 1).alias("place"))
 
 
 @query("stream_late_rows", "SELECT time_bucket(INTERVAL '1 day', ts) AS window_start, count(*) AS n FROM events GROUP BY ALL")

@@ -396,16 +396,24 @@ class _Held(_Waiting):
         return map(self.shown(), rows)
 
 
-def sorted_by_time(df: DataFrame, time: str, put: Callable[[DataFrame, int], None], checkpoint: str, buckets: int = 64, trigger: dict | None = None) -> StreamingQuery:
+def sorted_by_time(df: DataFrame, time: str, put: Callable[[DataFrame, int], None], checkpoint: str, buckets: int = 64, trigger: dict | None = None, ties: tuple[str, ...] = ()) -> StreamingQuery:
     """Starts a query that hands batches, each sorted by time over ranges, to `put(batch, number)`; a batch's times are all after those of the one before.
 
-    Rows wait in buckets by a hash until the watermark has passed them, so no task holds all of them, and a batch is sorted as any table is.
+    Rows wait by their millisecond, and in it by a hash to `buckets`, until the watermark has passed them, so no task holds all of them, and a batch is sorted as any table is. It is an
+    aggregate of Spark's own, so no row goes through Python. Columns of `ties` order the rows of one time; without them that order is open.
     """
-    body = df.schema
-    df = _millis(df, time).withColumn("_bucket", F.pmod(F.xxhash64(*body.fieldNames()), F.lit(buckets)))
-    schema = T.StructType([f for f in df.schema if f.name != "_bucket"])
-    held = _run(df, ["_bucket"], _Held(schema), _with(body))
-    return held.writeStream.foreachBatch(lambda b, n: put(b.orderBy(time), n)).outputMode("append").option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    body = df.schema.fieldNames()
+    held = df.groupBy(F.window(time, "1 millisecond").alias("_window"), F.pmod(F.xxhash64(*body), F.lit(buckets)).alias("_bucket")).agg(F.collect_list(F.struct(*body)).alias("_rows"))
+
+    def each(batch: DataFrame, number: int) -> None:
+        # The ranges are drawn from a pass of their own; the state isn't worked on twice.
+        batch = batch.persist()
+        try:
+            put(batch.orderBy(time, *ties), number)
+        finally:
+            batch.unpersist()
+
+    return held.select(F.inline("_rows")).writeStream.foreachBatch(each).outputMode("append").option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 # Joins ---------------------------------------------------------------------------------------------------------------
