@@ -194,3 +194,16 @@ def test_a_relayed_changelog_is_made_in_several_tasks(spark, tmp_path, monkeypat
     streams.relayed(spark, stream)
     files = list((tmp_path / "relay" / "out").glob("*.parquet"))
     assert len(files) == 1 and spark.read.parquet(str(files[0])).distinct().count() == 4
+
+
+def test_rows_of_a_key_come_in_packs(spark):
+    """No row is lost, those of a key stay in order, and there are few packs; also of null, true and false keys."""
+    df = spark.range(5000).coalesce(1).selectExpr("nullif(id % 7, 3) AS k", "nullif(id % 3 = 0, id % 5 = 0) AS b", "id AS v", "if(id % 4 = 0, NULL, string(id)) AS s")
+    packs = keyed._packed(df, ["k", "b"], ["v", "s", "k"], size=100, held=2000).collect()
+    assert len(packs) < 150 and max(len(p._packed_v) for p in packs) == 100
+    got, want = {}, {}
+    for p in packs:
+        got.setdefault((p.k, p.b), []).extend(map(tuple, keyed._Packed(None).rows([p])))
+    for r in df.collect():
+        want.setdefault((r.k, r.b), []).append((r.v, r.s, r.k))
+    assert got == want
